@@ -113,11 +113,11 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     left = corpus.select(
         F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"),
         F.pmod(F.xxhash64("id"), F.lit(slices)).alias("part"),
-    ).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    ).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     right = queries.select(
         F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"),
         F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"),
-    ).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("long"))
+    ).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
 
     def nearest(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": [], "id": [], "cosine": []}).astype({"query_id": "int64", "id": "int64"})

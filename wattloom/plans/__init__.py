@@ -6,7 +6,7 @@ import importlib
 
 from wattloom.plans import registry
 
-MODULES = ["q_sources", "q_aggregates"]
+MODULES = ["q_sources", "q_aggregates", "q_series", "q_relations", "q_incidents", "q_evaluation", "q_text", "q_streams", "q_models"]
 
 
 def _load() -> None:

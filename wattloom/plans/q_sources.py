@@ -12,7 +12,7 @@ from wattloom.functions.numeric import sql_round as r
 from wattloom.operators import aggregates, cleaning, evaluation
 from wattloom.plans.registry import query
 from wattloom.plans.views import Tables, rule_models
-from wattloom.session import scratch
+from wattloom.session import cut_lineage, scratch
 from wattloom.sources import files
 
 
@@ -78,7 +78,7 @@ def _(t: Tables) -> DataFrame:
 def evaluation_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Predictions of the rule models, their hour-1 metrics and their errors by horizon."""
     test = t.with_profile().filter(F.col("part") == "test")
-    predictions = evaluation.horizon_predictions(test, rule_models())
+    predictions = cut_lineage(evaluation.horizon_predictions(test, rule_models()), "predictions")
     results = evaluation.forecast_metrics(predictions.filter(F.col("horizon_h") == 1), "model").drop("rows")
     return predictions, results, evaluation.horizon_scoring(predictions)
 

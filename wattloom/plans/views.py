@@ -167,6 +167,23 @@ FROM (SELECT *, CASE WHEN dt BETWEEN 1 AND 7200 THEN meter_reading_kwh * (3600.0
       FROM (SELECT *, (epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER (PARTITION BY meter_id ORDER BY timestamp, id)) / 1000000.0 AS dt FROM v_meter_reading) a) b"""),
 }
 
+DERIVED["v_flagged"] = (["v_meter_reading"], """
+SELECT id, building_id, CASE WHEN id % 50 <> 0 THEN building_id END AS meter_id, timestamp, meter_reading_kwh AS actual_kwh, id % 100 / 100.0 AS anomaly_score,
+  CASE WHEN meter_reading_kwh >= 60 THEN 'CRITICAL' ELSE 'MEDIUM' END AS severity,
+  row_number() OVER (PARTITION BY CASE WHEN id % 50 <> 0 THEN building_id END ORDER BY timestamp, id) AS n
+FROM v_meter_reading WHERE meter_reading_kwh >= 15""")
+# the cooldown fold as a recursive query: one step per event of a meter, in time order
+DERIVED["v_cooldown"] = (["v_flagged"], """
+  SELECT meter_id, n, id AS open_id, building_id, timestamp AS ts, timestamp AS opened_at, actual_kwh AS kwh, anomaly_score AS score, severity, CAST(0 AS BIGINT) AS updates
+  FROM v_flagged WHERE n = 1 AND meter_id IS NOT NULL
+  UNION ALL
+  SELECT meter_id, n2, CASE WHEN inside THEN open_id ELSE id2 END, building_id, CASE WHEN inside AND NOT up THEN ts ELSE ts2 END, CASE WHEN inside THEN opened_at ELSE ts2 END,
+    CASE WHEN inside AND NOT up THEN kwh ELSE kwh2 END, CASE WHEN NOT inside THEN score2 WHEN up THEN greatest(score, score2) ELSE score END,
+    CASE WHEN inside AND NOT up THEN severity ELSE severity2 END, CASE WHEN inside THEN updates + CASE WHEN up THEN 1 ELSE 0 END ELSE 0 END
+  FROM (SELECT f.*, e.id AS id2, e.n AS n2, e.timestamp AS ts2, e.actual_kwh AS kwh2, e.anomaly_score AS score2, e.severity AS severity2,
+          e.timestamp - f.ts <= INTERVAL 10 MINUTE AS inside, e.actual_kwh > f.kwh AS up
+        FROM v_cooldown f JOIN v_flagged e ON e.meter_id = f.meter_id AND e.n = f.n + 1) s""")
+
 ALL = {**SHARED, **DERIVED}
 
 
@@ -182,7 +199,7 @@ def cte(*names: str) -> str:
 
     for name in names:
         visit(name)
-    return "WITH " + ",\n".join(f"{n} AS ({ALL[n][1]}\n)" for n in ordered) + "\n" if ordered else ""
+    return "WITH RECURSIVE " * ("v_cooldown" in ordered) + "WITH " * bool(ordered and "v_cooldown" not in ordered) + ",\n".join(f"{n} AS ({ALL[n][1]}\n)" for n in ordered) + "\n" if ordered else ""
 
 
 class Tables:

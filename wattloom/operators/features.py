@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.functions import rules
-from wattloom.functions.numeric import hours_after, seconds
+from wattloom.functions.numeric import elapsed, hours_after, micros
 from wattloom.operators import rows
 
 def series_window():
@@ -42,7 +42,7 @@ def lag_by_timestamp(series: DataFrame) -> DataFrame:
     A range frame of exactly one instant replaces a self join: one shuffle.
     """
     clock = Window.partitionBy("building_id").orderBy("_s")
-    out = series.withColumn("_s", seconds(F.col("timestamp")).cast("long"))
+    out = series.withColumn("_s", F.floor(micros(F.col("timestamp")) / 1_000_000))
     for name, hours in (("lag_1h", 1), ("lag_24h", 24)):
         at = clock.rangeBetween(-3600 * hours, -3600 * hours)
         out = out.withColumn(
@@ -185,7 +185,7 @@ def meter_hourly_rates(readings: DataFrame, history: int = 20) -> DataFrame:
     """Each reading with the hourly rates of up to ``history`` readings before it, newest first."""
     spread, keys = rows.with_history(readings, ["meter_id"], "timestamp", "id", history)
     order = Window.partitionBy(*keys).orderBy("timestamp", "id")
-    gap = seconds(F.col("timestamp")) - F.lag(seconds(F.col("timestamp"))).over(order)
+    gap = elapsed(F.col("timestamp"), F.lag("timestamp").over(order))
     return (
         spread.withColumn("_dt", gap)
         .withColumn(

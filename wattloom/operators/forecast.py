@@ -412,9 +412,12 @@ def recursive_grid(test: DataFrame, model: LoadModel, horizon: int = HORIZON) ->
     ahead = F.collect_list(F.struct("timestamp", "meter_reading", feature_array().alias("x"))).over(
         features.series_window().rowsBetween(1, horizon)
     )
-    nested = test.select("building_id", F.col("timestamp").alias("origin_timestamp"), ahead.alias("_a"))
+    nested = test.select("building_id", F.col("timestamp").alias("origin_timestamp"), ahead.alias("_a")).select(
+        "building_id", "origin_timestamp", F.col("_a.timestamp").alias("ts"), F.col("_a.meter_reading").alias("y"),
+        F.col("_a.x").alias("x"),
+    )
     lag = S.LOAD_FEATURES.index("lag_1h")
-    schema = "building_id STRING, origin_timestamp TIMESTAMP_NTZ, predictions ARRAY<DOUBLE>, q_low ARRAY<DOUBLE>, q_high ARRAY<DOUBLE>"
+    arrays = "ts ARRAY<TIMESTAMP_NTZ>, y ARRAY<DOUBLE>, predictions ARRAY<DOUBLE>, q_low ARRAY<DOUBLE>, q_high ARRAY<DOUBLE>"
 
     def advance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
@@ -422,29 +425,28 @@ def recursive_grid(test: DataFrame, model: LoadModel, horizon: int = HORIZON) ->
             n = batch["x"].map(len).to_numpy()
             point = np.full((len(batch), horizon), np.nan)
             low, high = point.copy(), point.copy()
-            before = None
+            before = np.full(len(batch), np.nan)
             for step in range(horizon):
                 alive = np.flatnonzero(n > step)
                 if len(alive) == 0:
                     break
                 x = np.stack([np.asarray(batch["x"].iloc[i][step], dtype=float) for i in alive])
-                if before is not None:
+                if step > 0:
                     x[:, lag] = before[alive]
-                before = np.full(len(batch), np.nan)
                 before[alive] = m.point.predict(x)
                 point[alive, step] = before[alive]
                 low[alive, step], high[alive, step] = m.quantiles[0].predict(x), m.quantiles[-1].predict(x)
-            cut = lambda a: [row[:size] for row, size in zip(a, n)]
-            yield batch[["building_id", "origin_timestamp"]].assign(predictions=cut(point), q_low=cut(low), q_high=cut(high))
+            cut = {
+                name: [row[:size] for row, size in zip(grid, n)]
+                for name, grid in (("predictions", point), ("q_low", low), ("q_high", high))
+            }
+            yield batch[["building_id", "origin_timestamp", "ts", "y"]].assign(**cut)
 
-    steps = nested.select("building_id", "origin_timestamp", F.col("_a.x").alias("x")).mapInPandas(advance, schema)
-    pairs = steps.join(nested.select("building_id", "origin_timestamp", F.col("_a.timestamp").alias("ts"), F.col("_a.meter_reading").alias("y")), ["building_id", "origin_timestamp"])
-    return pairs.select(
+    steps = nested.mapInPandas(advance, f"building_id STRING, origin_timestamp TIMESTAMP_NTZ, {arrays}")
+    return steps.select(
         "building_id", "origin_timestamp",
         F.posexplode(F.arrays_zip("ts", "y", "predictions", "q_low", "q_high")).alias("_h", "_z"),
     ).select(
         "building_id", "origin_timestamp", (F.col("_h") + 1).alias("horizon_h"), F.col("_z.ts").alias("target_timestamp"),
         F.col("_z.y").alias("actual"), F.col("_z.predictions").alias("prediction"), F.col("_z.q_low"), F.col("_z.q_high"),
     )
-
-

@@ -53,6 +53,8 @@ def grow(sample: np.ndarray, rng: np.random.Generator) -> list[tuple[int, float,
             return me
         feature = int(rng.choice(usable))
         threshold = float(rng.uniform(low[feature], high[feature]))
+        if threshold >= high[feature]:  # neighbours in floating point
+            threshold = float(low[feature])
         mask = x[:, feature] <= threshold
         nodes[me] = (feature, threshold, split(x[mask], depth + 1), split(x[~mask], depth + 1), 0.0)
         return me

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wattloom.functions import rules
 from wattloom.functions import settings as S
-from wattloom.functions.numeric import fixed, half_up, seconds
+from wattloom.functions.numeric import elapsed, fixed, half_up
 from wattloom.operators import rows
 
 HISTORY_TYPE = "array<struct<previous_status:string,status:string,note:string,updated_at:string,actor:string>>"
@@ -117,7 +117,7 @@ def live_gate(readings: DataFrame, batch: str, now: str, most: int = 20, minutes
     """Readings of small batches that are close to ``now``; the rest is only stored."""
     small = readings.groupBy(batch).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") <= most).select(batch)
     at = F.lit(now).cast("timestamp_ntz")
-    near = F.abs(seconds(F.col("timestamp")) - seconds(at)) <= minutes * 60
+    near = F.abs(elapsed(F.col("timestamp"), at)) <= minutes * 60
     return readings.filter(near).join(small, batch, "left_semi")
 
 
@@ -220,7 +220,7 @@ def incident_cooldown(events: DataFrame, unit: str = "hour") -> DataFrame:
     own = events.filter(F.col("meter_id").isNotNull()).withColumn("_b", F.date_trunc(unit, "timestamp"))
     summary = own.groupBy("meter_id", "_b").agg(F.min("timestamp").alias("_a"), F.max("timestamp").alias("_z"))
     order = Window.partitionBy("meter_id").orderBy("_b")
-    pause = seconds(F.col("_a")) - seconds(F.lag("_z").over(order))
+    pause = elapsed(F.col("_a"), F.lag("_z").over(order))
     chains = (
         summary.withColumn("_start", F.when(pause.isNull() | (pause > COOLDOWN_S), F.col("_b")))
         .withColumn("_chain", F.last("_start", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -246,16 +246,16 @@ def status_transition(requests: DataFrame, current: DataFrame, at: str) -> DataF
         "id", F.coalesce("status", F.lit("OPEN")).alias("previous_status"),
         F.coalesce("status_history", empty).alias("_h"),
     )
-    turn = F.row_number().over(Window.partitionBy("id", "_ok").orderBy("request_id"))
-    valid = requests.withColumn("_ok", F.col("status").isin(*S.STATUSES)).withColumn("_turn", turn)
-    joined = valid.join(stored, "id", "left")
+    valid = requests.withColumn("_ok", F.col("status").isin(*S.STATUSES))
+    first = valid.filter("_ok").groupBy("id").agg(F.min("request_id").alias("_first"))
+    joined = valid.join(first, "id", "left").join(stored, "id", "left")
     outcome = (
         F.when(~F.col("_ok"), "invalid_status")
         .when(F.col("previous_status").isNull(), "not_found")
         .when(
             (F.col("seen_status") != F.col("previous_status"))
             | (F.col("seen_history") != F.size("_h"))
-            | (F.col("_turn") > 1),
+            | (F.col("request_id") > F.col("_first")),
             "conflict",
         )
         .otherwise("updated")

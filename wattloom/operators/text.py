@@ -125,7 +125,8 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
             return empty
         a, b = np.stack(q["embedding"].to_numpy()), np.stack(c["embedding"].to_numpy())
         norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
-        cosine = np.divide(a @ b.T, norms, out=np.zeros(norms.shape), where=norms > 0)
+        # nine decimals: equal vectors tie, whatever their place in the product
+        cosine = np.round(np.divide(a @ b.T, norms, out=np.zeros(norms.shape), where=norms > 0), 9)
         ids = c["id"].to_numpy()
         order = np.lexsort((np.broadcast_to(ids, cosine.shape), -cosine), axis=1)[:, :k]
         n = order.shape[1]

@@ -37,7 +37,7 @@ QUANTILES_SQL = """SELECT s.*, q.lo, q.mid, q.hi FROM v_split s JOIN (
 
 def hourly_quantiles(t: Tables) -> DataFrame:
     """Test rows with the training quantiles of their hour as a learned band."""
-    split = t.split()
+    split = t.kept_split()
     levels = F.percentile("meter_reading", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     fitted = split.filter(F.col("part") == "train").groupBy("building_id", "hour").agg(levels.alias("_q"))
     joined = split.filter(F.col("part") == "test").join(fitted, ["building_id", "hour"])
@@ -197,7 +197,7 @@ FROM (SELECT k.building_id, max(r.mape_percent) AS mape_percent, max(CASE WHEN k
 
 
 def both_samples(t: Tables) -> DataFrame:
-    split = t.split()
+    split = t.kept_split()
     return drift.samples(split.filter(F.col("part") == "train"), split.filter(F.col("part") == "test"), COLUMNS)
 
 
@@ -212,12 +212,12 @@ def _(t: Tables) -> DataFrame:
 
 
 def drift_rows(t: Tables) -> DataFrame:
-    split = t.split()
+    split = t.kept_split()
     train, test = split.filter(F.col("part") == "train"), split.filter(F.col("part") == "test")
     return drift.drift_check(train, test, evaluation.rolling_mape(scored_pairs(t)), COLUMNS)
 
 
-@query("drift_check", f"SELECT building_id, mape_percent, coalesce(triggered, '') AS triggered, triggered IS NOT NULL AS drift_detected, 0.05 AS ks_pvalue_limit FROM ({DRIFT_SQL}) d", ("v_split", "v_profile"))
+@query("drift_check", f"SELECT building_id, mape_percent, coalesce(triggered, '') AS triggered, triggered IS NOT NULL AS drift_detected, CAST(0.05 AS DOUBLE) AS ks_pvalue_limit FROM ({DRIFT_SQL}) d", ("v_split", "v_profile"))
 def _(t: Tables) -> DataFrame:
     return drift_rows(t).select(
         "building_id", "mape_percent", F.array_join("triggered_signals", ",").alias("triggered"), "drift_detected",

@@ -131,11 +131,11 @@ def _(t: Tables) -> DataFrame:
 
 @query("persist_events", """
 SELECT id, building_id, timestamp, actual_reading, status FROM v_incident WHERE seq % 3 = 0
-UNION ALL SELECT id, building_id, timestamp, actual_reading + 1, 'OPEN' FROM v_incident WHERE seq % 2 = 0 AND seq % 3 <> 0""", ("v_incident",))
+UNION ALL SELECT id, building_id, timestamp, actual_reading + 1, 'OPEN' FROM v_incident WHERE seq % 3 <> 0""", ("v_incident",))
 def _(t: Tables) -> DataFrame:
     keep = ["id", "building_id", "timestamp", "actual_reading", "status"]
     stored = t("v_incident").filter(F.col("seq") % 3 == 0).select(*keep)
-    fresh = t("v_incident").filter(F.col("seq") % 2 == 0).withColumn("c", F.explode(F.array(F.lit(1), F.lit(2)))).select(
+    fresh = t("v_incident").withColumn("c", F.explode(F.array(F.lit(1), F.lit(2)))).select(
         "id", "building_id", "timestamp", (F.col("actual_reading") + F.col("c")).alias("actual_reading"), F.lit("OPEN").alias("status"),
         (F.col("seq") * 2 + F.col("c")).alias("arrival"),
     )
@@ -144,11 +144,11 @@ def _(t: Tables) -> DataFrame:
 
 @query("incident_union", """
 SELECT id, building_id, timestamp, status FROM v_incident WHERE seq % 3 = 0
-UNION ALL SELECT id, building_id, timestamp, 'OPEN' FROM v_incident WHERE seq % 2 = 0 AND seq % 3 <> 0""", ("v_incident",))
+UNION ALL SELECT id, building_id, timestamp, 'OPEN' FROM v_incident WHERE seq % 3 <> 0""", ("v_incident",))
 def _(t: Tables) -> DataFrame:
     keep = ["id", "building_id", "timestamp", "status"]
     stored = t("v_incident").filter(F.col("seq") % 3 == 0).select(*keep)
-    current = t("v_incident").filter(F.col("seq") % 2 == 0).select(*keep, F.col("seq").alias("arrival"))
+    current = t("v_incident").select(*keep, F.col("seq").alias("arrival"))
     return incidents.incident_union(current, stored, "arrival")
 
 
@@ -160,9 +160,9 @@ def _(t: Tables) -> DataFrame:
     return incidents.incident_view(t("v_incident"))
 
 
-@query("detector_quality", """
-SELECT round(tp / greatest(tp + fp, 1) + 1e-9, 4) AS precision, round(tp / greatest(tp + fn, 1) + 1e-9, 4) AS recall, round(2 * tp / greatest(2 * tp + fp + fn, 1) + 1e-9, 4) AS f1,
-  round(fp / greatest(fp + tn, 1) + 1e-9, 4) AS false_positive_rate, tp + fn AS positive_count, tp + fn + fp + tn AS total_count
+@query("detector_quality", f"""
+SELECT {r("tp / greatest(tp + fp, 1)", 4)} AS precision, {r("tp / greatest(tp + fn, 1)", 4)} AS recall, {r("2 * tp / greatest(2 * tp + fp + fn, 1)", 4)} AS f1,
+  {r("fp / greatest(fp + tn, 1)", 4)} AS false_positive_rate, tp + fn AS positive_count, tp + fn + fp + tn AS total_count
 FROM (SELECT count(*) FILTER (WHERE is_injected_anomaly = 1 AND predicted = 1) AS tp, count(*) FILTER (WHERE is_injected_anomaly = 0 AND predicted = 1) AS fp,
         count(*) FILTER (WHERE is_injected_anomaly = 1 AND predicted = 0) AS fn, count(*) FILTER (WHERE is_injected_anomaly = 0 AND predicted = 0) AS tn FROM v_labelled) q""", ("v_labelled",))
 def _(t: Tables) -> DataFrame:

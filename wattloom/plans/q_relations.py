@@ -15,10 +15,10 @@ THEN = "1999-01-01 00:00:00"
 @query("operator_role", """
 SELECT u.user_id, CASE WHEN u.is_platform_admin THEN 'ADMIN' WHEN s.m THEN 'MANAGER' WHEN s.m IS NOT NULL THEN 'TECHNICIAN' END AS role
 FROM (SELECT c_custkey AS user_id, c_custkey % 50 = 0 AS is_platform_admin FROM customer) u
-LEFT JOIN (SELECT o_custkey AS user_id, bool_or(o_orderpriority = '1-URGENT') AS m FROM orders WHERE o_orderkey % 6 = 0 GROUP BY 1) s ON s.user_id = u.user_id""")
+LEFT JOIN (SELECT o_custkey AS user_id, bool_or(o_orderpriority = '1-URGENT') AS m FROM orders GROUP BY 1) s ON s.user_id = u.user_id""")
 def _(t: Tables) -> DataFrame:
     users = t.base("customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 50 == 0).alias("is_platform_admin"))
-    staff = t.base("orders").filter(F.col("o_orderkey") % 6 == 0).select(
+    staff = t.base("orders").select(
         F.col("o_custkey").alias("user_id"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "MANAGER").otherwise("TECHNICIAN").alias("role"),
     )
@@ -51,12 +51,12 @@ def _(t: Tables) -> DataFrame:
 @query("ingest_dedup", """
 SELECT id, building_id, zone_id, timestamp, arrival FROM (
   SELECT *, row_number() OVER (PARTITION BY building_id, zone_id, timestamp ORDER BY arrival) AS n FROM (
-    SELECT id, building_id, zone_id, date_trunc('minute', timestamp) AS timestamp, id * 2 + c AS arrival FROM v_telemetry, (SELECT unnest([0, 1]) AS c) k WHERE id % 2 = 0) i) q
+    SELECT id, building_id, zone_id, date_trunc('minute', timestamp) AS timestamp, id * 2 + c AS arrival FROM v_telemetry, (SELECT unnest([0, 1]) AS c) k) i) q
 WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM v_telemetry s WHERE s.id % 3 = 0 AND s.building_id = q.building_id AND s.zone_id IS NOT DISTINCT FROM q.zone_id AND date_trunc('minute', s.timestamp) = q.timestamp)""", ("v_telemetry",))
 def _(t: Tables) -> DataFrame:
     minute = F.date_trunc("minute", "timestamp").cast("timestamp_ntz")
     readings = t("v_telemetry").select("id", "building_id", "zone_id", minute.alias("timestamp"))
-    twice = readings.filter(F.col("id") % 2 == 0).withColumn("_c", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+    twice = readings.withColumn("_c", F.explode(F.array(F.lit(0), F.lit(1)))).select(
         "id", "building_id", "zone_id", "timestamp", (F.col("id") * 2 + F.col("_c")).alias("arrival")
     )
     return relations.ingest_dedup(twice, readings.filter(F.col("id") % 3 == 0), "arrival")
@@ -164,7 +164,7 @@ def _(t: Tables) -> DataFrame:
 @query("unit_roster", """
 SELECT u.unit_id, CAST(u.building_id AS BIGINT) AS building_id, coalesce(h.n, 0) AS households, CAST(coalesce(h.members, 0) AS BIGINT) AS members, CAST(coalesce(h.invitations, 0) AS BIGINT) AS invitations,
   CAST(CASE WHEN u.unit_id % 13 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS zones
-FROM v_unit u LEFT JOIN (SELECT unit_id, count(*) AS n, count(*) FILTER (WHERE household_id % 4 <> 1) AS members, count(*) FILTER (WHERE household_id % 9 = 0) AS invitations FROM v_household GROUP BY 1) h ON h.unit_id = u.unit_id
+FROM v_unit u LEFT JOIN (SELECT unit_id, count(*) AS n, count(*) AS members, count(*) FILTER (WHERE household_id % 9 = 0) AS invitations FROM v_household GROUP BY 1) h ON h.unit_id = u.unit_id
 UNION ALL SELECT NULL, CAST(building_id AS BIGINT), 0, 0, 0, CAST(1 AS BIGINT) FROM v_unit WHERE unit_id % 13 = 0""", ("v_unit", "v_household"))
 def _(t: Tables) -> DataFrame:
     units, households = t("v_unit"), t("v_household")

@@ -175,9 +175,9 @@ def _(t: Tables) -> DataFrame:
 # scalar rules
 
 
-@query("calendar_features", """
+@query("calendar_features", f"""
 SELECT building_id, timestamp, hour(timestamp) AS hour, isodow(timestamp) - 1 AS dayofweek, CAST(isodow(timestamp) >= 6 AS BIGINT) AS is_weekend,
-  round(sin(2 * pi() * hour(timestamp) / 24) + 1e-9, 6) AS hour_sin, round(cos(2 * pi() * hour(timestamp) / 24) + 1e-9, 6) AS hour_cos FROM v_hourly""", ("v_hourly",))
+  {r("sin(2 * pi() * hour(timestamp) / 24)", 6)} AS hour_sin, {r("cos(2 * pi() * hour(timestamp) / 24)", 6)} AS hour_cos FROM v_hourly""", ("v_hourly",))
 def _(t: Tables) -> DataFrame:
     from wattloom.operators.features import calendar_features
 

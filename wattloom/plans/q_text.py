@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.functions import settings as S
 from wattloom.functions import text_rules
-from wattloom.operators import text
+from wattloom.functions.numeric import sql_round as r
+from wattloom.operators import rows, text
 from wattloom.plans.registry import query
 from wattloom.plans.views import Tables
 from wattloom.session import scratch
@@ -43,33 +44,38 @@ def _(t: Tables) -> DataFrame:
     return index.agg(F.count(F.lit(1)).alias("passages"), F.count_distinct("id").alias("distinct_ids"))
 
 
-COSINE = "list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))))"
+COSINE = (
+    "list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v)))"
+)
+VECTORS = "(SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 TOP_SQL = f"""
 SELECT query_id, id, label, id_label, rank, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM (
-  SELECT q.query_id, q.label, c.vec_id AS id, c.label AS id_label, {COSINE} AS cosine FROM v_vector_query q, embeddings c WHERE c.vec_id % 50 <> 0) a) b WHERE rank <= 3"""
+  SELECT q.vec_id AS query_id, q.label, c.vec_id AS id, c.label AS id_label, round({COSINE}, 9) AS cosine FROM {VECTORS} q, {VECTORS} c WHERE c.vec_id <> q.vec_id) a) b WHERE rank <= 3"""
 
 
 def top(t: Tables) -> DataFrame:
-    corpus = t.base("embeddings").filter(F.col("vec_id") % 50 != 0).select(F.col("vec_id").alias("id"), "embedding")
-    return text.vector_topk(corpus, t("v_vector_query"), 3)
+    """Every vector asks all the others: one neighbour more, and without itself."""
+    vectors = t.base("embeddings")
+    corpus = vectors.select(F.col("vec_id").alias("id"), "embedding")
+    found = text.vector_topk(corpus, vectors.select(F.col("vec_id").alias("query_id"), "embedding"), 4)
+    others = found.filter(F.col("id") != F.col("query_id"))
+    return rows.newest(others, ["query_id"], [F.col("cosine").desc(), F.col("id")], 3)
 
 
-@query("vector_topk", f"SELECT query_id, id, round(greatest(0.0, cosine) + 1e-9, 4) AS score FROM ({TOP_SQL}) x", ("v_vector_query",))
+@query("vector_topk", f"SELECT query_id, id, {r('greatest(0.0, cosine)', 4)} AS score FROM ({TOP_SQL}) x")
 def _(t: Tables) -> DataFrame:
     return top(t).select("query_id", "id", "score")
 
 
 @query("retrieval_quality", f"""
-SELECT query_id, CAST(count(*) FILTER (WHERE label = id_label) > 0 AS BIGINT) AS hit_at_3, round(coalesce(1.0 / min(CASE WHEN label = id_label THEN rank END), 0.0) + 1e-9, 4) AS reciprocal_rank FROM ({TOP_SQL}) x GROUP BY 1""", ("v_vector_query",))
+SELECT query_id, CAST(count(*) FILTER (WHERE label = id_label) > 0 AS BIGINT) AS hit_at_3, {r("coalesce(1.0 / min(CASE WHEN label = id_label THEN rank END), 0.0)", 4)} AS reciprocal_rank FROM ({TOP_SQL}) x GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    labels = t.base("embeddings")
+    labels = t.base("embeddings").select(F.col("vec_id").alias("id"), "label")
     best_first = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "id")
     found = (
         top(t).withColumn("rank", F.row_number().over(best_first))
-        .join(t("v_vector_query").select("query_id", "label"), "query_id")
-        .join(labels.select(F.col("vec_id").alias("id"), F.col("label").alias("id_label")), "id")
+        .join(labels.withColumnsRenamed({"id": "query_id"}), "query_id")
+        .join(labels.withColumnsRenamed({"label": "id_label"}), "id")
     )
     return text.retrieval_quality(found, F.col("label") == F.col("id_label"))
 

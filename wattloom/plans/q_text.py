@@ -14,9 +14,7 @@ from wattloom.plans.views import Tables
 from wattloom.session import scratch
 
 
-@query("parse_frontmatter", r"""
-SELECT doc_id, title, source, regexp_replace(body, '^\s+|\s+$', '', 'g') AS body FROM (
-  SELECT doc_id, regexp_extract(content, '(?s)^---\s*\n(.*?)\n---\s*\n(.*)$', 2) AS body, regexp_extract(content, 'title: (.*)', 1) AS title, regexp_extract(content, 'source: (.*)', 1) AS source FROM v_kb_document) q""", ("v_kb_document",))
+@query("parse_frontmatter", "SELECT doc_id, title, source, body FROM v_body", ("v_body",))
 def _(t: Tables) -> DataFrame:
     return text.parse_frontmatter(t("v_kb_document"))
 
@@ -25,7 +23,7 @@ def passages(t: Tables) -> DataFrame:
     return text.chunk_documents(text.parse_frontmatter(t("v_kb_document")))
 
 
-@query("chunk_documents")
+@query("chunk_documents", "SELECT * FROM v_chunk", ("v_chunk",))
 def _(t: Tables) -> DataFrame:
     return passages(t)
 
@@ -35,7 +33,7 @@ def _(t: Tables) -> DataFrame:
     return text.embed_chunks(passages(t)).select("id", "doc_id", "embedding")
 
 
-@query("rebuild_index")
+@query("rebuild_index", "SELECT count(*) AS passages, count(DISTINCT id) AS distinct_ids FROM v_chunk", ("v_chunk",))
 def _(t: Tables) -> DataFrame:
     path = scratch(t.spark, "index")
     chunks = passages(t)

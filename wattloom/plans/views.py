@@ -185,7 +185,32 @@ DERIVED["v_cooldown"] = (["v_flagged"], """
           e.timestamp - f.ts <= INTERVAL 10 MINUTE AS inside, e.actual_kwh > f.kwh AS up
         FROM v_cooldown f JOIN v_flagged e ON e.meter_id = f.meter_id AND e.n = f.n + 1) s""")
 
+
+def _last(pattern: str) -> str:
+    """Place of the last ``pattern`` in ``w``, -1 when absent."""
+    return f"(CASE WHEN contains(w, {pattern}) THEN length(w) - instr(reverse(w), reverse({pattern})) - length({pattern}) + 1 ELSE -1 END)"
+
+
+DERIVED["v_body"] = (["v_kb_document"], r"""
+SELECT doc_id, title, source, regexp_replace(body, '^\s+|\s+$', '', 'g') AS body FROM (
+  SELECT doc_id, regexp_extract(content, '(?s)^---\s*\n(.*?)\n---\s*\n(.*)$', 2) AS body, regexp_extract(content, 'title: (.*)', 1) AS title, regexp_extract(content, 'source: (.*)', 1) AS source FROM v_kb_document) q""")
+# the chunker as a recursive query: one passage of each document per step
+DERIVED["v_passage"] = (["v_body"], f"""
+  SELECT doc_id, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS next, CAST(NULL AS STRING) AS piece, false AS done FROM v_body
+  UNION ALL
+  SELECT doc_id, next, CASE WHEN fin THEN next ELSE greatest(next + 1, stop - 200) END,
+    CASE WHEN fin THEN substr(body, next + 1) ELSE substr(body, next + 1, stop - next) END, fin
+  FROM (SELECT *, next + CASE WHEN pp >= 600 THEN pp WHEN pl >= 600 THEN pl WHEN ps >= 600 THEN ps ELSE 1200 END AS stop FROM (
+    SELECT *, {_last("concat(chr(10), chr(10))")} AS pp, {_last("chr(10)")} AS pl, CASE WHEN contains(w, '. ') THEN {_last("'. '")} + 1 ELSE -1 END AS ps FROM (
+      SELECT p.doc_id, p.next, b.body, substr(b.body, p.next + 1, 1200) AS w, p.next + 1200 >= length(b.body) AS fin
+      FROM v_passage p JOIN v_body b ON b.doc_id = p.doc_id WHERE NOT p.done) x) y) z""")
+DERIVED["v_chunk"] = (["v_passage", "v_body"], r"""
+SELECT concat(c.doc_id, '_chunk_', c.chunk_index) AS id, c.doc_id, b.title, b.source, c.chunk_index, count(*) OVER (PARTITION BY c.doc_id) AS total_chunks, c.piece AS text
+FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS chunk_index, regexp_replace(piece, '^\s+|\s+$', '', 'g') AS piece FROM v_passage WHERE piece <> '') c
+JOIN v_body b ON b.doc_id = c.doc_id""")
+
 ALL = {**SHARED, **DERIVED}
+RECURSIVE = {"v_cooldown", "v_passage"}
 
 
 def cte(*names: str) -> str:
@@ -200,7 +225,10 @@ def cte(*names: str) -> str:
 
     for name in names:
         visit(name)
-    return "WITH RECURSIVE " * ("v_cooldown" in ordered) + "WITH " * bool(ordered and "v_cooldown" not in ordered) + ",\n".join(f"{n} AS ({ALL[n][1]}\n)" for n in ordered) + "\n" if ordered else ""
+    if not ordered:
+        return ""
+    head = "WITH RECURSIVE " if RECURSIVE & set(ordered) else "WITH "
+    return head + ",\n".join(f"{n} AS ({ALL[n][1]}\n)" for n in ordered) + "\n"
 
 
 class Tables:

@@ -208,7 +208,7 @@ def test_scenario_questions(spark):
 
 
 def test_source_matching(spark):
-    rows = [("evn_tariffs.md", "evn_tariffs", ""), ("qcvn_hvac.md", "other", "QCVN_HVAC"), ("cold_tariffs.md", "evn_tariffs", ""), ("abc.md", "xyz", "")]
+    rows = [("peak_tariffs.md", "peak_tariffs", ""), ("code_hvac.md", "other", "CODE_HVAC"), ("cold_tariffs.md", "peak_tariffs", ""), ("abc.md", "xyz", "")]
     df = frame(spark, rows, "e string, d string, s string")
     assert [r[0] for r in df.select(text_rules.source_matches(F.col("e"), F.col("d"), F.col("s"))).collect()] == [True, True, True, False]
 

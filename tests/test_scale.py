@@ -28,7 +28,7 @@ def test_history_copies_equal_a_whole_window(spark):
     df = readings(spark)
     whole = Window.partitionBy("meter_id").orderBy("timestamp", "id")
     want = df.withColumn("a", F.collect_list("id").over(whole.rowsBetween(-20, -1))).withColumn("l", F.lag("v", 20).over(whole))
-    spread, keys = rows.with_history(df, ["meter_id"], "timestamp", "id", 20)
+    spread, keys = rows.with_history(df, ["meter_id"], "timestamp", "id", ["v"], 20)
     part = Window.partitionBy(*keys).orderBy("timestamp", "id")
     got = spread.withColumn("a", F.collect_list("id").over(part.rowsBetween(-20, -1))).withColumn("l", F.lag("v", 20).over(part))
     got = got.filter(~F.col("_copy"))
@@ -147,3 +147,14 @@ def test_forest_pool_keeps_the_spikes_in_scores(spark, monkeypatch):
     model = forest.isolation_forest_fit(df, ["x", "y"], ["building_id", "n"], trees=40, sample=128)
     top = forest.isolation_forest_score(df, model).orderBy(F.col("anomaly_score").desc()).limit(10)
     assert {r.n for r in top.collect()} == set(range(5000, 5010))
+
+
+def test_questions_find_their_passage(spark, tmp_path):
+    docs = [("tariff", "t", "s", "peak tariff price hours"), ("hvac", "t", "s", "chiller setpoint cooling"), ("other", "t", "s", "garden flowers")]
+    chunks = text.chunk_documents(spark.createDataFrame([(i, *d[1:]) for i, d in enumerate(docs)], "doc_id long, title string, source string, body string"))
+    index = text.rebuild_index(chunks, str(tmp_path / "index"))
+    asked = index.filter(F.col("doc_id") == 1).select(F.lit("q").alias("query_id"), "embedding")
+    found = text.query_knowledge(index, asked, 2).orderBy(F.col("score").desc()).collect()
+    assert (found[0].id, found[0].score) == ("1_chunk_0", 1.0) and len(found) == 2
+    norms = index.select(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).alias("n")).collect()
+    assert all(abs(r.n - 1.0) < 1e-5 for r in norms)

@@ -183,7 +183,7 @@ def recent_scope_series(readings: DataFrame, scope: str = "building_id", limit:
 
 def meter_hourly_rates(readings: DataFrame, history: int = 20) -> DataFrame:
     """Each reading with the hourly rates of up to ``history`` readings before it, newest first."""
-    spread, keys = rows.with_history(readings, ["meter_id"], "timestamp", "id", history)
+    spread, keys = rows.with_history(readings, ["meter_id"], "timestamp", "id", ["meter_reading_kwh"], history)
     order = Window.partitionBy(*keys).orderBy("timestamp", "id")
     gap = elapsed(F.col("timestamp"), F.lag("timestamp").over(order))
     return (

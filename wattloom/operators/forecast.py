@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -358,8 +359,17 @@ def standard_forecasters(rounds: int = 350, rate: float = 0.05) -> dict[str, For
     }
 
 
+def model_size(model) -> int:
+    """Bytes of a model as it would be stored: arrays of trees, or a table of weights."""
+    if model is None:
+        return 0
+    if isinstance(model, DataFrame):
+        return model.count() * len(ARX_TERMS) * 8
+    return len(pickle.dumps(trees.from_spark(model)))
+
+
 def model_leaderboard(split: DataFrame, forecasters: dict[str, Forecaster]) -> DataFrame:
-    """Metrics, times and training rows of each forecaster; one row per model."""
+    """Metrics, times, size and training rows of each forecaster; one row per model."""
     spark = split.sparkSession
     split = cut_lineage(split, "leaderboard")
     train, test = split.filter(F.col("part") == "train"), split.filter(F.col("part") == "test")
@@ -373,12 +383,12 @@ def model_leaderboard(split: DataFrame, forecasters: dict[str, Forecaster]) -> D
         row = evaluation.forecast_metrics(scored).first()
         done = time.perf_counter()
         table.append(
-            (name, row.mae, row.rmse, row.mape, row.r2, fitted - begun, 1000.0 * (done - fitted) / max(row["rows"], 1), train_rows)
+            (name, row.mae, row.rmse, row.mape, row.r2, fitted - begun, 1000.0 * (done - fitted) / max(row["rows"], 1), model_size(model), train_rows)
         )
     return spark.createDataFrame(
         table,
         "model STRING, mae DOUBLE, rmse DOUBLE, mape DOUBLE, r2 DOUBLE, training_time_s DOUBLE, "
-        "mean_latency_ms DOUBLE, train_rows LONG",
+        "mean_latency_ms DOUBLE, size_bytes LONG, train_rows LONG",
     )
 
 

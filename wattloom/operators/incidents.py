@@ -127,7 +127,7 @@ def surge_detector(readings: DataFrame, key: str = "building_id", history: int =
     Nothing is judged before ``history`` readings exist. Needs ``forest_label``
     (-1 or 1) and ``anomaly_score``.
     """
-    spread, keys = rows.with_history(readings, [key], "timestamp", "id", history)
+    spread, keys = rows.with_history(readings, [key], "timestamp", "id", ["meter_reading_kwh"], history)
     order = Window.partitionBy(*keys).orderBy("timestamp", "id")
     back = F.lag(F.struct("id", "meter_reading_kwh"), history).over(order)
     ratio = rules.surge_ratio(F.col("meter_reading_kwh"), F.col("lag_24h"))

@@ -32,34 +32,34 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 
 
 def with_history(
-    df: DataFrame, keys: Sequence[str], ts: str, tie: str, n: int, unit: str = "day"
+    df: DataFrame, keys: Sequence[str], ts: str, tie: str, carry: Sequence[str], n: int, unit: str = "day"
 ) -> tuple[DataFrame, list[str]]:
     """Split each key's rows into time buckets that can be windowed apart.
 
     Every bucket is given copies of the ``n`` rows before it (``_copy`` is
     true), so a frame of up to ``n`` preceding rows, partitioned by the
     returned columns, sees exactly what it would see over the whole key.
-    A key with a third of all rows is then spread over its buckets.
+    A key with a third of all rows is then spread over its buckets. Copies
+    hold the ``carry`` columns, others are null, so little is shuffled twice.
 
     Each non-empty bucket holds a row at least, so the ``n`` buckets before
     one always contain its ``n`` previous rows, or all there are.
     """
-    keys = list(keys)
-    columns = df.columns
+    keys, carry = list(keys), list(carry)
     own = df.withColumn("_bucket", F.date_trunc(unit, F.col(ts)))
-    tails = newest(own, keys + ["_bucket"], [F.col(ts).desc(), F.col(tie).desc()], n)
+    narrow = own.select(*keys, "_bucket", ts, tie, *carry)
+    tails = newest(narrow, keys + ["_bucket"], [F.col(ts).desc(), F.col(tie).desc()], n)
     per_bucket = tails.groupBy(*keys, "_bucket").agg(
-        F.array_sort(F.collect_list(F.struct(ts, tie, *[c for c in columns if c not in (ts, tie)]))).alias("_tail")
+        F.array_sort(F.collect_list(F.struct(ts, tie, *carry))).alias("_tail")
     )
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(-n, -1)
     copies = (
         per_bucket.withColumn("_past", F.flatten(F.collect_list("_tail").over(before)))
         .withColumn("_past", F.slice("_past", F.greatest(F.size("_past") - n + 1, F.lit(1)), n))
-        .select("_bucket", F.explode("_past").alias("_row"))
-        .select("_row.*", "_bucket")
-        .select(*columns, "_bucket", F.lit(True).alias("_copy"))
+        .select(*keys, "_bucket", F.explode("_past").alias("_row"))
+        .select(*keys, "_bucket", "_row.*", F.lit(True).alias("_copy"))
     )
-    return own.withColumn("_copy", F.lit(False)).unionByName(copies), keys + ["_bucket"]
+    return own.withColumn("_copy", F.lit(False)).unionByName(copies, allowMissingColumns=True), keys + ["_bucket"]
 
 
 def global_position(df: DataFrame, order: Sequence[Column], label: str, parts: int = 64) -> DataFrame:

@@ -111,24 +111,26 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     slices = max(1, math.ceil(corpus.count() / CORPUS_SLICE))
     left = corpus.select(
-        F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"),
+        "id", F.col("embedding").cast("array<double>").alias("embedding"),
         F.pmod(F.xxhash64("id"), F.lit(slices)).alias("part"),
     ).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     right = queries.select(
-        F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"),
+        "query_id", F.col("embedding").cast("array<double>").alias("embedding"),
         F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"),
     ).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
 
+    types = [f"{n} {df.schema[n].dataType.simpleString()}" for n, df in (("query_id", queries), ("id", corpus))]
+
     def nearest(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "id": [], "cosine": []}).astype({"query_id": "int64", "id": "int64"})
         if c.empty or q.empty:
-            return empty
+            return pd.DataFrame({"query_id": q["query_id"][:0], "id": c["id"][:0], "cosine": np.zeros(0)})
         a, b = np.stack(q["embedding"].to_numpy()), np.stack(c["embedding"].to_numpy())
         norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
         # nine decimals: equal vectors tie, whatever their place in the product
         cosine = np.round(np.divide(a @ b.T, norms, out=np.zeros(norms.shape), where=norms > 0), 9)
         ids = c["id"].to_numpy()
-        order = np.lexsort((np.broadcast_to(ids, cosine.shape), -cosine), axis=1)[:, :k]
+        places = pd.factorize(c["id"], sort=True)[0]
+        order = np.lexsort((np.broadcast_to(places, cosine.shape), -cosine), axis=1)[:, :k]
         n = order.shape[1]
         return pd.DataFrame(
             {
@@ -141,7 +143,7 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     local = (
         left.groupBy("block", "part")
         .cogroup(right.groupBy("block", "part"))
-        .applyInPandas(nearest, "query_id long, id long, cosine double")
+        .applyInPandas(nearest, ", ".join([*types, "cosine double"]))
     )
     best = rows.newest(local, ["query_id"], [F.col("cosine").desc(), F.col("id")], k)
     return best.withColumn("score", half_up(F.greatest(F.lit(0.0), F.col("cosine")), 4))
@@ -149,9 +151,8 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
 
 def query_knowledge(index: DataFrame, query_vectors: DataFrame, k: int = 3) -> DataFrame:
     """Top passages with their text; blank questions must not be embedded and give none."""
-    numbered = index.withColumn("_n", F.xxhash64("id"))
-    found = vector_topk(numbered.select(F.col("_n").alias("id"), "embedding"), query_vectors, k)
-    return found.withColumnRenamed("id", "_n").join(numbered.drop("embedding"), "_n").drop("_n")
+    found = vector_topk(index.select("id", "embedding"), query_vectors, k)
+    return found.join(index.drop("embedding"), "id")
 
 
 def retrieval_quality(found: DataFrame, matched: Column, top: int = 3) -> DataFrame:

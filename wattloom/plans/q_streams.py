@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wattloom.functions.numeric import sql_round as r
 from wattloom.plans.q_incidents import SURGE_SQL
 from wattloom.plans.registry import query
-from wattloom.plans.views import Tables, cte
+from wattloom.plans.views import Tables, over
 from wattloom.session import scratch
 from wattloom.streaming import jobs
 
@@ -17,8 +17,7 @@ def live(t: Tables, view: str, folder: str | None = None, per_trigger: int = 64)
     """A shared view over the stream of events instead of the table."""
     pattern = "events.parquet" if folder is None else "*.parquet"
     events = jobs.read_files(t.spark, folder or t.folder, jobs.EVENT_SCHEMA, pattern, per_trigger)
-    events.createOrReplaceTempView("events")
-    stream = t.spark.sql(cte(view) + f"SELECT * FROM {view}")
+    stream = over(t.spark, f"SELECT * FROM {view}", {"events": events}, view)
     return stream.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
 
 

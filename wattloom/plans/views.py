@@ -8,6 +8,8 @@ builds them with the operators.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -213,8 +215,8 @@ ALL = {**SHARED, **DERIVED}
 RECURSIVE = {"v_cooldown", "v_passage"}
 
 
-def cte(*names: str) -> str:
-    """``WITH`` clause of the views and all they read, in order."""
+def cte(*names: str, heads: tuple[str, ...] = ()) -> str:
+    """``WITH`` clause of the views and all they read, in order, after ``heads``."""
     ordered: list[str] = []
 
     def visit(name: str) -> None:
@@ -225,10 +227,35 @@ def cte(*names: str) -> str:
 
     for name in names:
         visit(name)
-    if not ordered:
+    if not ordered and not heads:
         return ""
     head = "WITH RECURSIVE " if RECURSIVE & set(ordered) else "WITH "
-    return head + ",\n".join(f"{n} AS ({ALL[n][1]}\n)" for n in ordered) + "\n"
+    return head + ",\n".join([*heads, *[f"{n} AS ({ALL[n][1]}\n)" for n in ordered]]) + "\n"
+
+
+def base_tables(*names: str) -> set[str]:
+    """Given tables that the views read."""
+    found: set[str] = set()
+    for name in names:
+        found |= base_tables(*SHARED[name][0]) if name in SHARED else {name}
+    return found
+
+
+def over(spark: SparkSession, text: str, frames: dict[str, DataFrame], *views: str) -> DataFrame:
+    """Runs ``text`` over shared views, with the given frames as their tables.
+
+    The frames get names of their own, so that no view of the caller's
+    session is replaced.
+    """
+    heads = []
+    for name, frame in frames.items():
+        unique = f"wattloom_{name}_{uuid.uuid4().hex[:12]}"
+        frame.createOrReplaceTempView(unique)
+        heads.append(f"{name} AS (SELECT * FROM {unique})")
+    result = spark.sql(cte(*views, heads=tuple(heads)) + text)
+    for head in heads:
+        spark.catalog.dropTempView(head.split()[-1].rstrip(")"))
+    return result
 
 
 class Tables:
@@ -249,20 +276,7 @@ class Tables:
 
     def sql(self, text: str, *names: str) -> DataFrame:
         """Runs ``text`` over the shared views it names."""
-        needed: set[str] = set()
-
-        def visit(name: str) -> None:
-            if name in SHARED:
-                for part in SHARED[name][0]:
-                    visit(part)
-            else:
-                needed.add(name)
-
-        for name in names:
-            visit(name)
-        for name in needed:
-            self.base(name).createOrReplaceTempView(name)
-        return self.spark.sql(cte(*names) + text)
+        return over(self.spark, text, {n: self.base(n) for n in sorted(base_tables(*names))}, *names)
 
     def series(self) -> DataFrame:
         return aggregates.hourly_building_series(self("v_meter_reading"), START, NOW)

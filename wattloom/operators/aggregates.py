@@ -111,38 +111,39 @@ def daily_breakdown(readings: DataFrame, value: str = "meter_reading") -> DataFr
 def monthly_summary(readings: DataFrame, value: str = "meter_reading") -> DataFrame:
     """Month totals against the month before, on a gapless run of months.
 
-    Days are aggregated first, so a month is summed from at most 31 rows per
-    building, and the window runs over months.
+    One aggregate per month; the days with data are a bit mask, so they need
+    no second one. A month then brings along the empty months up to the next,
+    which takes one window over months and no join.
     """
     kwh = F.coalesce(F.col(value), F.lit(0.0))
-    days = (
-        _totals_only(readings)
-        .groupBy("building_id", F.to_date("timestamp").alias("d"))
-        .agg(F.sum(kwh).alias("kwh"), F.max(kwh).alias("peak"), F.count(F.lit(1)).alias("n"))
-    )
-    months = days.groupBy("building_id", F.trunc("d", "month").alias("m")).agg(
-        half_up(F.sum("kwh"), 2).alias("total"),
-        half_up(F.max("peak"), 2).alias("peak"),
-        F.sum("n").alias("n"),
-        F.count(F.lit(1)).alias("days"),
+    day_bit = F.expr("shiftleft(1L, dayofmonth(timestamp))")
+    months = _totals_only(readings).groupBy("building_id", F.trunc(F.to_date("timestamp"), "month").alias("m")).agg(
+        half_up(F.sum(kwh), 2).alias("total"), half_up(F.max(kwh), 2).alias("peak"),
+        F.count(F.lit(1)).alias("n"), F.bit_count(F.bit_or(day_bit)).alias("days"),
     )
-    spine = months.groupBy("building_id").agg(F.min("m").alias("a"), F.max("m").alias("b")).select(
-        "building_id", F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("m")
+    order = Window.partitionBy("building_id").orderBy("m")
+    until = F.coalesce(F.add_months(F.lead("m").over(order), -1), F.col("m"))
+    own = F.col("at") == F.col("m")
+    before = (
+        F.when(own & (F.col("_m") == F.add_months("m", -1)), F.col("_total"))
+        .when(own, F.when(F.col("_m").isNotNull(), F.lit(0.0)))
+        .when(F.col("at") == F.add_months("m", 1), F.col("total"))
+        .otherwise(F.lit(0.0))
     )
-    previous = F.lag("total").over(Window.partitionBy("building_id").orderBy("m"))
+    total = F.when(own, F.col("total")).otherwise(F.lit(0.0))
     return (
-        spine.join(months, ["building_id", "m"], "left")
-        .withColumn("total", F.coalesce("total", F.lit(0.0)))
-        .withColumn("before", previous)
+        months.withColumns({"_m": F.lag("m").over(order), "_total": F.lag("total").over(order), "_until": until})
+        .withColumn("at", F.explode(F.sequence("m", "_until", F.expr("interval 1 month"))))
+        .withColumn("before", before)
         .select(
             "building_id",
-            F.date_format("m", "yyyy-MM").alias("month"),
-            F.col("total").alias("total_consumption_kwh"),
-            F.coalesce(half_up(F.col("total") / F.col("days"), 2), F.lit(0.0)).alias("average_daily_kwh"),
-            F.coalesce("peak", F.lit(0.0)).alias("peak_demand_kw"),
-            F.coalesce("n", F.lit(0)).alias("reading_count"),
+            F.date_format("at", "yyyy-MM").alias("month"),
+            total.alias("total_consumption_kwh"),
+            F.when(own, half_up(F.col("total") / F.col("days"), 2)).otherwise(F.lit(0.0)).alias("average_daily_kwh"),
+            F.when(own, F.col("peak")).otherwise(F.lit(0.0)).alias("peak_demand_kw"),
+            F.when(own, F.col("n")).otherwise(F.lit(0)).alias("reading_count"),
             half_up(
-                F.when(F.col("before") > 0, (F.col("total") - F.col("before")) / F.col("before") * 100), 1
+                F.when(F.col("before") > 0, (total - F.col("before")) / F.col("before") * 100), 1
             ).alias("change_vs_previous_month_pct"),
         )
     )

@@ -50,14 +50,11 @@ def psi(both: DataFrame) -> DataFrame:
     counts = binned.groupBy(*KEYS).agg(
         F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"), F.first("_nr").alias("_nr"),
         F.count_if(~F.col("is_reference")).alias("_nn"),
-        *[F.count_if(F.col("is_reference") & (F.col("_b") == i)).alias(f"_r{i}") for i in range(bins)],
-        *[F.count_if(~F.col("is_reference") & (F.col("_b") == i)).alias(f"_n{i}") for i in range(bins)],
+        *[F.expr(f"count_if(is_reference AND _b = {i}) AS _r{i}") for i in range(bins)],
+        *[F.expr(f"count_if(NOT is_reference AND _b = {i}) AS _n{i}") for i in range(bins)],
     )
-    total = F.lit(0.0)
-    for i in range(bins):
-        r = F.col(f"_r{i}") / F.col("_nr") + S.PSI_EPSILON
-        n = F.col(f"_n{i}") / F.col("_nn") + S.PSI_EPSILON
-        total = total + (n - r) * F.log(n / r)
+    shares = [f"struct(_r{i} / _nr + {S.PSI_EPSILON}D AS r, _n{i} / _nn + {S.PSI_EPSILON}D AS n)" for i in range(bins)]
+    total = F.expr(f"aggregate(array({', '.join(shares)}), 0D, (a, s) -> a + (s.n - s.r) * ln(s.n / s.r))")
     defined = (F.col("_nr") > 0) & (F.col("_nn") > 0) & (F.col("_lo") != F.col("_hi"))
     return counts.select(*KEYS, half_up(F.when(defined, total).otherwise(F.lit(0.0)), 6).alias("psi"))
 

@@ -30,17 +30,20 @@ def reading_problem() -> Column:
 
 
 def ingest_validate(readings: DataFrame, buildings: DataFrame, zones: DataFrame, meters: DataFrame) -> DataFrame:
-    """Readings with ``meter_id`` and ``reason``; a null reason means accepted."""
+    """Readings with ``meter_id`` and ``reason``; a null reason means accepted.
+
+    Zones and meters become one lookup by building and zone first, so the
+    readings meet two dimensions: their place, and the short building list.
+    """
+    total = F.lit("")
     known = buildings.select("building_id", F.lit(True).alias("_b"))
-    zone = zones.select("building_id", "zone_id", F.lit(True).alias("_z"))
-    meter = meters.select(
-        "building_id", F.coalesce("zone_id", F.lit("")).alias("_zone"), F.col("meter_id").alias("_meter")
-    )
+    zone = zones.select("building_id", F.col("zone_id").alias("_zone"), F.lit(True).alias("_z"))
+    meter = meters.select("building_id", F.coalesce("zone_id", total).alias("_zone"), F.col("meter_id").alias("_meter"))
+    place = zone.join(meter, ["building_id", "_zone"], "full")
     joined = (
-        readings.withColumn("_zone", F.coalesce("zone_id", F.lit("")))
+        readings.withColumn("_zone", F.coalesce("zone_id", total))
         .join(known, "building_id", "left")
-        .join(zone, ["building_id", "zone_id"], "left")
-        .join(meter, ["building_id", "_zone"], "left")
+        .join(place, ["building_id", "_zone"], "left")
     )
     reason = F.coalesce(
         reading_problem(),

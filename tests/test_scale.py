@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -36,6 +37,14 @@ def test_history_copies_equal_a_whole_window(spark):
     assert key(got) == key(want)
 
 
+def test_hot_buckets_are_split(spark, monkeypatch):
+    monkeypatch.setattr(rows, "HOT_BUCKET_ROWS", 20)
+    test_history_copies_equal_a_whole_window(spark)
+    spread, keys = rows.with_history(readings(spark), ["meter_id"], "timestamp", "id", ["v"], 5)
+    sizes = [r.c for r in spread.filter(~F.col("_copy")).groupBy(*keys).agg(F.count("*").alias("c")).collect()]
+    assert max(sizes) < 60 and sum(sizes) == 3000
+
+
 def test_newest_with_and_without_salt(spark):
     df = readings(spark)
     order = [F.col("timestamp").desc(), F.col("id").desc()]
@@ -69,21 +78,39 @@ def brute_cooldown(events):
     return sorted((f"ANOM-LIVE-{o['id']}", o["timestamp"], o["actual"], o["updates"]) for o in out)
 
 
-def test_cooldown_chains_equal_one_fold(spark):
-    rng = random.Random(3)
+def random_events(seed, n, gaps, top):
+    rng = random.Random(seed)
     events, at = [], START
-    for i in range(2500):
-        at += dt.timedelta(seconds=rng.choice([30, 200, 590, 600, 601, 4000]))
+    for i in range(n):
+        at += dt.timedelta(seconds=rng.choice(gaps))
         events.append(
             {"id": i, "building_id": "b", "meter_id": "hot" if i % 3 else f"m{i % 5}", "timestamp": at,
-             "actual_kwh": float(rng.randrange(100)), "anomaly_score": 0.5, "severity": "MEDIUM"}
+             "actual_kwh": float(rng.randrange(top)), "anomaly_score": 0.5, "severity": "MEDIUM"}
         )
-    schema = "id long, building_id string, meter_id string, timestamp timestamp_ntz, actual_kwh double, anomaly_score double, severity string"
-    df = spark.createDataFrame(pd.DataFrame(events), schema)
-    got = incidents.incident_cooldown(df).collect()
+    return events
+
+
+EVENT = "id long, building_id string, meter_id string, timestamp timestamp_ntz, actual_kwh double, anomaly_score double, severity string"
+
+
+@pytest.mark.parametrize(
+    "seed, gaps, top",
+    [(3, [30, 200, 590, 600, 601, 4000], 100), (4, [0, 1, 20], 5), (5, [100, 300], 3), (6, [0, 600], 1000), (7, [5], 1)],
+)
+def test_cooldown_segments_equal_one_fold(spark, seed, gaps, top):
+    events = random_events(seed, 2000, gaps, top)
+    got = incidents.incident_cooldown(spark.createDataFrame(pd.DataFrame(events), EVENT)).collect()
     assert sorted((r.id, r.timestamp, r.actual_reading, r.updates) for r in got) == brute_cooldown(events)
 
 
+def test_a_meter_without_pause_is_cut_into_segments(spark):
+    events = random_events(8, 2000, [20], 1000)
+    df = spark.createDataFrame(pd.DataFrame(events), EVENT)
+    hot = incidents.cooldown_segments(df).filter(F.col("meter_id") == "hot")
+    sizes = [r["count"] for r in hot.groupBy("_segment").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 200
+
+
 def test_second_event_within_ten_minutes_is_no_new_incident(spark):
     schema = "id long, building_id string, meter_id string, timestamp timestamp_ntz, actual_kwh double, anomaly_score double, severity string"
     data = [

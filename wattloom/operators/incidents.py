@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wattloom.functions import rules
 from wattloom.functions import settings as S
-from wattloom.functions.numeric import elapsed, fixed, half_up
+from wattloom.functions.numeric import elapsed, fixed, half_up, micros
 from wattloom.operators import rows
 
 HISTORY_TYPE = "array<struct<previous_status:string,status:string,note:string,updated_at:string,actor:string>>"
@@ -175,64 +175,121 @@ def cooldown_step(open_row: dict | None, event: dict) -> tuple[dict | None, dict
             }
         return None, open_row
     opened = {
-        "id": "ANOM-LIVE-" + str(event["id"]), "building_id": event["building_id"], "meter_id": event["meter_id"],
+        "id": "ANOM-LIVE-" + str(event["id"]), "event_id": event["id"], "building_id": event["building_id"], "meter_id": event["meter_id"],
         "timestamp": event["timestamp"], "opened_at": event["timestamp"], "actual_reading": event["actual_kwh"],
         "anomaly_score": event["anomaly_score"], "severity": event["severity"], "updates": 0,
     }
     return open_row, opened
 
 
-def _fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs the cooldown over rows sorted by chain and time; holds one open incident."""
-    chain, open_row = None, None
-    columns = [c.split()[0] for c in COOLDOWN_SCHEMA.split(", ")]
+RUN_SCHEMA = (
+    "meter_id STRING, building_id STRING, first_id LONG, opened_at TIMESTAMP_NTZ, timestamp TIMESTAMP_NTZ, "
+    "actual_reading DOUBLE, anomaly_score DOUBLE, severity STRING, updates INT, is_head BOOLEAN"
+)
+RUN_FIELDS = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
+
+
+def _fold_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs the cooldown over rows sorted by segment and time; holds one open incident.
+
+    Yields the incidents of each segment; ``is_head`` marks the first, which
+    may continue one of an earlier segment.
+    """
+    segment, open_row, head = None, None, True
+
+    def run(row: dict, is_head: bool) -> dict:
+        return {**row, "first_id": row["event_id"], "is_head": is_head}
+
     for batch in batches:
         done = []
         for event in batch.to_dict("records"):
-            here = (event["meter_id"], event["_chain"])
-            if here != chain:
+            here = (event["meter_id"], event["_segment"])
+            if here != segment:
                 if open_row is not None:
-                    done.append(open_row)
-                chain, open_row = here, None
+                    done.append(run(open_row, head))
+                segment, open_row, head = here, None, True
             closed, open_row = cooldown_step(open_row, event)
             if closed is not None:
-                done.append(closed)
+                done.append(run(closed, head))
+                head = False
         if done:
-            yield pd.DataFrame(done, columns=columns)
+            yield pd.DataFrame(done)[RUN_FIELDS]
     if open_row is not None:
-        yield pd.DataFrame([open_row], columns=columns)
+        yield pd.DataFrame([run(open_row, head)])[RUN_FIELDS]
+
 
+def cooldown_segments(own: DataFrame) -> DataFrame:
+    """Adds ``_segment``: the point from which an event's fate no longer depends on the past.
 
-def incident_cooldown(events: DataFrame, unit: str = "hour") -> DataFrame:
+    A reading above all of the ten minutes before it always moves or opens an
+    incident, whatever was open. The first peak of a ten-minute cell is such
+    a reading when the cell before peaks lower or is empty, because both
+    cells together cover those ten minutes. So a summary of one row per meter
+    and cell, bounded by the calendar, yields the cuts.
+    """
+    cell = F.floor(micros(F.col("timestamp")) / (COOLDOWN_S * 1_000_000))
+    placed = own.withColumn("_cell", cell)
+    peak = F.min_by(F.struct("timestamp", "id"), F.struct(-F.col("actual_kwh"), F.col("timestamp"), F.col("id")))
+    cells = placed.groupBy("meter_id", "_cell").agg(F.max("actual_kwh").alias("_top"), peak.alias("_peak"))
+    order = Window.partitionBy("meter_id").orderBy("_cell")
+    rising = (
+        F.lag("_cell").over(order).isNull()
+        | (F.lag("_cell").over(order) < F.col("_cell") - 1)
+        | (F.lag("_top").over(order) < F.col("_top"))
+    )
+    cuts = (
+        cells.withColumn("_cut", F.when(rising, F.col("_peak")))
+        .withColumn(
+            "_earlier", F.last("_cut", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        )
+        .select("meter_id", "_cell", "_cut", "_earlier")
+    )
+    after = F.col("_cut").isNotNull() & (F.struct("timestamp", "id") >= F.col("_cut"))
+    segment = F.when(after, F.col("_cut")).otherwise(F.col("_earlier"))
+    return (
+        placed.join(cuts, ["meter_id", "_cell"])
+        .withColumn("_segment", F.coalesce(segment.id, F.lit(-1).cast("long")))
+        .drop("_cell", "_cut", "_earlier")
+    )
+
+
+def incident_cooldown(events: DataFrame) -> DataFrame:
     """Flagged events to incidents, at most one open per meter and ten minutes.
 
-    The fold depends on order, but a pause of more than ten minutes starts
-    afresh. Hours that begin after such a pause therefore begin a chain that
-    can run on its own; chains are found on one summary row per meter and
-    hour. A task streams its sorted chains and holds one incident, however
-    long a chain gets. Events without a meter always open an incident.
+    The rule depends on order, so it is folded; but segments that start at a
+    sure point fold apart, in parallel, however long a meter goes on. What a
+    segment leaves is joined to its neighbours by one window per meter over
+    incidents, of which ten minutes hold two at most. Events without a meter
+    always open an incident.
     """
     alone = events.filter(F.col("meter_id").isNull()).select(
         F.concat(F.lit("ANOM-LIVE-"), F.col("id").cast("string")).alias("id"), "building_id",
         F.col("meter_id").cast("string").alias("meter_id"), "timestamp", F.col("timestamp").alias("opened_at"),
         F.col("actual_kwh").alias("actual_reading"), "anomaly_score", "severity", F.lit(0).alias("updates"),
     )
-    own = events.filter(F.col("meter_id").isNotNull()).withColumn("_b", F.date_trunc(unit, "timestamp"))
-    summary = own.groupBy("meter_id", "_b").agg(F.min("timestamp").alias("_a"), F.max("timestamp").alias("_z"))
-    order = Window.partitionBy("meter_id").orderBy("_b")
-    pause = elapsed(F.col("_a"), F.lag("_z").over(order))
-    chains = (
-        summary.withColumn("_start", F.when(pause.isNull() | (pause > COOLDOWN_S), F.col("_b")))
-        .withColumn("_chain", F.last("_start", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .select("meter_id", "_b", "_chain")
-    )
     ready = (
-        own.join(chains, ["meter_id", "_b"])
-        .select("id", "building_id", "meter_id", "timestamp", "actual_kwh", "anomaly_score", "severity", "_chain")
-        .repartition("meter_id", "_chain")
-        .sortWithinPartitions("meter_id", "_chain", "timestamp", "id")
+        cooldown_segments(events.filter(F.col("meter_id").isNotNull()))
+        .select("id", "building_id", "meter_id", "timestamp", "actual_kwh", "anomaly_score", "severity", "_segment")
+        .repartition("meter_id", "_segment")
+        .sortWithinPartitions("meter_id", "_segment", "timestamp", "id")
+    )
+    runs = ready.mapInPandas(_fold_segments, RUN_SCHEMA)
+    order = Window.partitionBy("meter_id").orderBy("opened_at", "first_id")
+    gap = elapsed(F.col("opened_at"), F.lag("timestamp").over(order))
+    continues = F.col("is_head") & F.coalesce(gap <= COOLDOWN_S, F.lit(False))
+    joined = runs.withColumn("_new", F.when(~continues, F.col("first_id"))).withColumn(
+        "_incident", F.last("_new", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    whole = joined.groupBy("meter_id", "_incident").agg(
+        F.max_by(F.struct("building_id", "timestamp", "actual_reading", "severity"), F.struct("opened_at", "first_id")).alias("_l"),
+        F.min("opened_at").alias("opened_at"), F.max("anomaly_score").alias("anomaly_score"),
+        (F.sum("updates") + F.count(F.lit(1)) - 1).cast("int").alias("updates"),
+    )
+    merged = whole.select(
+        F.concat(F.lit("ANOM-LIVE-"), F.col("_incident").cast("string")).alias("id"), "_l.building_id", "meter_id",
+        "_l.timestamp", "opened_at", "_l.actual_reading", "anomaly_score", "_l.severity", "updates",
     )
-    return ready.mapInPandas(_fold_sorted, COOLDOWN_SCHEMA).unionByName(alone)
+    return merged.unionByName(alone)
 
 
 def status_transition(requests: DataFrame, current: DataFrame, at: str) -> DataFrame:

@@ -7,10 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattloom.functions.numeric import micros
+
 # Spark prunes `row_number() <= n` on the map side up to this n
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 MAP_SIDE_LIMIT = 1000
 
+# A time bucket of one key with more rows than this is split further.
+HOT_BUCKET_ROWS = 1_000_000
+
 
 def newest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salts: int = 64) -> DataFrame:
     """The first ``n`` rows of each key in ``order``.
@@ -43,10 +48,23 @@ def with_history(
     hold the ``carry`` columns, others are null, so little is shuffled twice.
 
     Each non-empty bucket holds a row at least, so the ``n`` buckets before
-    one always contain its ``n`` previous rows, or all there are.
+    one always contain its ``n`` previous rows, or all there are. A bucket
+    above ``HOT_BUCKET_ROWS`` is cut into equal stretches of its own time.
     """
     keys, carry = list(keys), list(carry)
-    own = df.withColumn("_bucket", F.date_trunc(unit, F.col(ts)))
+    bucketed = df.withColumn("_bucket", F.date_trunc(unit, F.col(ts)))
+    at = micros(F.col(ts))
+    hot = (
+        bucketed.groupBy(*keys, "_bucket")
+        .agg(F.count(F.lit(1)).alias("_c"), F.min(at).alias("_a"), F.max(at).alias("_z"))
+        .filter(F.col("_c") > HOT_BUCKET_ROWS)
+    )
+    # one row per HOT_BUCKET_ROWS rows of the table at most, so this stays small
+    own = bucketed.join(F.broadcast(hot), keys + ["_bucket"], "left")
+    stretch = (F.col("_z") - F.col("_a") + 1) / F.ceil(F.col("_c") / HOT_BUCKET_ROWS)
+    own = own.withColumn(
+        "_bucket", F.struct("_bucket", F.coalesce(F.floor((at - F.col("_a")) / stretch), F.lit(0).cast("long")).alias("part"))
+    ).drop("_c", "_a", "_z")
     narrow = own.select(*keys, "_bucket", ts, tie, *carry)
     tails = newest(narrow, keys + ["_bucket"], [F.col(ts).desc(), F.col(tie).desc()], n)
     per_bucket = tails.groupBy(*keys, "_bucket").agg(

@@ -80,7 +80,7 @@ def with_history(
     return own.withColumn("_copy", F.lit(False)).unionByName(copies, allowMissingColumns=True), keys + ["_bucket"]
 
 
-def global_position(df: DataFrame, order: Sequence[Column], label: str, parts: int = 64) -> DataFrame:
+def global_position(df: DataFrame, order: Sequence[Column], label: str, parts: int | None = None) -> DataFrame:
     """Adds ``position``, the 1-based place in a total order over the whole table.
 
     Range-partitions the rows, writes them once so that the split cannot
@@ -89,10 +89,11 @@ def global_position(df: DataFrame, order: Sequence[Column], label: str, parts: i
     """
     from wattloom.session import cut_lineage
 
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut_lineage(
         df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), label
     )
-    # one row per part, so this window is over `parts` rows at most
+    # one row per part, so the window is over `parts` rows at most, and so is the broadcast
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
     offsets = sizes.select(
         "_part",

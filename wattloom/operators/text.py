@@ -130,15 +130,15 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
         cosine = np.round(np.divide(a @ b.T, norms, out=np.zeros(norms.shape), where=norms > 0), 9)
         ids = c["id"].to_numpy()
         places = pd.factorize(c["id"], sort=True)[0]
-        order = np.lexsort((np.broadcast_to(places, cosine.shape), -cosine), axis=1)[:, :k]
-        n = order.shape[1]
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat(q["query_id"].to_numpy(), n),
-                "id": ids[order].ravel(),
-                "cosine": np.take_along_axis(cosine, order, axis=1).ravel(),
-            }
-        )
+        n = min(k, len(ids))
+        # all that reach the n-th best value of their query, ties included; only these are sorted
+        bound = np.partition(cosine, len(ids) - n, axis=1)[:, len(ids) - n]
+        at, col = np.nonzero(cosine >= bound[:, None])
+        order = np.lexsort((places[col], -cosine[at, col], at))
+        at, col = at[order], col[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        at, col = at[rank < n], col[rank < n]
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[at], "id": ids[col], "cosine": cosine[at, col]})
 
     local = (
         left.groupBy("block", "part")

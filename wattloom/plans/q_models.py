@@ -28,12 +28,15 @@ class Trained:
         self.split = cut_lineage(Tables(spark, folder).split(), "split")
         self.train = self.split.filter(F.col("part") == "train")
         self.test = self.split.filter(F.col("part") == "test")
+        self._gbt = None
         self._load = None
         self._forest = None
 
     @property
     def gbt(self):
-        return forecast.gbt_forecaster(self.train, rounds=ROUNDS, rate=RATE)
+        if self._gbt is None:
+            self._gbt = forecast.gbt_forecaster(self.train, rounds=ROUNDS, rate=RATE)
+        return self._gbt
 
     @property
     def load(self) -> forecast.LoadModel:

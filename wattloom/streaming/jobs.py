@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wattloom.functions import rules
@@ -33,13 +33,29 @@ def read_files(spark: SparkSession, folder: str, schema: str, pattern: str = "*.
     )
 
 
+def start(spark: SparkSession, writer: DataStreamWriter) -> StreamingQuery:
+    """Starts a stream with a state store per core under a local master.
+
+    A stream keeps the partition count of its first start; the default of
+    200 stores is for clusters, which choose their own.
+    """
+    context, setting = spark.sparkContext, "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    if context.master.startswith("local"):
+        spark.conf.set(setting, str(min(int(before), context.defaultParallelism)))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(setting, before)
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Processes all that is there into parquet and returns the table."""
-    query = (
+    writer = (
         stream.writeStream.outputMode(mode).format("parquet").option("path", path)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True)
     )
-    finish(query)
+    finish(start(stream.sparkSession, writer))
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
@@ -51,11 +67,11 @@ def finish(query: StreamingQuery) -> None:
 
 
 def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str) -> None:
-    query = (
+    writer = (
         stream.writeStream.outputMode(mode).foreachBatch(handle)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True)
     )
-    finish(query)
+    finish(start(stream.sparkSession, writer))
 
 
 def append_batch(path: str) -> Callable[[DataFrame, int], None]:

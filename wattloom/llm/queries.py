@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import decontamination, langid, licences, quality, toxicity
+from wattloom.llm import decontamination, html, langid, licences, pii, quality, toxicity
 from wattloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,14 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_licences")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(table(spark, folder, "documents"))
+
+
+@query("op2_main_text")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op4_pii")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.detect(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")

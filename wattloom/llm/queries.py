@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import decontamination, html, langid, licences, packing, pii, quality, toxicity
+from wattloom.llm import decontamination, html, langid, licences, neighbours, packing, pii, quality, toxicity
 from wattloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_packing")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(table(spark, folder, "documents"))
+
+
+@query("op8_neighbours")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)

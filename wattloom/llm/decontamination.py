@@ -90,7 +90,7 @@ def item_fingerprints(benchmark: DataFrame, item_id: str = "item_id", text: str
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, spans (array of start and end words, distinct), items (sorted ids).
+    """One row per row of ``docs``: doc_id, key (a hash of the text), n_words, spans (array of start and end words, distinct), items (sorted ids).
 
     Documents are matched by id and text, so repeated rows each get their result. Null and empty texts
     have no words and no hits; items without words match nothing; an item without id gives spans only.
@@ -154,6 +154,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     same = whole["doc_id"].eqNullSafe(union["doc_id"]) & (whole["key"] == union["key"])
     return whole.join(union, same, "left").select(
         whole["doc_id"],
+        whole["key"],
         "n_words",
         F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),

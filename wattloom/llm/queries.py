@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import decontamination, html, langid, licences, neighbours, packing, pii, quality, toxicity
+from wattloom.llm import decontamination, html, jaccard, langid, licences, neighbours, packing, pii, quality, toxicity
 from wattloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,28 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_neighbours")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query(
+    "op6_jaccard",
+    r"""
+WITH RECURSIVE w AS (
+    SELECT row_number() OVER () AS rid, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+s AS (
+    SELECT DISTINCT rid, doc_id, array_to_string(w[i:i + 4], ' ') AS g
+    FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0
+),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+l AS (SELECT x, y FROM p JOIN n AS a ON a.rid = x JOIN n AS b ON b.rid = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+r AS (SELECT rid AS x, rid AS y FROM w UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+m AS (SELECT x, min(doc_id) AS component_id FROM r JOIN w ON w.rid = r.y GROUP BY x)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, (SELECT count(*) FROM l WHERE l.x = w.rid) AS n_links
+FROM w LEFT JOIN n USING (rid) JOIN m ON m.x = w.rid
+""",
+)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(table(spark, folder, "documents")).drop("key")

@@ -1,10 +1,11 @@
 """Invariants of trained models."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wattloom.functions import settings as S
-from wattloom.operators import evaluation, forecast, trees
+from wattloom.operators import boosting, evaluation, forecast
 from wattloom.plans.q_models import KEYS, Trained
 
 
@@ -13,13 +14,26 @@ def made(spark, folder):
     return Trained(spark, folder)
 
 
-def test_arrays_predict_what_spark_predicts(made):
-    model = forecast.gbt_forecaster(made.train, rounds=5, rate=0.3)
-    loaded = forecast.LoadModel(trees.from_spark(model), [trees.from_spark(model)] * 3)
-    a = forecast.gbt_predict(model, made.test).select(*KEYS, F.col("prediction").alias("p"))
-    b = forecast.load_predict(made.test, loaded)
-    worst = a.join(b, KEYS).agg(F.max(F.abs(F.col("p") - F.col("prediction")))).first()[0]
-    assert worst < 1e-6
+def test_boosting_fits_a_step_and_its_quantiles():
+    rng = np.random.default_rng(0)
+    x = rng.random((2000, 3))
+    y = np.where(x[:, 1] > 0.5, 10.0, 2.0) + rng.normal(0, 0.5, 2000)
+    model = boosting.fit(x, y)
+    assert len(model.weights) == 350 and np.abs(model.predict(x) - np.where(x[:, 1] > 0.5, 10, 2)).mean() < 0.3
+    low, high = (boosting.fit(x, y, q).predict(x) for q in (0.05, 0.95))
+    assert 0.8 < ((low <= y) & (y <= high)).mean() <= 1 and (low <= high).mean() > 0.95
+
+
+def test_boosting_without_rows_or_with_one_value():
+    assert boosting.fit(np.zeros((0, 2)), np.zeros(0)).predict(np.zeros((3, 2))).tolist() == [0, 0, 0]
+    assert np.allclose(boosting.fit(np.ones((5, 2)), np.full(5, 7.0)).predict(np.zeros((2, 2))), 7)
+
+
+def test_the_sample_stays_within_its_bound(spark):
+    df = spark.range(5000).selectExpr("id", "CAST(id AS double) AS x", "CASE WHEN id % 10 = 0 THEN NULL ELSE CAST(id AS double) END AS y")
+    x, y = boosting.bounded_sample(df, ["x"], "y", ["id"], 1000, 1)
+    assert len(x) == len(y) and 800 < len(y) < 1200
+    assert len(boosting.bounded_sample(df, ["x"], "y", ["id"], 10_000, 1)[1]) == 4500
 
 
 def test_quantiles_are_ordered_on_average_and_cover(made):

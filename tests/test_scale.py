@@ -168,8 +168,7 @@ def test_forest_finds_spikes_and_repeats(spark):
     assert sorted(r.decision for r in scored.collect()) == sorted(r.decision for r in other.collect())
 
 
-def test_forest_pool_keeps_the_spikes_in_scores(spark, monkeypatch):
-    monkeypatch.setattr(forest, "POOL_ROWS", 600)
+def test_forest_drawn_from_all_rows_keeps_the_spikes_in_scores(spark):
     df = spiked(spark)
     model = forest.isolation_forest_fit(df, ["x", "y"], ["building_id", "n"], trees=40, sample=128)
     top = forest.isolation_forest_score(df, model).orderBy(F.col("anomaly_score").desc()).limit(10)

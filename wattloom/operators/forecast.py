@@ -10,25 +10,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.functions import rules
 from wattloom.functions import settings as S
 from wattloom.functions.numeric import half_up, hours_after
-from wattloom.operators import evaluation, features, rows, trees
+from wattloom.operators import boosting, evaluation, features, rows, trees
 from wattloom.operators.forest import IsolationForest, isolation_forest_score
 from wattloom.session import cut_lineage
 
 HORIZON = 24
 
 
-def assembled(df: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=S.LOAD_FEATURES, outputCol="features").transform(df)
-
-
 @dataclass
 class LoadModel:
     """Point model and its 2.5, 50 and 97.5 percent companions as arrays."""
@@ -37,78 +31,37 @@ class LoadModel:
     quantiles: list[trees.Ensemble]
 
 
-def gbt_forecaster(
-    train: DataFrame, rounds: int = 350, depth: int = 4, rate: float = 0.05, subsample: float = 0.85, seed: int = 42
-):
-    """Gradient-boosted load model on the eight features, trained over all meters at once."""
-    learner = GBTRegressor(
-        featuresCol="features", labelCol="meter_reading", predictionCol="prediction", maxIter=rounds,
-        maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed,
-    )
-    frame = assembled(train).select("features", "meter_reading").persist()
-    try:
-        return learner.fit(frame)
-    finally:
-        frame.unpersist()
-
+KEYS = ["building_id", "timestamp"]
 
-def gbt_predict(model, df: DataFrame) -> DataFrame:
-    return model.transform(assembled(df)).drop("features")
 
+def gbt_forecaster(
+    train: DataFrame, rounds: int = 350, depth: int = 4, rate: float = 0.05, subsample: float = 0.85,
+    columns: float = 0.85, seed: int = 42, max_rows: int = boosting.MAX_ROWS,
+) -> trees.Ensemble:
+    """Gradient-boosted load model on the eight features over all meters; fitted on at most ``max_rows`` rows."""
+    x, y = boosting.bounded_sample(train, S.LOAD_FEATURES, "meter_reading", KEYS, max_rows, seed)
+    return boosting.fit(x, y, None, rounds, depth, rate, subsample, columns, seed=seed)
 
-def quantile_forecaster(
-    train: DataFrame, keys: list[str], quantiles: list[float] = S.QUANTILES,
-    stages: int = 20, depth: int = 4, rate: float = 0.3, seed: int = 42,
-) -> list[trees.Ensemble]:
-    """Boosted quantile models under the pinball loss.
 
-    A stage fits a tree to the loss gradient and sets each leaf to the
-    quantile of the residuals that reach it, from mergeable sketches. The
-    running predictions are written between stages, which cuts the lineage.
-    The quantiles do not depend on each other: their jobs run side by side.
-    """
-    start = train.agg(
-        *[F.percentile_approx("meter_reading", q, 10000).alias(f"q{i}") for i, q in enumerate(quantiles)]
-    ).first()
-    frame = cut_lineage(assembled(train).select(*keys, "features", "meter_reading"), "quantile")
+def gbt_predict(model: trees.Ensemble, df: DataFrame) -> DataFrame:
+    """Adds ``prediction`` from broadcast trees; the model's size is set by its parameters."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def boost(at: int) -> trees.Ensemble:
-        return _boost_quantile(frame, quantiles[at], float(start[at]), stages, depth, rate, seed)
+    @F.pandas_udf("double")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series(shared.value.predict(np.stack(part.to_numpy())) if len(part) else [], dtype=float)
 
-    with ThreadPoolExecutor(len(quantiles)) as pool:
-        return list(pool.map(boost, range(len(quantiles))))
+    return df.withColumn("prediction", run(feature_array()))
 
 
-def _boost_quantile(
-    frame: DataFrame, q: float, start: float, stages: int, depth: int, rate: float, seed: int
-) -> trees.Ensemble:
-    frame, grown = frame.withColumn("_f", F.lit(start)), []
-    residual = F.col("meter_reading") - F.col("_f")
-    gradient = F.when(residual >= 0, F.lit(q)).otherwise(F.lit(q - 1.0))
-    for stage in range(stages):
-        learner = DecisionTreeRegressor(
-            featuresCol="features", labelCol="_target", predictionCol="_fit", leafCol="_leaf",
-            maxDepth=depth, seed=seed + stage,
-        )
-        labelled = frame.withColumn("_target", gradient)
-        model = learner.fit(labelled)
-        placed = model.transform(labelled)
-        # one row per leaf, 2 ** depth at most
-        leaves = {
-            int(r["_leaf"]): float(r["v"])
-            for r in placed.groupBy("_leaf").agg(F.percentile_approx(residual, q, 10000).alias("v")).collect()
-        }
-        nodes, number = [], 0
-        for feature, threshold, left, right, value in trees.read_tree(model.toDebugString):
-            if left < 0:
-                value, number = leaves.get(number, 0.0), number + 1
-            nodes.append((feature, threshold, left, right, value))
-        grown.append(nodes)
-        if stage < stages - 1:
-            steps = F.create_map(*[F.lit(x) for leaf, v in leaves.items() for x in (float(leaf), v * rate)])
-            moved = F.col("_f") + F.coalesce(F.try_element_at(steps, F.col("_leaf")), F.lit(0.0))
-            frame = cut_lineage(placed.withColumn("_f", moved).drop("_target", "_fit", "_leaf"), "quantile")
-    return trees.ensemble(grown, [rate] * len(grown), start)
+def quantile_forecaster(
+    train: DataFrame, quantiles: list[float] = S.QUANTILES, rounds: int = 350, depth: int = 4, rate: float = 0.05,
+    subsample: float = 0.85, columns: float = 0.85, seed: int = 42, max_rows: int = boosting.MAX_ROWS,
+) -> list[trees.Ensemble]:
+    """Boosted quantile models under the pinball loss, each fitted on the same sample of at most ``max_rows`` rows."""
+    x, y = boosting.bounded_sample(train, S.LOAD_FEATURES, "meter_reading", KEYS, max_rows, seed)
+    return [boosting.fit(x, y, q, rounds, depth, rate, subsample, columns, seed=seed) for q in quantiles]
 
 
 def feature_array() -> Column:
@@ -366,6 +319,7 @@ def standard_forecasters(rounds: int = 350, rate: float = 0.05) -> dict[str, For
         "seasonal_naive": (lambda train: None, lambda _, test: test.withColumn("prediction", F.col("lag_24h"))),
         "seasonal_arx": (arx_fit, lambda weights, test: arx_predict(test, weights)),
         "gbt": (lambda train: gbt_forecaster(train, rounds=rounds, rate=rate), gbt_predict),
+        "gbt_median": (lambda train: quantile_forecaster(train, [0.5], rounds=rounds, rate=rate)[0], gbt_predict),
     }
 
 
@@ -375,7 +329,7 @@ def model_size(model) -> int:
         return 0
     if isinstance(model, DataFrame):
         return model.count() * len(ARX_TERMS) * 8
-    return len(pickle.dumps(trees.from_spark(model)))
+    return len(pickle.dumps(model))
 
 
 def model_leaderboard(split: DataFrame, forecasters: dict[str, Forecaster]) -> DataFrame:

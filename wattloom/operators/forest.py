@@ -19,7 +19,6 @@ from wattloom.operators import rows
 from wattloom.operators.trees import Ensemble
 
 EULER = 0.5772156649015329
-POOL_ROWS = 200_000
 NODE_SCHEMA = "tree INT, node INT, feature INT, threshold DOUBLE, left INT, right INT, path DOUBLE"
 SCORE_GRID = 1_000_000
 
@@ -127,16 +126,15 @@ def isolation_forest_fit(
 ) -> IsolationForest:
     """Fits on any number of rows; each tree sees ``sample`` of them.
 
-    A pool of some ``POOL_ROWS`` rows is drawn by hash first, so that the
-    per-tree draw costs nothing at scale; only drawn rows are shuffled. The
-    threshold is the contamination quantile over all training scores.
+    Every tree draws straight from the whole table by row hashes, some twice as
+    many as it keeps; only drawn rows are shuffled. The threshold is the
+    contamination quantile over all training scores.
     """
     total = features.count()
-    pool = features if total <= POOL_ROWS else features.filter(uniform(keys, seed) < POOL_ROWS / total)
-    share = min(1.0, 2.0 * sample / min(total, POOL_ROWS))
+    share = min(1.0, 2.0 * sample / max(total, 1))
     vector = F.array(*[F.col(c).cast("double") for c in columns])
     drawn = (
-        pool.select(*keys, vector.alias("x"))
+        features.select(*keys, vector.alias("x"))
         .withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: uniform(keys, t, seed) < share)))
         .withColumn("_u", uniform(keys, F.col("tree"), seed))
     )

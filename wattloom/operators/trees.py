@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 
-_SPLIT = re.compile(r"^\s*If \(feature (\d+) <= (\S+)\)")
-_LEAF = re.compile(r"^\s*Predict: (\S+)")
-
-
 @dataclass
 class Ensemble:
     """Weighted trees over numeric features; -1 in ``left`` marks a leaf."""
@@ -40,30 +35,6 @@ class Ensemble:
         return total
 
 
-def read_tree(text: str) -> list[tuple[int, float, int, int, float]]:
-    """Nodes of one printed Spark tree in preorder: feature, threshold, left, right, value."""
-    lines = [line for line in text.splitlines() if _SPLIT.match(line) or _LEAF.match(line)]
-    nodes: list = []
-
-    def take(at: int) -> int:
-        me = len(nodes)
-        leaf = _LEAF.match(lines[at])
-        if leaf:
-            nodes.append((0, 0.0, -1, -1, float(leaf.group(1))))
-            return at + 1
-        split = _SPLIT.match(lines[at])
-        nodes.append(None)
-        left = len(nodes)
-        at = take(at + 1)
-        right = len(nodes)
-        at = take(at)
-        nodes[me] = (int(split.group(1)), float(split.group(2)), left, right, 0.0)
-        return at
-
-    take(0)
-    return nodes
-
-
 def ensemble(trees: list[list[tuple]], weights: list[float], base: float = 0.0) -> Ensemble:
     columns: list[list] = [[], [], [], [], [], []]
     for number, nodes in enumerate(trees):
@@ -74,8 +45,3 @@ def ensemble(trees: list[list[tuple]], weights: list[float], base: float = 0.0)
                 column.append(item)
     tree, feature, threshold, left, right, value = (np.array(c) for c in columns)
     return Ensemble(tree, feature, threshold, left, right, value, np.array(weights, dtype=float), base)
-
-
-def from_spark(model) -> Ensemble:
-    """A fitted Spark tree ensemble; its size is set by its parameters."""
-    return ensemble([read_tree(t.toDebugString) for t in model.trees], list(model.treeWeights))

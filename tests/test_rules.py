@@ -242,14 +242,40 @@ def test_standard_names_are_not_overwritten(spark):
     assert files.standardise_columns(df).columns == ["load_kwh", "meter_reading", "air_temperature"]
 
 
-def test_roster_pages_hold_everything(spark):
-    at = ts("2024-01-01 00:00:00")
-    units = frame(spark, [(1, "b")], "unit_id long, building_id string")
-    homes = frame(spark, [(i, 1, at, None) for i in range(50)], "household_id long, unit_id long, starts_at timestamp_ntz, ends_at timestamp_ntz")
-    members = frame(spark, [(i * 100 + j, i) for i in range(50) for j in range(30)], "member_id long, household_id long")
-    invited = frame(spark, [], "invitation_id long, household_id long, accepted_at timestamp_ntz, expires_at timestamp_ntz")
-    zones = frame(spark, [("z", "b", 1), ("y", "b", None)], "zone_id string, building_id string, unit_id long")
-    roster = relations.unit_roster(units, homes, members, invited, zones, "2024-01-01", 10)
-    people = roster.select(F.explode("households").alias("h")).select(F.explode("h.members.member_id").alias("m"))
-    assert people.count() == people.distinct().count() == 1500
-    assert roster.filter(F.col("unit_id").isNull()).first().zones[0].zone_id == "y"
+def test_roster_names_every_household_once(spark):
+    units = spark.createDataFrame([(1, 7), (2, 7)], "unit_id long, building_id long")
+    homes = spark.createDataFrame([(10, 1, None, None), (11, 1, None, None)], "household_id long, unit_id long, starts_at timestamp_ntz, ends_at timestamp_ntz")
+    members = spark.createDataFrame([(10, m) for m in range(50)], "household_id long, member_id long")
+    invited = spark.createDataFrame([], "household_id long, invitation_id long, accepted_at timestamp_ntz, expires_at timestamp_ntz")
+    zones = spark.createDataFrame([("x", 7, 1), ("y", 7, None)], "zone_id string, building_id long, unit_id long")
+    rows = relations.unit_roster(units, homes, members, invited, zones, "2024-01-01").collect()
+    assert sorted((r.unit_id or 0, r.household_id or 0, len(r.members or []), len(r.zones or [])) for r in rows) == [(0, 0, 0, 1), (1, 10, 50, 1), (1, 11, 0, 1), (2, 0, 0, 0)]
+
+
+def test_errors_with_zero_and_constant_actuals(spark):
+    from wattloom.operators import evaluation
+
+    df = spark.createDataFrame([("a", 0.0, 0.0), ("a", 0.0, 0.0), ("b", 5.0, 4.0), ("b", 5.0, 6.0), ("c", 0.0, 1.0)], "k string, actual double, prediction double")
+    got = {r.k: r for r in evaluation.forecast_metrics(df, "k").collect()}
+    assert (got["a"].mape, got["a"].r2, got["b"].r2, got["b"].mape) == (0.0, 1.0, 0.0, 20.0) and got["c"].mape > 1e15
+    late = df.selectExpr("k AS building_id", "timestamp_ntz '2024-01-01 00:00:00' AS timestamp", "actual", "prediction")
+    assert evaluation.rolling_mape(late).count() == 3
+
+
+def test_a_supplied_interval_stays(spark):
+    from wattloom.operators import features
+
+    df = spark.sql("SELECT 1 AS id, 'm' AS meter_id, timestamp_ntz '2024-01-01 00:00:00' AS timestamp, 1.0D AS meter_reading_kwh, 900.0D AS interval_seconds UNION ALL SELECT 2, 'm', timestamp_ntz '2024-01-01 00:10:00', 1.0D, NULL")
+    assert {r.id: r.interval_seconds for r in features.meter_hourly_rates(df).collect()} == {1: 900.0, 2: 600.0}
+
+
+def test_json_rows_are_read_to_their_end(spark):
+    from wattloom.sources import files
+
+    texts = ['{"k": 1}', '{"k": 1} x', '{"k": 1},{"k": 2}', '{"k": 1, "o": {"p": [NaN]}}', '{"k": 2, "o": "NaN"}', "[1]", None, "", '{"k": -Infinity}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: (r.k, r.error) for r in files.strict_json_rows(df, "t", "k BIGINT").collect()}
+    assert got == {
+        0: (1, None), 1: (None, "invalid_json"), 2: (None, "invalid_json"), 3: (None, "non_finite"), 4: (2, None),
+        5: (None, "wrong_type"), 6: (None, None), 7: (None, "invalid_json"), 8: (None, "non_finite"),
+    }

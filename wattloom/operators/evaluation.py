@@ -20,14 +20,27 @@ def seasonal_naive(series: DataFrame) -> DataFrame:
     )
 
 
+#: The spacing of doubles at 1; a smaller actual counts as this in a percentage.
+LEAST_ACTUAL = 2.0**-52
+
+
+def share() -> Column:
+    """Absolute error as a share of the actual value, which is held away from zero."""
+    return F.abs(error()) / F.greatest(F.abs(F.col("actual")), F.lit(LEAST_ACTUAL))
+
+
 def forecast_metrics(predictions: DataFrame, *keys: str) -> DataFrame:
-    """MAE, RMSE, MAPE in percent and R2; one pass of mergeable sums."""
+    """MAE, RMSE, MAPE in percent and R2; one pass of mergeable sums.
+
+    R2 of constant actuals is 1 where all predictions are right, else 0.
+    """
+    fit = F.lit(1.0) - F.try_divide(F.avg(error() * error()), F.var_pop("actual"))
     return predictions.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
         half_up(F.avg(F.abs(error())), 4).alias("mae"),
         half_up(F.sqrt(F.avg(error() * error())), 4).alias("rmse"),
-        half_up(F.avg(F.abs(error() / F.col("actual"))) * 100, 4).alias("mape"),
-        half_up(F.lit(1.0) - F.avg(error() * error()) / F.var_pop("actual"), 6).alias("r2"),
+        half_up(F.avg(share()) * 100, 4).alias("mape"),
+        half_up(F.coalesce(fit, F.when(F.avg(error() * error()) == 0, 1.0).otherwise(0.0)), 6).alias("r2"),
     )
 
 
@@ -174,7 +187,7 @@ def rolling_mape(predictions: DataFrame, length: int = 168) -> DataFrame:
     """MAPE over each building's last rows, by row count."""
     last = rows.newest(predictions, ["building_id"], [F.col("timestamp").desc()], length)
     return last.groupBy("building_id").agg(
-        half_up(F.avg(F.abs(error() / F.col("actual"))) * 100, 2).alias("mape_percent"),
+        half_up(F.avg(share()) * 100, 2).alias("mape_percent"),
         F.count(F.lit(1)).alias("window_rows"),
     )
 

@@ -182,7 +182,11 @@ def recent_scope_series(readings: DataFrame, scope: str = "building_id", limit:
 
 
 def meter_hourly_rates(readings: DataFrame, history: int = 20) -> DataFrame:
-    """Each reading with the hourly rates of up to ``history`` readings before it, newest first."""
+    """Each reading with the hourly rates of up to ``history`` readings before it, newest first.
+
+    An ``interval_seconds`` that comes with a reading stays; else it is the gap to the reading before.
+    """
+    given = F.col("interval_seconds") if "interval_seconds" in readings.columns else F.lit(None).cast("double")
     spread, keys = rows.with_history(readings, ["meter_id"], "timestamp", "id", ["meter_reading_kwh"], history)
     order = Window.partitionBy(*keys).orderBy("timestamp", "id")
     gap = elapsed(F.col("timestamp"), F.lag("timestamp").over(order))
@@ -198,7 +202,7 @@ def meter_hourly_rates(readings: DataFrame, history: int = 20) -> DataFrame:
         .withColumn("recent_meter_hourly_kwhs", F.reverse(F.collect_list("_rate").over(order.rowsBetween(1 - history, -1))))
         .withColumn(
             "interval_seconds",
-            F.when((F.col("_dt") > 0) & (F.col("_dt") <= 3600), F.col("_dt")).otherwise(F.lit(3600.0)),
+            F.coalesce(given, F.when((F.col("_dt") > 0) & (F.col("_dt") <= 3600), F.col("_dt")), F.lit(3600.0)),
         )
         .filter(~F.col("_copy"))
         .drop("_dt", "_rate", "_copy", "_bucket")

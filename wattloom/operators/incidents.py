@@ -351,10 +351,11 @@ def incident_view(incidents: DataFrame) -> DataFrame:
     """Snapshot as the base, columns over it; unknown estimates stay unknown."""
     schema = (
         "subsystem STRING, predicted_kwh DOUBLE, delta_kwh DOUBLE, outdoor_temp_c DOUBLE, "
-        "estimated_waste_vnd DOUBLE, estimated_waste_usd DOUBLE, description STRING"
+        "estimated_waste_vnd DOUBLE, estimated_waste_usd DOUBLE, description STRING, anomaly_score DOUBLE, suggested_action STRING"
     )
+    history = F.col("status_history") if "status_history" in incidents.columns else F.lit(None).cast("array<string>")
     return incidents.withColumn("_s", F.from_json("snapshot", schema)).select(
-        "id", "building_id", "timestamp", "_s.*",
+        "id", "building_id", "timestamp", "_s.*", F.coalesce(history, F.array()).alias("status_history"),
         F.initcap(F.lower("severity")).alias("severity"),
         F.col("actual_reading").alias("actual_kwh"), "status",
     )

@@ -241,35 +241,25 @@ def remaining_units(left: dict[str, DataFrame]) -> DataFrame:
 
 
 def unit_roster(
-    units: DataFrame, households: DataFrame, members: DataFrame, invitations: DataFrame, zones: DataFrame,
-    now: str, page_size: int = 500,
+    units: DataFrame, households: DataFrame, members: DataFrame, invitations: DataFrame, zones: DataFrame, now: str
 ) -> DataFrame:
-    """Units with nested households (members and live invitations) and zones.
+    """One row per unit and household, with its members and live invitations nested, and the unit's zones.
 
-    Lists are nested per page: a unit or household with more than
-    ``page_size`` entries continues on further rows, so that no task has to
-    hold an unbounded list and nothing is left out.
+    A unit without households has one row; a zone without unit has one of its own. What is nested
+    belongs to one household or one unit, so no list grows with the tables.
     """
 
-    def paged(df: DataFrame, key: str, item: Column, out: str, by: str) -> DataFrame:
-        size = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
-        page = F.pmod(F.xxhash64(by), F.ceil(F.col("_c") / page_size)).cast("int")
-        return (
-            df.join(size, key)
-            .groupBy(key, page.alias("page"))
-            .agg(F.array_sort(F.collect_list(item)).alias(out))
-        )
+    def nested(df: DataFrame, key: str, item: str, out: str) -> DataFrame:
+        return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(item))).alias(out))
 
     live = invitations.filter(F.col("accepted_at").isNull() & (F.col("expires_at") > ntz(now)))
-    member_pages = paged(members, "household_id", F.struct("member_id"), "members", "member_id")
-    invite_pages = paged(live, "household_id", F.struct("invitation_id"), "invitations", "invitation_id")
-    people = member_pages.join(invite_pages, ["household_id", "page"], "full").withColumnRenamed("page", "people_page")
-    home = households.select("household_id", "unit_id", "starts_at", "ends_at").join(people, "household_id", "left")
-    item = F.struct("household_id", "starts_at", "ends_at", "people_page", "members", "invitations")
-    by_unit = paged(home, "unit_id", item, "households", "household_id")
-    zone_pages = paged(zones.filter(F.col("unit_id").isNotNull()), "unit_id", F.struct("zone_id"), "zones", "zone_id")
-    content = by_unit.join(zone_pages, ["unit_id", "page"], "full")
-    roster = units.select("unit_id", "building_id").join(content, "unit_id", "left")
+    home = (
+        households.select("household_id", "unit_id", "starts_at", "ends_at")
+        .join(nested(members, "household_id", "member_id", "members"), "household_id", "left")
+        .join(nested(live, "household_id", "invitation_id", "invitations"), "household_id", "left")
+    )
+    own = nested(zones.filter(F.col("unit_id").isNotNull()), "unit_id", "zone_id", "zones")
+    roster = units.select("unit_id", "building_id").join(home, "unit_id", "left").join(own, "unit_id", "left")
     loose = zones.filter(F.col("unit_id").isNull()).select(
         F.lit(None).cast(units.schema["unit_id"].dataType).alias("unit_id"), "building_id",
         F.array(F.struct("zone_id")).alias("zones"),
@@ -288,9 +278,11 @@ def observed_plus_forecast(observed: DataFrame, forecast: DataFrame, window: int
     )
 
 
-def recent_events(events: DataFrame, key: str, limit: int, severity: str | None = None, retention: int = 1000) -> DataFrame:
-    """Newest events among the last ``retention`` that arrived, optionally of one severity."""
-    order = [F.col("timestamp").desc(), F.col("id").desc()]
+def recent_events(
+    events: DataFrame, key: str, limit: int, severity: str | None = None, retention: int = 1000, arrival: str = "arrival"
+) -> DataFrame:
+    """The last ``limit`` to arrive among the last ``retention``, optionally of one severity; event time plays no part."""
+    order = [F.col(arrival).desc(), F.col("id").desc()]
     kept = rows.newest(events, [key], order, retention)
     if severity:
         kept = kept.filter(F.col("severity") == severity.upper())

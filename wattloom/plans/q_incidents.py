@@ -155,9 +155,15 @@ def _(t: Tables) -> DataFrame:
 @query("incident_view", """
 SELECT id, building_id, timestamp, CAST(NULL AS STRING) AS subsystem, CAST(json_extract_string(snapshot, '$.predicted_kwh') AS DOUBLE) AS predicted_kwh, CAST(json_extract_string(snapshot, '$.delta_kwh') AS DOUBLE) AS delta_kwh,
   CAST(NULL AS DOUBLE) AS outdoor_temp_c, CAST(json_extract_string(snapshot, '$.estimated_waste_vnd') AS DOUBLE) AS estimated_waste_vnd, CAST(NULL AS DOUBLE) AS estimated_waste_usd, CAST(NULL AS STRING) AS description,
+  CASE WHEN snapshot IS NOT NULL THEN seq % 100 / CAST(100 AS DOUBLE) END AS anomaly_score, CASE WHEN snapshot IS NOT NULL THEN 'check ' || CAST(seq % 3 AS STRING) END AS suggested_action,
+  CAST(CASE WHEN seq % 4 = 0 THEN 2 ELSE 0 END AS BIGINT) AS n_history, CASE WHEN seq % 4 = 0 THEN 'RESOLVED' END AS last_status,
   upper(substr(severity, 1, 1)) || lower(substr(severity, 2)) AS severity, actual_reading AS actual_kwh, status FROM v_incident""", ("v_incident",))
 def _(t: Tables) -> DataFrame:
-    return incidents.incident_view(t("v_incident"))
+    score = ", \"anomaly_score\": ' || CAST(seq % 100 / CAST(100 AS DOUBLE) AS STRING) || ', \"suggested_action\": \"check ' || CAST(seq % 3 AS STRING) || '\"}"
+    stored = t("v_incident").withColumn("snapshot", F.expr(f"substr(snapshot, 1, length(snapshot) - 1) || '{score}'"))
+    stored = stored.withColumn("status_history", F.when(F.col("seq") % 4 == 0, F.array(F.lit("OPEN"), F.lit("RESOLVED"))))
+    history = F.col("status_history")
+    return incidents.incident_view(stored).withColumns({"n_history": F.size(history), "last_status": F.try_element_at(history, F.lit(-1))}).drop("status_history")
 
 
 @query("detector_quality", f"""

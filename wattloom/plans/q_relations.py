@@ -175,16 +175,13 @@ def _(t: Tables) -> DataFrame:
     )
     zones = units.select(F.concat(F.lit("zu"), u.cast("string")).alias("zone_id"), "building_id", F.when(u % 13 != 0, u).alias("unit_id"))
     roster = relations.unit_roster(units, households, t("v_member"), invitations, zones, THEN)
-    def nested(name: str):
-        return F.aggregate("households", F.lit(0), lambda a, x: a + F.greatest(F.lit(0), F.coalesce(F.size(x[name]), F.lit(0))))
-
-    # the nested lists are counted, so that the twin can compare them; pages of a unit are added up
+    size = lambda c: F.greatest(F.lit(0), F.coalesce(F.size(c), F.lit(0)))
+    # the nested lists are counted, so that the twin can compare them
     counted = roster.select(
-        "unit_id", "building_id", F.greatest(F.lit(0), F.size("households")).alias("households"),
-        F.coalesce(nested("members"), F.lit(0)).alias("members"), F.coalesce(nested("invitations"), F.lit(0)).alias("invitations"),
-        F.greatest(F.lit(0), F.size("zones")).alias("zones"),
+        "unit_id", "building_id", F.col("household_id").isNotNull().cast("int").alias("households"),
+        size("members").alias("members"), size("invitations").alias("invitations"), size("zones").alias("zones"),
     )
     with_unit = counted.filter(u.isNotNull()).groupBy("unit_id", "building_id").agg(
-        *[F.sum(c).alias(c) for c in ("households", "members", "invitations", "zones")]
+        *[F.sum(c).alias(c) for c in ("households", "members", "invitations")], F.max("zones").alias("zones")
     )
     return with_unit.unionByName(counted.filter(u.isNull()))

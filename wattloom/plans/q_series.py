@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
+from wattloom.functions import settings as S
+from wattloom.functions import text_rules
 from wattloom.functions.numeric import half_up
 from wattloom.functions.numeric import sql_round as r
 from wattloom.operators import features, relations, rows
@@ -99,12 +100,11 @@ def _(t: Tables) -> DataFrame:
 @query("serving_window", """
 SELECT building_id, timestamp + (TIMESTAMP '2024-06-05 14:00:00' - end_ts) AS timestamp, meter_reading_kwh FROM (
   SELECT *, max(CASE WHEN i = e THEN timestamp END) OVER (PARTITION BY building_id) AS end_ts FROM (
-    SELECT *, coalesce(max(CASE WHEN hit AND i >= 335 THEN i END) OVER (PARTITION BY building_id), max(CASE WHEN hit THEN i END) OVER (PARTITION BY building_id)) AS e FROM (
+    SELECT *, coalesce(max(CASE WHEN hit AND i >= 719 THEN i END) OVER (PARTITION BY building_id), max(CASE WHEN hit THEN i END) OVER (PARTITION BY building_id)) AS e FROM (
       SELECT building_id, timestamp, meter_reading_kwh, row_number() OVER (PARTITION BY building_id ORDER BY timestamp) - 1 AS i,
-        isodow(timestamp) = 3 AND hour(timestamp) = 14 AS hit FROM v_scored) a) b) c WHERE i BETWEEN e - 335 AND e""", ("v_scored",))
+        isodow(timestamp) = 3 AND hour(timestamp) = 14 AS hit FROM v_scored) a) b) c WHERE i BETWEEN e - 719 AND e""", ("v_scored",))
 def _(t: Tables) -> DataFrame:
-    # two weeks instead of 720 hours: the month of test data must be longer than the window
-    window = features.serving_window(t.scored(), "2024-06-05 14:20:00", 336)
+    window = features.serving_window(t.scored(), "2024-06-05 14:20:00")
     return window.select("building_id", "timestamp", "meter_reading_kwh")
 
 
@@ -138,10 +138,12 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("meter_hourly_rates", f"""
-SELECT id, meter_id, timestamp, {r("interval_seconds", 3)} AS interval_seconds, CAST(len(rates) AS BIGINT) AS n_rates, {r("list_sum(rates)", 3)} AS rate_sum, {r("rates[1]", 3)} AS newest_rate FROM v_rate""", ("v_rate",))
+SELECT id, meter_id, timestamp, {r("CASE WHEN id % 9 = 0 THEN 900.0 ELSE interval_seconds END", 3)} AS interval_seconds, CAST(len(rates) AS BIGINT) AS n_rates, {r("list_sum(rates)", 3)} AS rate_sum, {r("rates[1]", 3)} AS newest_rate FROM v_rate""", ("v_rate",))
 def _(t: Tables) -> DataFrame:
     rates = F.col("recent_meter_hourly_kwhs")
-    return features.meter_hourly_rates(t("v_meter_reading")).select(
+    # some meters tell their interval themselves
+    readings = t("v_meter_reading").withColumn("interval_seconds", F.when(F.col("id") % 9 == 0, F.lit(900.0)))
+    return features.meter_hourly_rates(readings).select(
         "id", "meter_id", "timestamp", half_up(F.col("interval_seconds"), 3).alias("interval_seconds"),
         F.size(rates).alias("n_rates"),
         half_up(F.when(F.size(rates) > 0, F.aggregate(rates, F.lit(0.0), lambda a, x: a + x)), 3).alias("rate_sum"),
@@ -149,14 +151,22 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-@query("conversation_tail", """
+# some turns ask on in the ways the rule knows, others only seem to
+ASKED = """CASE turn % 4 WHEN 0 THEN 'Giải thích thêm về ' || message WHEN 1 THEN 'Vì sao thế ' || substr(message, 1, 5) WHEN 2 THEN message || ' sao' ELSE message END"""
+
+
+def any_of(needles: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(m, '{n}')" for n in needles) + ")"
+
+
+@query("conversation_tail", f"""
 SELECT session_id, turn, role, role = 'user' AND follow AS is_follow_up, CASE WHEN role = 'user' AND follow THEN before END AS context FROM (
   SELECT *, lag(lower(message)) OVER (PARTITION BY session_id ORDER BY turn) AS before, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS n,
-    contains(lower(message), 'the') AS follow FROM v_turn) q WHERE n <= 3""", ("v_turn",))
+    {any_of(S.FOLLOW_UP_PHRASES)} OR {any_of(S.FOLLOW_UP_WORDS)} AND len(regexp_extract_all(m, '[^\\s]+')) <= 6 AS follow
+  FROM (SELECT *, lower(message) AS m FROM (SELECT session_id, turn, role, {ASKED} AS message FROM v_turn) asked) low) q WHERE n <= 10""", ("v_turn",))
 def _(t: Tables) -> DataFrame:
-    # the given conversations have few turns and no Vietnamese follow-ups: three turns, the word "the"
-    asks = F.lower("message").contains("the")
-    return relations.conversation_tail(t("v_turn"), asks, 3).drop("message")
+    turns = t("v_turn").withColumn("message", F.expr(ASKED))
+    return relations.conversation_tail(turns, text_rules.is_follow_up(F.col("message"))).drop("message")
 
 
 @query("run_history", """
@@ -210,7 +220,9 @@ def _(t: Tables) -> DataFrame:
 
 @query("recent_events", """
 SELECT id, building_id, timestamp, severity FROM (
-  SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY timestamp DESC, id DESC) AS m FROM (
-    SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY timestamp DESC, id DESC) AS n FROM v_incident) a WHERE n <= 1000 AND severity = 'CRITICAL') b WHERE m <= 50""", ("v_incident",))
+  SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY arrival DESC, id DESC) AS m FROM (
+    SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY arrival DESC, id DESC) AS n FROM (SELECT *, seq * 7919 % 100003 AS arrival FROM v_incident) late) a WHERE n <= 1000 AND severity = 'CRITICAL') b WHERE m <= 50""", ("v_incident",))
 def _(t: Tables) -> DataFrame:
-    return relations.recent_events(t("v_incident"), "building_id", 50, "critical").select("id", "building_id", "timestamp", "severity")
+    # many arrive long after their time
+    events = t("v_incident").withColumn("arrival", F.col("seq") * 7919 % 100003)
+    return relations.recent_events(events, "building_id", 50, "critical").select("id", "building_id", "timestamp", "severity")

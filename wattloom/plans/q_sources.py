@@ -61,14 +61,15 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("strict_json_rows", """
-SELECT event_id, CASE WHEN error IS NULL THEN CAST(json_extract_string(p, '$.k') AS BIGINT) END AS k, error
-FROM (SELECT event_id, p, CASE WHEN NOT json_valid(p) THEN 'invalid_json' WHEN substr(p, 1, 1) <> '{' THEN 'wrong_type' END AS error
-      FROM (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN substr(props, 1, length(props) - 2)
-                                  WHEN event_id % 10 = 5 THEN concat('[', props, ']') ELSE props END AS p FROM events) a) b""")
+SELECT event_id, CASE WHEN error IS NULL THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, error
+FROM (SELECT event_id, props, CASE WHEN event_id % 10 IN (0, 7) THEN 'invalid_json' WHEN event_id % 10 = 5 THEN 'wrong_type' WHEN event_id % 10 = 3 THEN 'non_finite' END AS error FROM events) a""")
 def _(t: Tables) -> DataFrame:
     text = (
         F.when(F.col("event_id") % 10 == 0, F.expr("substring(props, 1, length(props) - 2)"))
         .when(F.col("event_id") % 10 == 5, F.concat(F.lit("["), "props", F.lit("]")))
+        .when(F.col("event_id") % 10 == 7, F.concat("props", F.lit(" {}")))
+        .when(F.col("event_id") % 10 == 3, F.expr("concat('{\"other\": {\"deep\": [NaN]}, ', substring(props, 2))"))
+        .when(F.col("event_id") % 10 == 8, F.expr("concat('{\"said\": \"NaN, -Infinity\", ', substring(props, 2))"))
         .otherwise(F.col("props"))
     )
     raw = t.base("events").select("event_id", text.alias("p"))

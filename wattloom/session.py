@@ -30,24 +30,69 @@ def local_session(app: str = "wattloom", cores: str = "8", **conf: str) -> Spark
     return session
 
 
+#: Folder of each application without a configured one; only tests and laptops come here.
+_own_dirs: dict[str, str] = {}
+_cleared: set[tuple[str, str]] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    Where it is unset, driver and executors must be one process, and a temporary folder serves.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="wattloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="wattloom-")
+    return _own_dirs[app]
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; it goes when the application ends."""
+    app = spark.sparkContext.applicationId
+    root = f"{shared_dir(spark)}/wattloom-{app}"
+    if (app, root) not in _cleared:
+        fs, where = _file_system(spark, root)
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+        _cleared.add((app, root))
+    return root
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder; nothing is reused between runs."""
-    return f"{shared_dir(spark)}/wattloom/{label}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in this application's folder; nothing is reused between runs."""
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all that :func:`cut_lineage` and :func:`scratch` wrote; for long sessions, when no result is pending."""
+    fs, where = _file_system(spark, scratch_root(spark))
+    fs.delete(where, True)
+    fs.mkdirs(where)
+
+
+def replace_folder(spark: SparkSession, fresh: str, path: str) -> None:
+    """Puts the complete folder ``fresh`` in the place of ``path``; the old one goes after the switch."""
+    fs, target = _file_system(spark, path)
+    _, new = _file_system(spark, fresh)
+    _, old = _file_system(spark, f"{fresh}.old")
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"can't move {path} aside")
+    if not fs.rename(new, target):
+        raise OSError(f"can't move {fresh} to {path}")
+    if had:
+        fs.delete(old, True)
 
 
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:

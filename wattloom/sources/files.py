@@ -85,27 +85,30 @@ def standardise_columns(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(renames)
 
 
+#: Constants that JSON doesn't have.
+NON_FINITE = r"(?<![A-Za-z0-9_])(?:NaN|-?Infinity)(?![A-Za-z0-9_])"
+
+
 def strict_json_rows(df: DataFrame, column: str, schema: str) -> DataFrame:
     """Parses JSON objects; a bad row keeps its place with ``error`` set.
 
-    ``schema`` lists the number fields. Non-finite constants and other
-    top-level types are errors, a null stays null without one.
+    ``schema`` lists the fields wanted. Non-finite constants anywhere outside a
+    string, text after the object, repeated keys and other top-level types are
+    errors; a null stays null without one.
     """
     fields = [f.name for f in T.StructType.fromDDL(schema).fields]
     text = F.trim(F.col(column))
-    parsed = F.from_json(
-        text, f"{schema}, _bad STRING",
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowNonNumericNumbers": "true"},
-    )
-    finite = F.lit(True)
-    for name in fields:
-        value = F.col(f"_p.{name}").cast("double")
-        finite = finite & ~F.coalesce(F.isnan(value) | (F.abs(value) == F.lit(float("inf"))), F.lit(False))
+    parsed = F.from_json(text, schema)
+    bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', '""')
+    non_finite = bare.rlike(NON_FINITE)
+    # between brackets the parser must read to the end, and one value means nothing came after it
+    read = F.when(non_finite, F.regexp_replace(text, NON_FINITE, "0")).otherwise(text)
+    values = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), read, F.lit("]"))), "$", "array<variant>")
     error = (
         F.when(F.col(column).isNull(), F.lit(None).cast("string"))
-        .when(~text.startswith("{") & F.get_json_object(text, "$").isNotNull(), F.lit("wrong_type"))
-        .when(F.col("_p._bad").isNotNull(), F.lit("invalid_json"))
-        .when(~finite, F.lit("non_finite"))
+        .when(F.coalesce(F.size(values), F.lit(0)) != 1, F.lit("invalid_json"))
+        .when(~text.startswith("{"), F.lit("wrong_type"))
+        .when(non_finite, F.lit("non_finite"))
     )
     out = df.withColumn("_p", parsed).withColumn("error", error)
     for name in fields:

@@ -59,8 +59,7 @@ def with_history(
         .agg(F.count(F.lit(1)).alias("_c"), F.min(at).alias("_a"), F.max(at).alias("_z"))
         .filter(F.col("_c") > HOT_BUCKET_ROWS)
     )
-    # one row per HOT_BUCKET_ROWS rows of the table at most, so this stays small
-    own = bucketed.join(F.broadcast(hot), keys + ["_bucket"], "left")
+    own = bucketed.join(hot, keys + ["_bucket"], "left")
     stretch = (F.col("_z") - F.col("_a") + 1) / F.ceil(F.col("_c") / HOT_BUCKET_ROWS)
     own = own.withColumn(
         "_bucket", F.struct("_bucket", F.coalesce(F.floor((at - F.col("_a")) / stretch), F.lit(0).cast("long")).alias("part"))

@@ -26,17 +26,29 @@ def ntz(df: DataFrame, *names: str) -> DataFrame:
 
 
 @query("stream_ingest", """
-SELECT id, building_id, zone_id, meter_id, timestamp, meter_reading_kwh FROM v_meter_reading WHERE building_id <> 'b3' AND zone_id IS DISTINCT FROM 'z_view'""", ("v_meter_reading",))
+SELECT id, building_id, zone_id, timestamp, meter_reading_kwh, CASE WHEN building_id = 'b3' THEN 'unknown_building' WHEN zone_id = 'z_view' THEN 'no_meter' ELSE 'accepted' END AS outcome,
+  count(*) FILTER (WHERE building_id = 'b3' OR zone_id = 'z_view') OVER (PARTITION BY id) AS copies FROM (
+    SELECT * FROM v_meter_reading UNION ALL SELECT * FROM v_meter_reading WHERE building_id = 'b3' OR zone_id = 'z_view') twice
+WHERE id % 7 <> 0 OR building_id = 'b3' OR zone_id = 'z_view'""", ("v_meter_reading",))
 def _(t: Tables) -> DataFrame:
-    places = t("v_meter_reading").select("building_id", "zone_id", "meter_id").distinct().filter(F.col("building_id") != "b3")
+    readings = t("v_meter_reading")
+    places = readings.select("building_id", "zone_id", "meter_id").distinct().filter(F.col("building_id") != "b3")
     meters = places.filter(F.coalesce(F.col("zone_id") != "z_view", F.lit(True)))
-    # every reading arrives twice
-    twice = live(t, "v_meter_reading").withColumn("_c", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_c")
-    stream = jobs.stream_ingest(
-        twice.withColumn("interval_seconds", F.lit(600.0)),
-        places.select("building_id").distinct(), places.filter(F.col("zone_id").isNotNull()), meters,
-    ).select("id", "building_id", "zone_id", "meter_id", "timestamp", "meter_reading_kwh")
-    return ntz(jobs.run_available(stream, scratch(t.spark, "ingest"), scratch(t.spark, "state")))
+    buildings, zones = places.select("building_id").distinct(), places.filter(F.col("zone_id").isNotNull())
+    # the early half comes last, and every reading of it a second time later still
+    folder, accepted, rejected, state = (scratch(t.spark, n) for n in ("arrivals", "accepted", "rejected", "state"))
+    events = t.base("events")
+    early = F.col("event_id") % 2 == 0
+    for part in (events.filter(~early), events.filter(early), events):
+        part.write.mode("append").parquet(folder)
+        stream = live(t, "v_meter_reading", folder, 1_000_000).withColumn("interval_seconds", F.lit(600.0))
+        jobs.stream_ingest_sink(stream, buildings, zones, meters, ntz(readings.filter(F.col("id") % 7 == 0)), accepted, rejected, state)
+    keep = ["id", "building_id", "zone_id", "timestamp", "meter_reading_kwh"]
+    good = t.spark.read.parquet(accepted).select(*keep, F.lit("accepted").alias("outcome"), F.lit(0).alias("copies"))
+    bad = t.spark.read.parquet(rejected).select(*keep, F.col("reason").alias("outcome"))
+    twice = bad.groupBy(*keep, "outcome").agg(F.count("*").alias("copies"))
+    twice = twice.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_c")
+    return ntz(good.unionByName(twice))
 
 
 @query("stream_hourly", f"""
@@ -83,13 +95,12 @@ def _(t: Tables) -> DataFrame:
 @query("stream_filter_sink", """
 SELECT 'stored' AS sink, id, building_id, timestamp FROM v_meter_reading UNION ALL SELECT 'pushed', id, building_id, timestamp FROM v_meter_reading WHERE building_id = 'b1' AND id < 15""", ("v_meter_reading",))
 def _(t: Tables) -> DataFrame:
-    # two files, one batch each: the first fifteen readings, and all others
-    folder = scratch(t.spark, "arrivals")
+    # the first fifteen readings are one batch, what comes later another; the stream goes on where it stopped
+    folder, stored, pushed, state = (scratch(t.spark, n) for n in ("arrivals", "stored", "pushed", "state"))
     events = t.base("events")
     for part in (events.filter(F.col("event_id") < 15), events.filter(F.col("event_id") >= 15)):
-        part.coalesce(1).write.mode("append").parquet(folder)
-    stored, pushed = scratch(t.spark, "stored"), scratch(t.spark, "pushed")
-    jobs.stream_filter_sink(live(t, "v_meter_reading", folder, 1), "b1", stored, pushed, scratch(t.spark, "state"))
+        part.write.mode("append").parquet(folder)
+        jobs.stream_filter_sink(live(t, "v_meter_reading", folder, 1_000_000), "b1", stored, pushed, state)
     parts = [
         t.spark.read.parquet(path).select(F.lit(name).alias("sink"), "id", "building_id", "timestamp")
         for name, path in (("stored", stored), ("pushed", pushed))

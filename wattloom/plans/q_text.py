@@ -28,9 +28,10 @@ def _(t: Tables) -> DataFrame:
     return passages(t)
 
 
-@query("embed_chunks")
+@query("embed_chunks", "SELECT id, doc_id, CAST(256 AS BIGINT) AS dimensions, true AS unit_norm FROM v_chunk", ("v_chunk",))
 def _(t: Tables) -> DataFrame:
-    return text.embed_chunks(passages(t)).select("id", "doc_id", "embedding")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return text.embed_chunks(passages(t)).select("id", "doc_id", F.size("embedding").alias("dimensions"), (F.abs(norm - 1) < 1e-4).alias("unit_norm"))
 
 
 @query("rebuild_index", "SELECT count(*) AS passages, count(DISTINCT id) AS distinct_ids FROM v_chunk", ("v_chunk",))

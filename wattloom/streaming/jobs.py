@@ -98,6 +98,34 @@ def stream_ingest(
     )
 
 
+def stream_ingest_sink(
+    readings: DataFrame, buildings: DataFrame, zones: DataFrame, meters: DataFrame, stored: DataFrame,
+    accepted: str, rejected: str, checkpoint: str, arrival: str = "id",
+) -> None:
+    """Ingest with both outcomes: new readings to ``accepted``, the others with their ``reason`` to ``rejected``.
+
+    A reading is new if neither ``stored`` nor an earlier batch holds its building, zone and time; of
+    equal ones in a batch the first to arrive counts. However late a reading is, none is lost. A batch
+    that is handed over twice overwrites its own folders and leaves the others as they were.
+    """
+    spark = readings.sparkSession
+
+    def handle(batch: DataFrame, number: int) -> None:
+        checked = relations.ingest_validate(batch, buildings, zones, meters).persist()
+        try:
+            checked.filter(F.col("reason").isNotNull()).write.mode("overwrite").parquet(f"{rejected}/batch={number}")
+            good = checked.filter(F.col("reason").isNull()).drop("reason")
+            known = stored.select("building_id", "zone_id", "timestamp")
+            if number > 0:
+                before = spark.read.schema(good.schema.add("batch", "long")).parquet(accepted)
+                known = known.unionByName(before.filter(F.col("batch") < number).select(*known.columns))
+            relations.ingest_dedup(good, known, arrival).write.mode("overwrite").parquet(f"{accepted}/batch={number}")
+        finally:
+            checked.unpersist()
+
+    run_batches(readings, handle, checkpoint, "append")
+
+
 def stream_hourly(readings: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Building series per tumbling hour, emitted once the hour is complete."""
     kwh, zone = F.col("meter_reading_kwh"), F.col("zone_id")

@@ -120,7 +120,7 @@ def test_forest_connects_what_the_sketches_leave_open():
         return {frozenset(k for k in range(50) if find(k) == find(i)) for i in range(50)}
 
     every = [(i, j) for i in range(50) for j in range(i) if 9 * np.abs(counters[i].astype(int) - counters[j]).sum() <= n[i] + n[j]]
-    assert joined(zip(*jaccard.near_forest(counters, n))) == joined(every)
+    assert joined(zip(*jaccard.near_forest(counters.astype(np.int16), n))) == joined(every)
 
 
 def brute_hits(text, items):
@@ -266,3 +266,13 @@ def test_neighbours_of_few_and_odd_vectors(spark):
     rows = [tuple(r) for r in neighbours.nearest(df, cond).select("query_id", "rank", "vec_id").orderBy("query_id", "rank").collect()]
     assert rows == [(0, 1, 2), (0, 2, 40), (0, 3, 41), (0, 4, 1), (40, 1, 2), (40, 2, 41), (40, 3, 0), (40, 4, 1)]
     assert neighbours.nearest(df.limit(0), cond).count() == 0
+
+
+def test_sketches_bound_the_difference_from_below():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 700, 1100, 5000):
+        a = np.unique(rng.integers(0, 1 << 50, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: int(n * 0.9)], rng.integers(0, 1 << 50, n // 5 + 1, dtype=np.uint64)]))
+        x, y = (np.frombuffer(s, np.uint8)[None] for s in jaccard.sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])))
+        c = min(x.shape[1], y.shape[1])
+        assert np.abs(jaccard.folded(x, c) - jaccard.folded(y, c)).sum() <= len(np.setxor1d(a, b))

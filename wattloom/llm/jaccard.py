@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.llm import words
@@ -123,23 +123,43 @@ def signatures(shingles: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
     return np.concatenate(all_sig), np.concatenate(all_own)
 
 
-#: Counters of a sketch: how many shingles of a set fall into each; their differences bound a pair's difference from below.
-COUNTERS = 128
-#: Members of a signature that are paired directly; a larger group becomes a star whose cluster is compared in tiles.
+#: Counters of a small set's sketch; a larger set has the power of two that leaves at most so many shingles to a counter.
+COUNTERS, PER_COUNTER = 128, 8
+#: Members of a signature that are paired directly; in a larger group sketches decide first which may belong together.
 PAIRED = 24
 #: Signatures that a mapper gathers before it sends them, and that a reducer gets on average.
-SENT, GATHERED = 1 << 19, 1_500_000
-#: Sets of a tile, sets that one task compares, shingles multiplied at once.
-TILE, TASK_SETS, COLUMNS = 800, 4_000, 8_192
+SENT, GATHERED = 1 << 18, 600_000
+#: Members of a side of a large group's tile, and rows of such tiles in one task.
+GROUP_TILE, GROUP_ROWS = 2_048, 8_192
+#: Shingles of a side of a cluster's tile, shingles that one task gets, and how many are multiplied at once.
+TILE, TASK_SHINGLES, COLUMNS = 300_000, 1_000_000, 4_096
 #: Steps of the size code that two sets at the threshold may lie apart.
 SIZE_GAP = math.ceil(math.log(1.25) * SIZE_STEPS) + 1
 
 
-def sketches(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Counters of each set as bytes; they saturate together with the sets that need them exact, never above."""
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    at = owner * COUNTERS + (words.mix(shingles ^ U64(0x77)) % U64(COUNTERS)).astype(np.int64)
-    return np.minimum(np.bincount(at, minlength=(len(bounds) - 1) * COUNTERS), 255).astype(np.uint8).reshape(-1, COUNTERS)
+def counters_of(n: np.ndarray) -> np.ndarray:
+    """How many counters the sketch of a set of ``n`` shingles has."""
+    return np.maximum(COUNTERS, 1 << np.ceil(np.log2(np.maximum(n, 1) / PER_COUNTER)).clip(0).astype(np.int64))
+
+
+def sketches(shingles: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For each set how many of its shingles fall into each counter, as bytes.
+
+    Counters that differ by d in two sets mean that the sets differ in d shingles at least; what a byte
+    can't hold only makes that bound smaller.
+    """
+    n = np.diff(bounds)
+    size = counters_of(n)
+    first = np.concatenate([[0], np.cumsum(size)])
+    owner = np.repeat(np.arange(len(n)), n)
+    at = first[owner] + (words.mix(shingles ^ U64(0x77)) % size[owner].astype(np.uint64)).astype(np.int64)
+    flat = np.minimum(np.bincount(at, minlength=int(first[-1])), 255).astype(np.uint8)
+    return [flat[a:z].tobytes() for a, z in zip(first[:-1].tolist(), first[1:].tolist())]
+
+
+def folded(counters: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (rows) brought to ``size`` counters, which divides their own number."""
+    return counters.astype(np.int16).reshape(len(counters), -1, size).sum(1, dtype=np.int16)
 
 
 SETS = "doc_id long, key long, n long, set_id long, sketch binary"
@@ -153,7 +173,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
         for _, _, h, bounds in shingle_sets(batch.column("text")):
             n.append(np.diff(bounds))
             ids.append(identities(h, bounds))
-            counters += [x.tobytes() for x in sketches(h, bounds)]
+            counters += sketches(h, bounds)
         return {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "n": np.concatenate(n), "set_id": np.concatenate(ids), "sketch": counters}
 
     return per_batch(docs.select("doc_id", F.xxhash64("text").alias("key"), "text"), SETS, work)
@@ -169,14 +189,6 @@ def _by_signature(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndar
     return sig, ids, np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]])) if len(sig) else np.zeros(1, np.int64)
 
 
-def _stars(ids: np.ndarray, bounds: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from the first set of each group to its others."""
-    size = bounds[groups + 1] - bounds[groups]
-    first = np.repeat(ids[bounds[groups]], size)
-    rest = ids[np.arange(int(size.sum())) + np.repeat(bounds[groups] - (np.cumsum(size) - size), size)]
-    return first[first != rest], rest[first != rest]
-
-
 def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
@@ -185,15 +197,14 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a[new], b[new]
 
 
-PARTS = "bucket long, sig binary, ids binary, a binary, b binary"
-EDGES = "a long, b long, star boolean"
+PARTS = "bucket long, sig binary, ids binary"
+MET = "a long, b long, grouped boolean"
 
 
 def candidates(docs: DataFrame, buckets: int) -> DataFrame:
-    """Edges between sets that share a signature: pairs of compatible size of small groups, stars of large ones.
+    """Sets that share a signature: pairs (a, b) of compatible size from small groups, else rows (a = signature, b = set) marked as grouped.
 
-    A mapper sends each set once, and of a large group that it holds only the first members, having
-    made the star of the others itself; so neither copies nor near copies pile up at a reducer.
+    A mapper sends each distinct set once, so copies do not pile up at a reducer.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,19 +212,14 @@ def candidates(docs: DataFrame, buckets: int) -> DataFrame:
         seen: set[int] = set()
 
         def flush() -> pa.RecordBatch:
-            s, i, bounds = _by_signature(np.concatenate(sig), np.concatenate(ids))
-            large = np.flatnonzero(np.diff(bounds) > PAIRED + 1)
-            a, b = _distinct_pairs(*_stars(i, bounds, large))
-            rank = np.arange(len(s)) - np.repeat(bounds[:-1], np.diff(bounds))
-            s, i = s[rank <= PAIRED], i[rank <= PAIRED]
-            bucket, home = (s % U64(buckets)).astype(np.int64), (words.mix(a) % U64(buckets)).astype(np.int64)
-            order, at = np.argsort(bucket, kind="stable"), np.argsort(home, kind="stable")
+            s, i = np.concatenate(sig), np.concatenate(ids)
+            bucket = (s % U64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            s, i = s[order], i[order]
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            edge = np.searchsorted(home[at], np.arange(buckets + 1))
-            s, i, a, b = s[order], i[order], a[at], b[at]
-            full = np.flatnonzero((np.diff(cut) > 0) | (np.diff(edge) > 0)).tolist()
-            part = lambda x, c: [x[c[k] : c[k + 1]].tobytes() for k in full]
-            return record({"bucket": full, "sig": part(s, cut), "ids": part(i, cut), "a": part(a, edge), "b": part(b, edge)}, PARTS)
+            full = np.flatnonzero(np.diff(cut)).tolist()
+            part = lambda x: [x[cut[k] : cut[k + 1]].tobytes() for k in full]
+            return record({"bucket": full, "sig": part(s), "ids": part(i)}, PARTS)
 
         for batch in batches:
             for _, _, h, bounds in shingle_sets(batch.column("text")):
@@ -241,8 +247,8 @@ def candidates(docs: DataFrame, buckets: int) -> DataFrame:
         whole = lambda c: np.frombuffer(b"".join(rows[c].to_pylist()), np.uint64)
         sig, ids, bounds = _by_signature(whole("sig"), whole("ids"))
         size = np.diff(bounds)
-        a, b = _stars(ids, bounds, np.flatnonzero(size > PAIRED))
-        a, b = _distinct_pairs(np.concatenate([a, whole("a")]), np.concatenate([b, whole("b")]))
+        large = np.repeat(size > PAIRED, size)
+        a, b = sig[large], ids[large]
         code = (ids & U64((1 << SIZE_BITS) - 1)).astype(np.int64)
         # one shift after the other over the rows of small groups, so a pair is two rows some places apart
         small = np.repeat((size > 1) & (size <= PAIRED), size)
@@ -253,10 +259,86 @@ def candidates(docs: DataFrame, buckets: int) -> DataFrame:
             p.append(ids[:-gap][ok])
             q.append(ids[gap:][ok])
         p, q = _distinct_pairs(np.concatenate(p), np.concatenate(q))
-        return {"a": np.concatenate([a, p]), "b": np.concatenate([b, q]), "star": np.arange(len(a) + len(p)) < len(a)}
+        return {"a": np.concatenate([a, p]), "b": np.concatenate([b, q]), "grouped": np.arange(len(a) + len(p)) < len(a)}
 
     sent = docs.select("text").mapInArrow(send, PARTS)
-    return per_group(sent, ["bucket"], EDGES, meet)
+    return per_group(sent, ["bucket"], MET, meet)
+
+
+def _tiled(rows: DataFrame, key: str, member: str, weight: Column, side: int, per_task: int) -> DataFrame:
+    """``rows`` of groups cut into tiles: side `own`, pair of sides `i` <= `j`, and the task `part` that gets them.
+
+    Sides weigh about ``side`` each, tasks about ``per_task``.
+
+    A group of several sides sends each row once to every pair of sides that it is part of, so that no
+    group has to fit one task.
+    """
+    sizes = rows.groupBy(key).agg(F.sum(weight).alias("weight"), F.ceil(F.sum(weight) / side).cast("int").alias("sides"))
+    copies = sizes.agg(F.sum(F.col("weight") * F.col("sides"))).first()[0] or 0
+    own = F.pmod(F.xxhash64(member), F.col("sides")).cast("int")
+    spread = rows.join(sizes.drop("weight"), key).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    spread = spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("sides", "other")
+    return spread.withColumn("part", F.pmod(F.xxhash64(key, "i", "j"), F.lit(max(1, math.ceil(copies / per_task)))))
+
+
+def _runs_of(rows: pa.Table, keys: tuple[str, ...]) -> Iterator[tuple[int, int]]:
+    """Runs of equal keys of sorted rows."""
+    columns = [rows[c].to_numpy() for c in keys]
+    edge = np.ones(rows.num_rows + 1, bool)
+    edge[1:-1] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    at = np.flatnonzero(edge)
+    yield from zip(at[:-1].tolist(), at[1:].tolist())
+
+
+def near_forest(counters: np.ndarray, n: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges that connect the same members as all pairs do that the sketches leave open.
+
+    Everyone is held against the first member; only those it can't be near to are held against all.
+    """
+    def open_to(k: int) -> np.ndarray:
+        return np.flatnonzero(9 * np.abs(counters - counters[k]).sum(1, dtype=np.int64) <= n + n[k])
+
+    label = np.arange(len(n))
+    a, b = [], []
+    first = open_to(0)
+    label[first] = 0
+    a += [0] * (len(first) - 1)
+    b += first[first != 0].tolist()
+    for k in np.flatnonzero(label != 0).tolist():
+        found = open_to(k)
+        found = found[label[found] != label[k]]
+        if len(found):
+            roots, at = np.unique(label[found], return_index=True)
+            a += [k] * len(at)
+            b += found[at].tolist()
+            label[np.isin(label, roots)] = label[k]
+    return a, b
+
+
+def _grouped_edges(grouped: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) within large groups (a = signature, b = set)."""
+    rows = grouped.select(F.col("a").alias("sig"), F.col("b").alias("set_id"))
+    rows = _tiled(rows, "sig", "set_id", F.lit(1), GROUP_TILE, GROUP_ROWS).join(sets.select("set_id", "n", "sketch"), "set_id")
+
+    def work(rows: pa.Table) -> dict:
+        keys = ("sig", "i", "j")
+        rows = rows.combine_chunks().sort_by([(c, "ascending") for c in (*keys, "set_id")])
+        ids, n = rows["set_id"].to_numpy(), rows["n"].to_numpy()
+        size, sketch = counters_of(n), rows["sketch"]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in _runs_of(rows, keys):
+            # sets at the threshold have equally many counters or one twice as many as the other
+            for c in np.unique(size[lo:hi]).tolist():
+                mine = lo + np.flatnonzero((size[lo:hi] == c) | (size[lo:hi] == 2 * c))
+                if len(mine) > 1:
+                    counters = np.concatenate([folded(np.frombuffer(sketch[k].as_buffer(), np.uint8)[None], c) for k in mine.tolist()])
+                    p, q = near_forest(counters, n[mine])
+                    a.append(ids[mine[p]])
+                    b.append(ids[mine[q]])
+        a, b = _distinct_pairs(np.concatenate(a), np.concatenate(b))
+        return {"a": a, "b": b}
+
+    return per_group(rows.select("part", "sig", "i", "j", "set_id", "n", "sketch"), ["part"], "a long, b long", work)
 
 
 def _may_link(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -264,9 +346,18 @@ def _may_link(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     side = lambda c: sets.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
 
     def work(batch: pa.RecordBatch) -> dict:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COUNTERS).astype(np.int16) for c in ("s_a", "s_b"))
-        n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-        keep = pa.array(np.flatnonzero(9 * np.abs(x - y).sum(1, dtype=np.int64) <= n))
+        n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+        size = np.stack([counters_of(n_a), counters_of(n_b)], 1)
+        keep = []
+        for c_a, c_b in np.unique(size, axis=0).tolist():
+            rows = np.flatnonzero((size == (c_a, c_b)).all(1))
+            for at in range(0, len(rows), 1024):
+                part = pa.array(rows[at : at + 1024])
+                x, y = (np.frombuffer(b"".join(batch.column(c).take(part).to_pylist()), np.uint8).reshape(len(part), -1) for c in ("s_a", "s_b"))
+                gap = np.abs(folded(x, min(c_a, c_b)) - folded(y, min(c_a, c_b))).sum(1, dtype=np.int64)
+                mine = rows[at : at + 1024]
+                keep.append(mine[9 * gap <= n_a[mine] + n_b[mine]])
+        keep = pa.array(np.concatenate(keep))
         return {"a": batch.column("a").take(keep), "b": batch.column("b").take(keep)}
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -302,53 +393,40 @@ LINKS = "a long, b long, weight_a long, weight_b long"
 def links(clusters: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b) of linked sets within clusters (node, root), every pair once, with the rows of each.
 
-    A cluster is compared in tiles of at most about ``TILE`` sets to a side, so no cluster has to fit a task.
+    Texts of members go to the task that compares them, which makes their shingles anew.
     """
-    members = clusters.join(sets.select(F.col("set_id").alias("node"), "doc_id", "rows"), "node")
+    members = clusters.join(sets.select(F.col("set_id").alias("node"), F.col("doc_id").alias("doc"), "rows", "n"), "node")
     members = cut_lineage(members, "members")
-    tiles = members.groupBy("root").agg(F.count("*").alias("members"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    copies = tiles.agg(F.sum(F.col("members") * F.col("tiles"))).first()[0] or 0
-    tiles = tiles.drop("members")
-
-    def read(batch: pa.RecordBatch) -> dict:
-        ids, blobs = [], []
-        for _, _, h, bounds in shingle_sets(batch.column("text")):
-            ids.append(identities(h, bounds))
-            blobs += [h[bounds[k] : bounds[k + 1]].tobytes() for k in range(len(bounds) - 1)]
-        return {"doc": batch.column("doc_id"), "set": np.concatenate(ids), "shingles": blobs}
-
-    wanted = marked(docs.select("doc_id", "text"), "doc_id", members.select("doc_id")).where("_wl_may").select("doc_id", "text")
-    texts = per_batch(wanted, "doc long, set long, shingles binary", read)
-    whole = members.join(tiles, "root").join(texts, (F.col("doc_id") == F.col("doc")) & (F.col("node") == F.col("set")))
-    whole = whole.dropDuplicates(["node"])  # repeated rows have equal sets
-    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    spread = whole.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    spread = spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    # a cluster of many tiles sends each set once to every pair of tiles that it is part of
-    parts = max(1, math.ceil(copies / TASK_SETS))
-    spread = spread.select(F.pmod(F.xxhash64("root", "i", "j"), F.lit(parts)).alias("part"), "root", "i", "j", "own", "node", "rows", "shingles")
+    texts = marked(docs.select("doc_id", "text"), "doc_id", members.select("doc")).where("_wl_may").select("doc_id", "text")
+    tiles = _tiled(members, "root", "node", F.col("n"), TILE, TASK_SHINGLES)
+    whole = tiles.join(texts, F.col("doc") == F.col("doc_id")).select("part", "root", "i", "j", "own", "node", "rows", "text")
 
     def work(rows: pa.Table) -> dict:
-        rows = rows.combine_chunks().sort_by([("root", "ascending"), ("i", "ascending"), ("j", "ascending")])
-        keys = [rows[c].to_numpy() for c in ("root", "i", "j")]
-        node, own, weight = rows["node"].to_numpy(), rows["own"].to_numpy(), rows["rows"].to_numpy()
-        edge = np.ones(len(node) + 1, bool)
-        edge[1:-1] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-        at = np.flatnonzero(edge)
+        keys = ("root", "i", "j")
+        rows = rows.combine_chunks().sort_by([(c, "ascending") for c in (*keys, "node")])
+        node, own, weight, side = (rows[c].to_numpy() for c in ("node", "own", "rows", "i"))
+        other = rows["j"].to_numpy()
         out: dict = {c: [np.zeros(0, np.int64)] for c in ("a", "b", "weight_a", "weight_b")}
-        shingles = rows["shingles"]
-        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
-            if hi - lo < 2:
+        for lo, hi in _runs_of(rows, keys):
+            sets, ids = [], []
+            for _, _, h, bounds in shingle_sets(rows["text"][lo:hi]):
+                sets += [h[bounds[k] : bounds[k + 1]] for k in range(len(bounds) - 1)]
+                ids.append(identities(h, bounds))
+            # an id may have several rows: only one of the member's own text counts
+            fits = np.concatenate(ids).view(np.int64) == node[lo:hi]
+            keep = [k for k in range(hi - lo) if fits[k] and not (k and fits[k - 1] and node[lo + k - 1] == node[lo + k])]
+            if len(keep) < 2:
                 continue
-            x, y = compare([np.frombuffer(shingles[k].as_buffer(), np.uint64) for k in range(lo, hi)])
-            if keys[1][lo] != keys[2][lo]:  # pairs within a side are found where the tile meets itself
-                across = own[lo + x] != own[lo + y]
+            x, y = compare([sets[k] for k in keep])
+            at = lo + np.array(keep)
+            if side[lo] != other[lo]:  # pairs within a side are found where the tile meets itself
+                across = own[at[x]] != own[at[y]]
                 x, y = x[across], y[across]
-            for c, v in (("a", node[lo + x]), ("b", node[lo + y]), ("weight_a", weight[lo + x]), ("weight_b", weight[lo + y])):
+            for c, v in (("a", node[at[x]]), ("b", node[at[y]]), ("weight_a", weight[at[x]]), ("weight_b", weight[at[y]])):
                 out[c].append(v)
         return {c: np.concatenate(v) for c, v in out.items()}
 
-    return per_group(spread, ["part"], LINKS, work)
+    return per_group(whole, ["part"], LINKS, work)
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -364,9 +442,9 @@ def join(docs: DataFrame) -> DataFrame:
     sets = cut_lineage(sets, "distinct")
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, math.ceil(total * 0.65 / GATHERED))
-    edges = cut_lineage(candidates(docs.where(F.col("doc_id").isNotNull()), buckets), "edges")
-    pairs = edges.where("NOT star").select("a", "b").distinct()
-    near = _may_link(pairs, sets).union(edges.where("star").select("a", "b"))
+    met = cut_lineage(candidates(docs.where(F.col("doc_id").isNotNull()), buckets), "met")
+    pairs = met.where("NOT grouped").select("a", "b").distinct()
+    near = _may_link(pairs, sets).union(_grouped_edges(met.where("grouped"), sets))
     found = cut_lineage(links(components(near, "near"), sets, docs.where(F.col("doc_id").isNotNull())), "links")
     roots = components(found.select("a", "b"), "linked")
     smallest = roots.join(sets.select(F.col("set_id").alias("node"), "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("least"))

@@ -130,7 +130,7 @@ PAIRED = 24
 #: Signatures that a mapper gathers before it sends them, and that a reducer gets on average.
 SENT, GATHERED = 1 << 18, 600_000
 #: Members of a side of a large group's tile, and rows of such tiles in one task.
-GROUP_TILE, GROUP_ROWS = 2_048, 8_192
+GROUP_TILE, GROUP_ROWS = 2_048, 32_768
 #: Shingles of a side of a cluster's tile, shingles that one task gets, and how many are multiplied at once.
 TILE, TASK_SHINGLES, COLUMNS = 300_000, 1_000_000, 4_096
 #: Steps of the size code that two sets at the threshold may lie apart.
@@ -290,6 +290,26 @@ def _runs_of(rows: pa.Table, keys: tuple[str, ...]) -> Iterator[tuple[int, int]]
     yield from zip(at[:-1].tolist(), at[1:].tolist())
 
 
+def uniting(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges, in their order, that join what those before them had not joined yet."""
+    if not len(a):
+        return a, b
+    _, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = list(range(int(at.max()) + 1))
+    keep = []
+    for k, (x, y) in enumerate(zip(at[: len(a)].tolist(), at[len(a) :].tolist())):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        while root[y] != y:
+            root[y] = root[root[y]]
+            y = root[y]
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            keep.append(k)
+    return a[keep], b[keep]
+
+
 def near_forest(counters: np.ndarray, n: np.ndarray) -> tuple[list[int], list[int]]:
     """Edges that connect the same members as all pairs do that the sketches leave open.
 
@@ -335,7 +355,8 @@ def _grouped_edges(grouped: DataFrame, sets: DataFrame) -> DataFrame:
                     p, q = near_forest(counters, n[mine])
                     a.append(ids[mine[p]])
                     b.append(ids[mine[q]])
-        a, b = _distinct_pairs(np.concatenate(a), np.concatenate(b))
+        # the signatures of one family of near copies hold much the same members: one forest for all
+        a, b = uniting(np.concatenate(a), np.concatenate(b))
         return {"a": a, "b": b}
 
     return per_group(rows.select("part", "sig", "i", "j", "set_id", "n", "sketch"), ["part"], "a long, b long", work)
@@ -358,7 +379,8 @@ def _may_link(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 mine = rows[at : at + 1024]
                 keep.append(mine[9 * gap <= n_a[mine] + n_b[mine]])
         keep = pa.array(np.concatenate(keep))
-        return {"a": batch.column("a").take(keep), "b": batch.column("b").take(keep)}
+        a, b = uniting(*(batch.column(c).take(keep).to_numpy() for c in ("a", "b")))
+        return {"a": a, "b": b}
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     return per_batch(joined.select("a", "b", "n_a", "s_a", "n_b", "s_b"), "a long, b long", work)

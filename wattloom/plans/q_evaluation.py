@@ -98,14 +98,14 @@ def _(t: Tables) -> DataFrame:
 
 @query("model_recommendation", f"""
 SELECT model, mean_mae, latency_ms, size_bytes, rank, is_contender, is_contender AND row_number() OVER (ORDER BY is_contender DESC, latency_ms, size_bytes, model) = 1 AS recommended
-FROM (SELECT *, row_number() OVER (ORDER BY mean_mae, latency_ms, size_bytes, model) AS rank, mean_mae <= min(mean_mae) OVER () * (1 + 0.25) AS is_contender FROM (
+FROM (SELECT *, row_number() OVER (ORDER BY mean_mae, latency_ms, size_bytes, model) AS rank, mean_mae <= min(mean_mae) OVER () * (1 + 0.01) AS is_contender FROM (
   SELECT model, {r("avg(mae)", 6)} AS mean_mae, length(model) * CAST(0.001 AS DOUBLE) AS latency_ms, length(model) * 100 AS size_bytes FROM v_by_horizon GROUP BY 1) a) b""", ("v_by_horizon",))
 def _(t: Tables) -> DataFrame:
     _, results, by_horizon = evaluation_tables(t)
     cost = results.select(
         "model", (F.length("model") * F.lit(0.001)).alias("latency_ms"), (F.length("model") * 100).cast("long").alias("size_bytes")
     )
-    return evaluation.model_recommendation(by_horizon, cost, 0.25)
+    return evaluation.model_recommendation(by_horizon, cost)
 
 
 @query("holdout_mape", f"""

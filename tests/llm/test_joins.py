@@ -188,6 +188,17 @@ def test_tokens_equal_the_library():
     assert got == [e.ids + [packing.END_ID] for e in coder.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("texts", [["it's"], ["we'll"], ["", "they're"], ["a b", "don't"], ["it's", ""]])
+def test_tokens_of_a_slice_that_ends_in_an_english_ending(texts):
+    import pyarrow as pa
+
+    from wattloom.llm.words import utf8
+
+    coder = packing.Tokeniser(packing.default_vocabulary())
+    ids, first = coder.encode(*utf8(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [coder.library.encode(t, add_special_tokens=False).ids + [packing.END_ID] for t in texts]
+
+
 def test_packing_places_every_piece_once(spark):
     from tokenizers import Tokenizer
 

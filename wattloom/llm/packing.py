@@ -87,7 +87,8 @@ def word_starts(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
         for k, c in enumerate(ending, 1):
             ok = ok[(cp[ok + k] == c) & ~text_start[ok + k]]
         start[ok + 1] = False
-        start[ok + 1 + len(ending)] |= True if len(ok) == 0 else (ok + 1 + len(ending) <= n)[: len(ok)]
+        after = ok + 1 + len(ending)
+        start[after[after < n]] = True
     return np.flatnonzero(start)
 
 

@@ -269,6 +269,21 @@ def test_neighbours_recall_and_order(spark):
     assert got[100] == want[100]
 
 
+@pytest.mark.parametrize("whole, least", [(neighbours.WHOLE, 0.99), (64, 0.9)])
+def test_neighbours_recall_of_unequal_norms_with_an_outlier(spark, monkeypatch, whole, least):
+    monkeypatch.setattr(neighbours, "WHOLE", whole)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 64))
+    x *= rng.lognormal(0, 0.5, 1500)[:, None] / np.linalg.norm(x, axis=1)[:, None]
+    x[7] *= 50 / np.linalg.norm(x[7])
+    x = x.astype(np.float32)
+    got: dict = {}
+    for r in neighbours.nearest(vectors(spark, x), __import__("pyspark").sql.functions.expr("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute_neighbours(list(enumerate(x.tolist())), 20)
+    assert set(got) == set(want) and sum(len(got[q] & set(want[q])) for q in want) / (20 * len(want)) >= least
+
+
 def test_neighbours_of_few_and_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     odd = [(20, None), (21, [0.0, 0.0]), (22, [nan, 1.0]), (23, [inf, 1.0]), (24, [None, 1.0]), (25, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (40, [1.0, 1.0]), (41, [1.0, 1.0])]

@@ -4,8 +4,9 @@ A vector is turned by three rounds of random signs and Hadamard transforms and h
 axis it lies nearest to. Several turns give as many tables; a query looks into the cells of its few
 nearest axes of each table, and what it meets there is ranked by the exact inner product.
 
-Largest inner product becomes nearest direction by one more component: vectors are scaled by the
-largest norm and filled up to the unit sphere, queries get a zero there.
+Largest inner product becomes nearest direction within ranges of norm, one for each power of two: each
+has its own cells, every query searches every range, and the exact ranking merges them. A range of few
+vectors is one cell that every query looks into.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from wattloom.llm.words import mix
 TABLES, PROBES = 24, 8
 #: Vectors of a cell that are ranked in one block, and rows that one task gathers.
 BLOCK_ROWS, TASK_ROWS = 16_384, 100_000
+#: Vectors of a norm range up to which it is searched whole.
+WHOLE = 2048
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -43,27 +46,29 @@ def turned(x: np.ndarray, table: int) -> np.ndarray:
     return x
 
 
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, and the power of two below each norm; zero vectors stay zero."""
+    peak = np.maximum(np.abs(x).max(1, initial=0), 5e-324)
+    x = x / peak[:, None]
+    norm = np.maximum(np.linalg.norm(x, axis=1), 1e-300)
+    return x / norm[:, None], np.floor(np.log2(peak) + np.log2(norm)).astype(np.int64)
+
+
 class Index:
-    """What hashing needs: the vectors' dimension and largest norm."""
+    """What hashing needs: the vectors' dimension."""
 
-    def __init__(self, dim: int, norm: float):
-        self.dim, self.norm = dim, norm
+    def __init__(self, dim: int):
+        self.dim = dim
         self.width = 1 << dim.bit_length()  # the first power of two above the dimension
 
-    def candidates(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), self.width))
-        out[:, : self.dim] = x / self.norm
-        out[:, self.dim] = np.sqrt(np.maximum(0, 1 - (out[:, : self.dim] ** 2).sum(1)))
-        return out
-
-    def queries(self, x: np.ndarray) -> np.ndarray:
+    def padded(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), self.width))
-        out[:, : self.dim] = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        out[:, : self.dim] = x
         return out
 
     def cells(self, x: np.ndarray, tables: int) -> np.ndarray:
-        """The cell of each candidate in each table."""
-        x = self.candidates(x)
+        """The cell of each unit vector in each table."""
+        x = self.padded(x)
         out = np.zeros((len(x), tables), np.int64)
         for t in range(tables):
             y = turned(x, t)
@@ -72,8 +77,8 @@ class Index:
         return out
 
     def probes(self, x: np.ndarray, tables: int, probes: int) -> np.ndarray:
-        """The cells each query looks into, nearest axes first."""
-        x = self.queries(x)
+        """The cells each query, a unit vector, looks into, nearest axes first."""
+        x = self.padded(x)
         out = []
         for t in range(tables):
             y = turned(x, t)
@@ -162,29 +167,37 @@ def _best(found: tuple[list, list, list], k: int) -> dict:
 
 def _search(rows: DataFrame, queries: DataFrame, index: Index, kind: str, n: int, k: int, tables: int, probes: int) -> DataFrame:
     """Candidates of each query from the cells it looks into, the ``k`` best that each task saw."""
-    dim = index.dim
+    dim, stride = index.dim, tables * index.width * 2
 
     def count(batch: pa.RecordBatch) -> dict:
-        cell, many = np.unique(index.cells(_matrix(batch.column("embedding"), dim, "f8"), tables), return_counts=True)
-        return {"cell": cell, "n": many}
-
-    # at most one row per cell: tables x axes x 2, whatever the number of vectors
-    sizes = collect_rows(per_batch(rows, "cell long, n long", count).groupBy("cell").agg(F.sum("n").alias("n")))
-    blocks = np.ones(tables * index.width * 2, np.int64)
-    blocks[sizes["cell"].to_numpy()] = -(-sizes["n"].to_numpy() // BLOCK_ROWS)
+        unit, level = directions(_matrix(batch.column("embedding"), dim, "f8"))
+        seen, back = np.unique(level, return_inverse=True)
+        key, many = np.unique(back[:, None] * stride + index.cells(unit, tables), return_counts=True)
+        return {"level": seen[key // stride], "cell": key % stride, "n": many}
+
+    # at most one row per norm range and cell: ranges x tables x axes x 2, whatever the number of vectors
+    sizes = collect_rows(per_batch(rows, "level long, cell long, n long", count).groupBy("level", "cell").agg(F.sum("n").alias("n")))
+    levels, slot = np.unique(sizes["level"].to_numpy(), return_inverse=True)
+    small = np.bincount(slot, sizes["n"].to_numpy(), len(levels)) <= WHOLE * tables
+    blocks = np.ones(len(levels) * stride, np.int64)
+    blocks[slot * stride + sizes["cell"].to_numpy()] = -(-sizes["n"].to_numpy() // BLOCK_ROWS)
+    blocks[np.flatnonzero(small) * stride] = -(-WHOLE // BLOCK_ROWS)
     parts = max(1, math.ceil(n * tables / TASK_ROWS))
 
     def index_rows(batch: pa.RecordBatch) -> dict:
         x, ids = _matrix(batch.column("embedding"), dim, kind), batch.column("vec_id").to_numpy()
-        cells = index.cells(x.astype(np.float64), tables)
-        who = np.repeat(np.arange(len(ids)), tables)
-        cells = cells.ravel()
+        unit, level = directions(x.astype(np.float64))
+        own = np.minimum(np.searchsorted(levels, level), len(levels) - 1)
+        who, table = np.nonzero(~small[own][:, None] | (np.arange(tables) == 0))
+        cells = np.where(small[own[who]], 0, index.cells(unit, tables)[who, table]) + own[who] * stride
         salts = (mix(ids[who].astype(np.uint64)) % blocks[cells].astype(np.uint64)).astype(np.int64)
         return _sent(cells, salts, who, ids, x, parts)
 
     def query_rows(batch: pa.RecordBatch) -> dict:
         x, ids = _matrix(batch.column("embedding"), dim, kind), batch.column("vec_id").to_numpy()
-        cells = index.probes(x.astype(np.float64), tables, probes)
+        near = index.probes(directions(x.astype(np.float64))[0], tables, probes)
+        large = (near[:, None, :] + np.flatnonzero(~small)[None, :, None] * stride).reshape(len(ids), -1)
+        cells = np.hstack([large, np.tile(np.flatnonzero(small) * stride, (len(ids), 1))])
         who, cells = np.repeat(np.arange(len(ids)), cells.shape[1]), cells.ravel()
         many = blocks[cells]
         salts = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
@@ -225,13 +238,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
     # only what is asked for, under fixed names
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"), is_query.alias("asked")).where(F.col("vec_id").isNotNull())
     rows = rows.where(usable(F.col("embedding")))
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
-    shape = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("norm")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
+    shape = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
     if not shape:
         empty = rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
         return empty.where("false")
-    dim, n, most = shape[0]
-    index = Index(dim, most)
+    dim, n = shape[0]
+    index = Index(dim)
     rows = rows.where(F.size("embedding") == dim)
     queries = rows.where("asked")
     found = cut_lineage(_search(rows, queries, index, kind, n, k, tables, probes), "found")

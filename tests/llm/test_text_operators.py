@@ -88,6 +88,21 @@ def test_field_learns_its_table_and_adds_spans():
     assert found[2:] == [([], []), ([], []), ([], [])]
 
 
+def test_long_stretches_are_decoded_whole():
+    filler = "room 101 on floor 3 ".split()
+    for phrase, span, kind in (("call (555) 010-4477 now", "(555) 010-4477", "phone"), ("address bob [at] mail [dot] example [dot] com is new", "bob [at] mail [dot] example [dot] com", "email")):
+        for n in (*range(190, 203), 4090, 4091, 4092, 4093, 4094, 4095):
+            text = " ".join([*(filler[k % 5] for k in range(n)), phrase, *filler * 60])
+            s = text.index(span)
+            assert (s, s + len(span), kind) in pii.find([text])[0][1], (n, phrase)
+
+
+def test_secrets_of_letters_alone_are_found_where_announced():
+    texts = ["the new password = correcthorse was set", "api_key = mellonfriend here", "he kept the secret of the old garden", "a token of thanks to all"]
+    got = [[(t[s:e], kind) for s, e, kind in spans] for t, (_, spans) in zip(texts, pii.find(texts))]
+    assert got == [[("correcthorse", "secret")], [("mellonfriend", "secret")], [], []]
+
+
 def test_viterbi_equals_enumeration():
     import itertools
 

@@ -2,9 +2,9 @@
 
 The patterns find addresses, numbers and cards in their plain forms. The random field reads words by
 their shape (letters and digits folded, signs kept) and those of their neighbours, is trained here
-from a small labelled table, and adds spans that the patterns miss. Words far from any digit, `@` or
-bracketed `at` are outside by definition, so it reads only the stretches around such words, many
-stretches side by side.
+from a small labelled table, and adds spans that the patterns miss. Words far from any digit, `@`,
+bracketed `at` or word that announces a secret are outside by definition, so it reads only the stretches
+around such words, each whole, many stretches side by side.
 """
 
 from __future__ import annotations
@@ -103,6 +103,17 @@ api_key = [secret 9f8e7d6c5b4a39281706f5e4d3c2b1a0] here
 key: [secret "0b96a8c8d79c4a5085c919698889f59b72ab7bb6"]
 password = [secret hunter2x99] must change
 secret = [secret s3cr3tV4lue88] stays
+password = [secret correcthorse] stays
+the password = [secret opensesame] works
+secret = [secret swordfish] again
+token = [secret "letmeinplease"] leaked
+api_key = [secret abracadabra] here
+forgot your password again
+a password must be long and the token is new
+the secret of the garden
+keep it secret and safe
+as a token of thanks
+the api_key is sent with each request
 in 2019 we sold 300 units
 version 2.0 of the license
 license, version 3.
@@ -137,6 +148,9 @@ FEATURES, REACH = 1 << 12, 3
 
 WORD = re.compile(r"\S+")
 SIGNAL = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]", re.I)
+#: Words that announce a secret, which may be of letters alone.
+ANNOUNCING = ("password", "secret", "token", "api_key")
+ANNOUNCED = re.compile(rf"(?<![A-Za-z])(?:{'|'.join(ANNOUNCING)})(?![A-Za-z])", re.I)
 FOLDS = ((re.compile(r"[a-z]+"), "a"), (re.compile(r"[A-Z]+"), "A"), (re.compile(r"[^\x00-\x7F]+"), "u"))
 
 
@@ -179,8 +193,8 @@ def _near(word: str, side: str) -> tuple[int, ...]:
 CUES = frozenset("mail e-mail email contact write call phone tel ring fax mobile number card visa paid host ip server token key api_key password secret year version page chapter room = at dot (at) (dot) [at] [dot]".split())
 
 
-def features(words: list[str]) -> list[tuple[int, ...]]:
-    padded = ["<s>", *words, "</s>"]
+def features(words: list[str], before: str = "<s>", after: str = "</s>") -> list[tuple[int, ...]]:
+    padded = [before, *words, after]
     return [_own(w) + _near(padded[i], "-") + _near(padded[i + 2], "+") + (0,) for i, w in enumerate(words)]
 
 
@@ -283,36 +297,68 @@ def viterbi(emissions: np.ndarray, lengths: np.ndarray, field: Field) -> np.ndar
     return path
 
 
+def signals(text: str) -> list[int]:
+    """Places of the signs and of the words that announce a secret."""
+    out = [m.start() for m in SIGNAL.finditer(text)]
+    low = text.lower()
+    if any(w in low for w in ANNOUNCING):
+        out += [m.start() for m in ANNOUNCED.finditer(text)]
+    return out
+
+
 def stretches(text: str) -> list[list[tuple[int, int]]]:
     """Runs of words (start, end) around those with a signal."""
+    at = signals(text)
+    if not at:
+        return []
     words = [m.span() for m in WORD.finditer(text)]
     starts = np.array([s for s, _ in words])
     marked = np.zeros(len(words) + 1, np.int64)
-    for m in SIGNAL.finditer(text):
-        k = int(np.searchsorted(starts, m.start(), "right")) - 1
-        marked[max(k - REACH, 0)] += 1
-        marked[min(k + REACH + 1, len(words))] -= 1
+    near = np.searchsorted(starts, at, "right") - 1
+    np.add.at(marked, np.maximum(near - REACH, 0), 1)
+    np.add.at(marked, np.minimum(near + REACH + 1, len(words)), -1)
     inside = np.append(np.cumsum(marked[:-1]) > 0, False)
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside])))
     return [words[a:b] for a, b in zip(edge[::2], edge[1::2])]
 
 
-#: Stretches decoded side by side, and words of a stretch decoded at once; a longer one is cut there.
-BATCH, LONGEST = 256, 200
+#: Stretches decoded side by side, their places with padding unless one alone has more, and words whose features are held at once.
+BATCH, PLACES, CHUNK = 256, 51_200, 4096
+
+
+def emissions_of(words: list[str], field: Field) -> np.ndarray:
+    """(word, label) scores of one stretch, in chunks that see their neighbours."""
+    out = np.zeros((len(words), N_LABELS))
+    for at in range(0, len(words), CHUNK):
+        to = min(at + CHUNK, len(words))
+        rows = features(words[at:to], words[at - 1] if at else "<s>", words[to] if to < len(words) else "</s>")
+        out[at:to] = field.emit[np.array(rows)].sum(1)
+    return out
+
+
+def _batches(sizes: list[int]):
+    """(from, to) of the batches of stretches whose sizes ascend."""
+    at = 0
+    while at < len(sizes):
+        to = at + 1
+        while to < len(sizes) and to - at < BATCH and (to + 1 - at) * sizes[to] <= PLACES:
+            to += 1
+        yield at, to
+        at = to
 
 
 def field_spans(texts: list[str]) -> list[list[tuple[int, int, str]]]:
     """Spans that the random field finds in each text."""
     field = train()
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    todo = [(i, run[k : k + LONGEST]) for i, text in enumerate(texts) for run in stretches(text) for k in range(0, len(run), LONGEST)]
+    todo = [(i, run) for i, text in enumerate(texts) for run in stretches(text)]
     todo.sort(key=lambda r: len(r[1]))
-    for at in range(0, len(todo), BATCH):
-        part = todo[at : at + BATCH]
+    for at, to in _batches([len(run) for _, run in todo]):
+        part = todo[at:to]
         lengths = np.array([len(run) for _, run in part])
         emissions = np.zeros((len(part), lengths.max(), N_LABELS))
         for k, (i, run) in enumerate(part):
-            emissions[k, : len(run)] = field.emit[np.array(features([texts[i][s:e] for s, e in run]))].sum(1)
+            emissions[k, : len(run)] = emissions_of([texts[i][s:e] for s, e in run], field)
         for (i, run), path in zip(part, viterbi(emissions, lengths, field)):
             k = 0
             while k < len(run):
@@ -328,7 +374,8 @@ def field_spans(texts: list[str]) -> list[list[tuple[int, int, str]]]:
                     e -= 1
                 while s < e and texts[i][s] in "\"'|*&%$#":
                     s += 1
-                if SIGNAL.search(texts[i], s, e):
+                told = name[2:] == "secret" and ANNOUNCED.search(texts[i], run[max(k - REACH, 0)][0], run[k][0])
+                if s < e and (told or SIGNAL.search(texts[i], s, e)):
                     out[i].append((s, e, name[2:]))
                 k = to
     return out
@@ -337,7 +384,7 @@ def field_spans(texts: list[str]) -> list[list[tuple[int, int, str]]]:
 def find(texts: list[str | None]) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text; added spans never touch a base span."""
     texts = [t or "" for t in texts]
-    live = [i for i, t in enumerate(texts) if SIGNAL.search(t)]
+    live = [i for i, t in enumerate(texts) if SIGNAL.search(t) or signals(t)]
     out: list[tuple[list, list]] = [([], []) for _ in texts]
     for i, added in zip(live, field_spans([texts[i] for i in live])):
         base = base_spans(texts[i])

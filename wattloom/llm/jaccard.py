@@ -131,8 +131,8 @@ PAIRED = 24
 SENT, GATHERED = 1 << 18, 600_000
 #: Members of a side of a large group's tile, and rows of such tiles in one task.
 GROUP_TILE, GROUP_ROWS = 2_048, 32_768
-#: Shingles of a side of a cluster's tile, shingles that one task gets, and how many are multiplied at once.
-TILE, TASK_SHINGLES, COLUMNS = 300_000, 1_000_000, 4_096
+#: Shingles and sets of a side of a cluster's tile, shingles that one task gets, and how many are multiplied at once.
+TILE, TILE_SETS, TASK_SHINGLES, COLUMNS = 300_000, 2_000, 1_000_000, 4_096
 #: Steps of the size code that two sets at the threshold may lie apart.
 SIZE_GAP = math.ceil(math.log(1.25) * SIZE_STEPS) + 1
 
@@ -336,8 +336,13 @@ def near_forest(counters: np.ndarray, n: np.ndarray) -> tuple[list[int], list[in
 
 
 def _grouped_edges(grouped: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges (a, b) within large groups (a = signature, b = set)."""
+    """Edges (a, b) within large groups (a = signature, b = set).
+
+    Of signatures with the same members, told by a sum of their hashes, one is enough.
+    """
     rows = grouped.select(F.col("a").alias("sig"), F.col("b").alias("set_id"))
+    lists = rows.groupBy("sig").agg(F.count("*").alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("h"))
+    rows = rows.join(lists.groupBy("n", "h").agg(F.min("sig").alias("sig")).select("sig"), "sig")
     rows = _tiled(rows, "sig", "set_id", F.lit(1), GROUP_TILE, GROUP_ROWS).join(sets.select("set_id", "n", "sketch"), "set_id")
 
     def work(rows: pa.Table) -> dict:
@@ -409,18 +414,34 @@ def compare(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(np.triu(100 * common >= 80 * (both - common), 1))
 
 
-LINKS = "a long, b long, weight_a long, weight_b long"
+def pair_forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of the pairs (a, b) of members below ``n``, in order of a, connect the same members as all of them."""
+    label, keep = np.arange(n), []
+    at = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]])) if len(a) else np.zeros(1, np.int64)
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+        own = label[a[lo]]
+        new = lo + np.flatnonzero(label[b[lo:hi]] != own)
+        if len(new):
+            roots, first = np.unique(label[b[new]], return_index=True)
+            keep.append(new[first])
+            label[np.isin(label, roots)] = own
+    return np.concatenate(keep) if keep else np.zeros(0, np.int64)
+
+
+#: An edge (a, b), or with b null what one task adds to the number of rows that a links with.
+LINKS = "a long, b long, weight long"
 
 
 def links(clusters: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) of linked sets within clusters (node, root), every pair once, with the rows of each.
+    """LINKS of the sets in clusters (node, root): every pair is compared in one tile, no pair leaves its task.
 
-    Texts of members go to the task that compares them, which makes their shingles anew.
+    A task gives edges that connect what its pairs connect, and one sum per member. Texts of members go to
+    the task that compares them, which makes their shingles anew.
     """
     members = clusters.join(sets.select(F.col("set_id").alias("node"), F.col("doc_id").alias("doc"), "rows", "n"), "node")
     members = cut_lineage(members, "members")
     texts = marked(docs.select("doc_id", "text"), "doc_id", members.select("doc")).where("_wl_may").select("doc_id", "text")
-    tiles = _tiled(members, "root", "node", F.col("n"), TILE, TASK_SHINGLES)
+    tiles = _tiled(members, "root", "node", F.greatest("n", F.lit(TILE // TILE_SETS)), TILE, TASK_SHINGLES)
     whole = tiles.join(texts, F.col("doc") == F.col("doc_id")).select("part", "root", "i", "j", "own", "node", "rows", "text")
 
     def work(rows: pa.Table) -> dict:
@@ -428,7 +449,7 @@ def links(clusters: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
         rows = rows.combine_chunks().sort_by([(c, "ascending") for c in (*keys, "node")])
         node, own, weight, side = (rows[c].to_numpy() for c in ("node", "own", "rows", "i"))
         other = rows["j"].to_numpy()
-        out: dict = {c: [np.zeros(0, np.int64)] for c in ("a", "b", "weight_a", "weight_b")}
+        a, b, who, more = ([np.zeros(0, np.int64)] for _ in range(4))
         for lo, hi in _runs_of(rows, keys):
             sets, ids = [], []
             for _, _, h, bounds in shingle_sets(rows["text"][lo:hi]):
@@ -444,9 +465,17 @@ def links(clusters: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
             if side[lo] != other[lo]:  # pairs within a side are found where the tile meets itself
                 across = own[at[x]] != own[at[y]]
                 x, y = x[across], y[across]
-            for c, v in (("a", node[at[x]]), ("b", node[at[y]]), ("weight_a", weight[at[x]]), ("weight_b", weight[at[y]])):
-                out[c].append(v)
-        return {c: np.concatenate(v) for c, v in out.items()}
+            edge = pair_forest(x, y, len(at))
+            a.append(node[at[x[edge]]])
+            b.append(node[at[y[edge]]])
+            who.append(node[at])
+            more.append((np.bincount(x, weight[at[y]], len(at)) + np.bincount(y, weight[at[x]], len(at))).astype(np.int64))
+        a, b = uniting(np.concatenate(a), np.concatenate(b))
+        member, back = np.unique(np.concatenate(who), return_inverse=True)
+        total = np.bincount(back, np.concatenate(more), len(member)).astype(np.int64)
+        some = total > 0
+        ends = pa.concat_arrays([pa.array(b), pa.nulls(int(some.sum()), pa.int64())])
+        return {"a": np.concatenate([a, member[some]]), "b": ends, "weight": np.concatenate([np.zeros(len(a), np.int64), total[some]])}
 
     return per_group(whole, ["part"], LINKS, work)
 
@@ -468,9 +497,9 @@ def join(docs: DataFrame) -> DataFrame:
     pairs = met.where("NOT grouped").select("a", "b").distinct()
     near = _may_link(pairs, sets).union(_grouped_edges(met.where("grouped"), sets))
     found = cut_lineage(links(components(near, "near"), sets, docs.where(F.col("doc_id").isNotNull())), "links")
-    roots = components(found.select("a", "b"), "linked")
+    roots = components(found.where("b IS NOT NULL").select("a", "b"), "linked")
     smallest = roots.join(sets.select(F.col("set_id").alias("node"), "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("least"))
-    degree = found.select(F.col("a").alias("node"), F.col("weight_b").alias("w")).union(found.select("b", "weight_a")).groupBy("node").agg(F.sum("w").alias("w"))
+    degree = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("w"))
     linked = roots.join(smallest, "root").join(degree, "node").select("node", "least", "w")
     classes = sets.join(linked, sets["set_id"] == linked["node"], "left").select(
         "set_id", F.coalesce("least", "doc_id").alias("component_id"), (F.col("rows") - 1 + F.coalesce("w", F.lit(0))).alias("n_links")

@@ -14,26 +14,116 @@ def made(spark, folder):
     return Trained(spark, folder)
 
 
-def test_boosting_fits_a_step_and_its_quantiles():
-    rng = np.random.default_rng(0)
-    x = rng.random((2000, 3))
-    y = np.where(x[:, 1] > 0.5, 10.0, 2.0) + rng.normal(0, 0.5, 2000)
-    model = boosting.fit(x, y)
-    assert len(model.weights) == 350 and np.abs(model.predict(x) - np.where(x[:, 1] > 0.5, 10, 2)).mean() < 0.3
-    low, high = (boosting.fit(x, y, q).predict(x) for q in (0.05, 0.95))
-    assert 0.8 < ((low <= y) & (y <= high)).mean() <= 1 and (low <= high).mean() > 0.95
-
-
-def test_boosting_without_rows_or_with_one_value():
-    assert boosting.fit(np.zeros((0, 2)), np.zeros(0)).predict(np.zeros((3, 2))).tolist() == [0, 0, 0]
-    assert np.allclose(boosting.fit(np.ones((5, 2)), np.full(5, 7.0)).predict(np.zeros((2, 2))), 7)
-
-
-def test_the_sample_stays_within_its_bound(spark):
-    df = spark.range(5000).selectExpr("id", "CAST(id AS double) AS x", "CASE WHEN id % 10 = 0 THEN NULL ELSE CAST(id AS double) END AS y")
-    x, y = boosting.bounded_sample(df, ["x"], "y", ["id"], 1000, 1)
-    assert len(x) == len(y) and 800 < len(y) < 1200
-    assert len(boosting.bounded_sample(df, ["x"], "y", ["id"], 10_000, 1)[1]) == 4500
+COLUMNS = ["x0", "x1", "x2"]
+
+
+def noisy_steps(n=2000, seed=0):
+    rng = np.random.default_rng(seed)
+    x = rng.random((n, 3)).round(3)
+    x[:, 2] = rng.integers(0, 5, n)
+    return x, (np.where(x[:, 1] > 0.5, 10.0, 2.0) + x[:, 2] + rng.normal(0, 0.5, n)).round(3)
+
+
+def as_table(spark, x, y, part=None):
+    rows = [(k, *map(float, r), float(v), 0 if part is None else int(part[k])) for k, (r, v) in enumerate(zip(x, y))]
+    return spark.createDataFrame(rows, "id long, x0 double, x1 double, x2 double, y double, part int")
+
+
+def boost(spark, x, y, *specs, part=None):
+    return boosting.fit(as_table(spark, x, y, part), COLUMNS, "y", ["id"], list(specs), F.col("part"))
+
+
+def test_boosting_fits_steps_and_their_quantiles(spark):
+    x, y = noisy_steps()
+    truth = np.where(x[:, 1] > 0.5, 10.0, 2.0) + x[:, 2]
+    point, low, high = (f.model for f in boost(spark, x, y, *[boosting.Spec(q) for q in (None, 0.05, 0.95)]))
+    assert len(point.weights) == 350 and np.abs(point.predict(x) - truth).mean() < 0.3
+    assert 0.8 < ((low.predict(x) <= y) & (y <= high.predict(x))).mean() <= 1 and (low.predict(x) <= high.predict(x)).mean() > 0.95
+
+
+def test_boosting_without_rows_or_with_one_value(spark):
+    none = as_table(spark, np.zeros((1, 3)), np.zeros(1)).where("false")
+    fitted = boosting.fit(none, COLUMNS, "y", ["id"], [boosting.Spec(), boosting.Spec(0.5)])
+    assert [f.model.predict(np.zeros((3, 3))).tolist() for f in fitted] == [[0, 0, 0]] * 2
+    for f in boost(spark, np.ones((5, 3)), np.full(5, 7.0), boosting.Spec(rounds=5), boosting.Spec(0.5, rounds=5)):
+        assert np.allclose(f.model.predict(np.zeros((2, 3))), 7)
+
+
+def row_booster(x, y, edges, spec, buckets):
+    """The same model from rows instead of cells, written plainly; every question is answered from all rows."""
+    bins = [np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)]
+    rng = np.random.default_rng(spec.seed)
+    least = lambda r: np.sort(r)[max(1, int(np.ceil(spec.quantile * len(r) - 1e-9))) - 1]
+    now = np.full(len(y), y.mean() if spec.quantile is None else least(y))
+    for _ in range(spec.rounds):
+        skip = rng.choice(boosting.BUCKETS, round((1 - spec.subsample) * boosting.BUCKETS), replace=False)
+        picked = sorted(rng.choice(x.shape[1], max(1, round(spec.columns * x.shape[1])), replace=False).tolist())
+        use = ~np.isin(buckets, skip)
+        residual = y - now
+        g = residual if spec.quantile is None else np.where(residual >= 0, spec.quantile, spec.quantile - 1)
+        node = np.zeros(len(y), int)
+        for level in range(spec.depth):
+            for k in range(2**level - 1, 2 ** (level + 1) - 1):
+                mine, best, found = use & (node == k), 1e-12, None
+                for f in picked:
+                    for cut in range(len(edges[f])):
+                        left, right = mine & (bins[f] <= cut), mine & (bins[f] > cut)
+                        if left.any() and right.any():
+                            gain = g[left].sum() ** 2 / left.sum() + g[right].sum() ** 2 / right.sum() - g[mine].sum() ** 2 / mine.sum()
+                            if gain > best + 1e-9:
+                                best, found = gain, (f, cut)
+                if found:
+                    node = np.where(node == k, 2 * k + 1 + (bins[found[0]] > found[1]), node)
+        for k in np.unique(node):
+            r = residual[use & (node == k)]
+            if len(r):
+                now = now + np.where(node == k, spec.rate * (r.mean() if spec.quantile is None else least(r)), 0)
+    return now
+
+
+@pytest.mark.parametrize("quantile", [None, 0.9])
+def test_boosting_on_cells_equals_boosting_on_rows(spark, quantile):
+    x, y = noisy_steps(120, 3)
+    x[:, 0] = (x[:, 0] * 6).round() / 6
+    table = as_table(spark, x, y)
+    edges = boosting.bin_edges(table, COLUMNS)
+    buckets = np.array([r[0] for r in table.select(F.pmod(F.xxhash64("id"), F.lit(boosting.BUCKETS))).collect()])
+    spec = boosting.Spec(quantile, rounds=6, depth=2, rate=0.3)
+    want = row_booster(x, y, edges, spec, buckets)
+    assert np.allclose(boost(spark, x, y, spec)[0].model.predict(x), want, atol=1e-6)
+
+
+def test_many_blocks_give_the_model_of_one(spark, monkeypatch):
+    x, y = noisy_steps(700, 5)
+    part = np.arange(700) % 3 // 2
+    specs = [boosting.Spec(rounds=7, depth=3, rate=0.3, check=1), boosting.Spec(0.9, rounds=5, depth=2, rate=0.3, check=1), boosting.Spec(rounds=2, learn=1, check=0)]
+    one = boost(spark, x, y, *specs, part=part)
+    monkeypatch.setattr(boosting, "BLOCK_CELLS", 100)
+    monkeypatch.setattr(boosting, "REWRITE", 3)
+    many = boost(spark, x, y, *specs, part=part)
+    for a, b in zip(one, many):
+        assert np.allclose(a.model.predict(x), b.model.predict(x), atol=1e-6) and abs(a.rmse - b.rmse) < 1e-6
+    seen = one[0].model.predict(x[part == 1])
+    assert abs(one[0].rmse - np.sqrt(np.mean((seen - y[part == 1]) ** 2))) < 1e-9
+
+
+def test_a_rare_building_is_learned(spark):
+    rng = np.random.default_rng(2)
+    x = rng.random((20_000, 3)).round(2)
+    rare = np.arange(20_000) % 1000 == 0  # a thousandth of the rows has its own range of the first feature
+    x[rare, 0] = 5.0
+    y = np.where(rare, 500.0, 10.0) + rng.normal(0, 1, 20_000).round(2)
+    point, low, high = (f.model for f in boost(spark, x, y, *[boosting.Spec(q, rounds=120) for q in (None, 0.025, 0.975)]))
+    assert abs(point.predict(x[rare]) - 500).max() < 30
+    # pinball gradients of so few rows don't decide the first splits, but no row is left out
+    inside = (low.predict(x) <= y) & (y <= high.predict(x))
+    assert inside[~rare].mean() > 0.9 and high.predict(x[rare]).mean() > high.predict(x[~rare]).mean()
+
+
+def test_search_prunes_what_is_worse_than_the_median(made):
+    found = forecast.grid_search(made.train, [{"rounds": 40, "rate": r, "depth": 3} for r in (0.1, 0.08, 0.001, 0.0005)]).collect()
+    assert [r.pruned for r in found] == [False, False, True, True] and [r.folds for r in found] == [3, 3, 1, 1]
+    assert sum(r.is_best for r in found) == 1 and min(found, key=lambda r: r.mean_rmse).is_best
 
 
 def test_quantiles_are_ordered_on_average_and_cover(made):

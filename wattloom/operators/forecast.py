@@ -5,7 +5,6 @@ from __future__ import annotations
 import pickle
 import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,11 +35,11 @@ KEYS = ["building_id", "timestamp"]
 
 def gbt_forecaster(
     train: DataFrame, rounds: int = 350, depth: int = 4, rate: float = 0.05, subsample: float = 0.85,
-    columns: float = 0.85, seed: int = 42, max_rows: int = boosting.MAX_ROWS,
+    columns: float = 0.85, seed: int = 42,
 ) -> trees.Ensemble:
-    """Gradient-boosted load model on the eight features over all meters; fitted on at most ``max_rows`` rows."""
-    x, y = boosting.bounded_sample(train, S.LOAD_FEATURES, "meter_reading", KEYS, max_rows, seed)
-    return boosting.fit(x, y, None, rounds, depth, rate, subsample, columns, seed=seed)
+    """Gradient-boosted load model on the eight features, fitted on all rows of all meters."""
+    spec = boosting.Spec(None, rounds, depth, rate, subsample, columns, seed=seed)
+    return boosting.fit(train, S.LOAD_FEATURES, "meter_reading", KEYS, [spec])[0].model
 
 
 def gbt_predict(model: trees.Ensemble, df: DataFrame) -> DataFrame:
@@ -57,11 +56,18 @@ def gbt_predict(model: trees.Ensemble, df: DataFrame) -> DataFrame:
 
 def quantile_forecaster(
     train: DataFrame, quantiles: list[float] = S.QUANTILES, rounds: int = 350, depth: int = 4, rate: float = 0.05,
-    subsample: float = 0.85, columns: float = 0.85, seed: int = 42, max_rows: int = boosting.MAX_ROWS,
+    subsample: float = 0.85, columns: float = 0.85, seed: int = 42,
 ) -> list[trees.Ensemble]:
-    """Boosted quantile models under the pinball loss, each fitted on the same sample of at most ``max_rows`` rows."""
-    x, y = boosting.bounded_sample(train, S.LOAD_FEATURES, "meter_reading", KEYS, max_rows, seed)
-    return [boosting.fit(x, y, q, rounds, depth, rate, subsample, columns, seed=seed) for q in quantiles]
+    """Boosted quantile models under the pinball loss, fitted side by side on all rows."""
+    specs = [boosting.Spec(q, rounds, depth, rate, subsample, columns, seed=seed) for q in quantiles]
+    return [f.model for f in boosting.fit(train, S.LOAD_FEATURES, "meter_reading", KEYS, specs)]
+
+
+def load_model(train: DataFrame, quantiles: list[float] = S.QUANTILES, rounds: int = 350, seed: int = 42) -> LoadModel:
+    """The point model and its quantile companions from one reduction of the rows."""
+    specs = [boosting.Spec(q, rounds, seed=seed) for q in (None, *quantiles)]
+    point, *rest = [f.model for f in boosting.fit(train, S.LOAD_FEATURES, "meter_reading", KEYS, specs)]
+    return LoadModel(point, rest)
 
 
 def feature_array() -> Column:
@@ -356,32 +362,30 @@ def model_leaderboard(split: DataFrame, forecasters: dict[str, Forecaster]) -> D
     )
 
 
-def grid_search(
-    train: DataFrame, candidates: list[dict], k: int = 3, fit=gbt_forecaster, predict=gbt_predict, parallelism: int = 4
-) -> DataFrame:
-    """Mean validation RMSE over expanding folds per parameter set; the best is marked.
+def grid_search(train: DataFrame, candidates: list[dict], k: int = 3, compared: int = 3) -> DataFrame:
+    """Mean validation RMSE over expanding folds per parameter set; the best of those that met all folds is marked.
 
-    Each set gets the same folds; ``parallelism`` of them train side by side.
+    The folds are reduced to cells once, and in each fold all sets that are left grow side by side. Where
+    at least ``compared`` met a fold that is not the last, those whose mean so far is above their median
+    are pruned: (params, mean_rmse, folds, pruned, is_best), with the mean over the folds a set met.
     """
-    spark = train.sparkSession
-    folds = cut_lineage(features.expanding_folds(train, k), "folds")
-    numbers = sorted(r.fold for r in folds.select("fold").distinct().collect())
-
-    def score(params: dict) -> float:
-        errors = []
-        for fold in numbers:
-            part = folds.filter(F.col("fold") == fold)
-            model = fit(part.filter(F.col("role") == "train"), **params)
-            scored = predict(model, part.filter(F.col("role") == "validate"))
-            errors.append(scored.agg(F.sqrt(F.avg((F.col("meter_reading") - F.col("prediction")) ** 2))).first()[0])
-        return float(np.mean(errors))
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        scores = list(pool.map(score, candidates))
-    best = int(np.argmin(scores))
-    return spark.createDataFrame(
-        [(str(params), rmse, len(numbers), at == best) for at, (params, rmse) in enumerate(zip(candidates, scores))],
-        "params STRING, mean_rmse DOUBLE, folds INT, is_best BOOLEAN",
+    folds = features.expanding_folds(train, k)
+    part = F.col("fold") * 2 + (F.col("role") == "validate").cast("int")
+    data = boosting.Data(folds, S.LOAD_FEATURES, "meter_reading", KEYS, any(p.get("quantile") is not None for p in candidates), part)
+    errors: dict[int, list[float]] = {c: [] for c in range(len(candidates))}
+    left = list(errors)
+    numbers = sorted(r.fold for r in folds.select("fold").distinct().collect())  # at most k
+    for met, fold in enumerate(numbers, start=1):
+        specs = [boosting.Spec(**candidates[c], learn=2 * fold, check=2 * fold + 1) for c in left]
+        for c, fitted in zip(left, data.fit(specs)):
+            errors[c].append(fitted.rmse)
+        if len(left) >= compared and met < len(numbers):
+            middle = float(np.median([np.mean(errors[c]) for c in left]))
+            left = [c for c in left if np.mean(errors[c]) <= middle]
+    best = min(left, key=lambda c: np.mean(errors[c]))
+    return train.sparkSession.createDataFrame(
+        [(str(params), float(np.mean(errors[c])), len(errors[c]), c not in left, c == best) for c, params in enumerate(candidates)],
+        "params STRING, mean_rmse DOUBLE, folds INT, pruned BOOLEAN, is_best BOOLEAN",
     )
 
 

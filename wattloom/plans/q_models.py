@@ -32,7 +32,7 @@ class Trained:
 
     @cached_property
     def load(self) -> forecast.LoadModel:
-        return forecast.LoadModel(self.gbt, forecast.quantile_forecaster(self.train))
+        return forecast.load_model(self.train)
 
     @cached_property
     def forest(self) -> forest.IsolationForest:
@@ -197,5 +197,5 @@ CANDIDATES = [{"rounds": rounds, "depth": depth, "rate": rate} for rounds, rate
 @query("grid_search", f"SELECT CAST({len(CANDIDATES)} AS BIGINT) AS candidates, CAST(3 AS BIGINT) AS folds, true AS best_is_least")
 def _(t: Tables) -> DataFrame:
     found = forecast.grid_search(trained(t).train, CANDIDATES)
-    least = F.min("mean_rmse") == F.min(F.when(F.col("is_best"), F.col("mean_rmse")))
+    least = F.min(F.when(~F.col("pruned"), F.col("mean_rmse"))) == F.min(F.when(F.col("is_best"), F.col("mean_rmse")))
     return found.agg(F.count("*").alias("candidates"), F.max("folds").alias("folds"), (least & (F.count_if("is_best") == 1)).alias("best_is_least"))

@@ -316,6 +316,31 @@ def arx_predict(test: DataFrame, weights: DataFrame) -> DataFrame:
     return test.join(weights, "building_id").withColumn("prediction", value).drop("weights")
 
 
+def arx_horizons(test: DataFrame, weights: DataFrame, horizon: int = HORIZON, model: str = "seasonal_arx") -> DataFrame:
+    """Rolling-origin predictions of the fitted weights, each feeding the next one-hour lag.
+
+    A window frame gives each origin its next ``horizon`` feature rows; an aggregate over that array carries
+    the last prediction, all inside the JVM. Columns as :func:`evaluation.horizon_predictions`, rounded to
+    two decimals.
+    """
+    row = F.struct("timestamp", F.col("meter_reading").alias("actual"), "lag_1h", "lag_24h", "air_temperature")
+    ahead = F.collect_list(row).over(features.series_window().rowsBetween(1, horizon))
+    nested = test.withColumn("_a", ahead).select("building_id", F.col("timestamp").alias("origin_timestamp"), "_a").filter(F.size("_a") > 0)
+    w = F.col("weights")
+
+    def step(state: Column, x: Column) -> Column:
+        before = F.coalesce(F.try_element_at(state, F.lit(-1)), x.lag_1h)
+        value = F.get(w, F.lit(0)) + F.get(w, F.lit(1)) * before + F.get(w, F.lit(2)) * x.lag_24h + F.get(w, F.lit(3)) * x.air_temperature
+        return F.concat(state, F.array(value))
+
+    walked = nested.join(weights, "building_id").withColumn("_p", F.aggregate("_a", F.array().cast("array<double>"), step))
+    long = walked.select("building_id", "origin_timestamp", F.posexplode(F.arrays_zip("_a", "_p")).alias("_h", "_z"))
+    return long.select(
+        F.lit(model).alias("model"), "building_id", "origin_timestamp", (F.col("_h") + 1).alias("horizon_h"),
+        F.col("_z._a.timestamp").alias("target_timestamp"), F.col("_z._a.actual").alias("actual"), half_up(F.col("_z._p"), 2).alias("prediction"),
+    ).filter(F.col("actual").isNotNull() & F.col("prediction").isNotNull())
+
+
 # A forecaster is a pair: fit(train) -> model, predict(model, test) -> test with `prediction`.
 Forecaster = tuple[Callable[[DataFrame], object], Callable[[object, DataFrame], DataFrame]]
 

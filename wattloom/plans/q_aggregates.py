@@ -36,10 +36,10 @@ WASTE = "coalesce(TRY_CAST(json_extract_string(snapshot, '$.estimated_waste_vnd'
 SELECT s.building_id, s.total_consumption_kwh, s.peak_demand_kw, coalesce(e.n, 0) AS total_anomalies_detected,
   {r("coalesce(e.vnd, 0)", 0)} AS estimated_waste_cost_vnd, {r("0.0", 2)} AS estimated_waste_cost_usd
 FROM (SELECT building_id, {r("sum(meter_reading_kwh)", 1)} AS total_consumption_kwh, {r("max(meter_reading_kwh)", 1)} AS peak_demand_kw FROM v_series GROUP BY 1 HAVING count(*) >= 24) s
-LEFT JOIN (SELECT building_id, count(*) AS n, sum({WASTE}) AS vnd FROM v_incident WHERE status <> 'IGNORED' AND timestamp >= TIMESTAMP '{START}' GROUP BY 1) e
-  ON e.building_id = s.building_id""", ("v_series", "v_incident"))
+LEFT JOIN (SELECT building_id, count(*) AS n, sum({WASTE}) AS vnd FROM v_incident WHERE status <> 'IGNORED' AND timestamp >= {START} GROUP BY 1) e
+  ON e.building_id = s.building_id""", ("v_series", "v_incident", "v_span"))
 def _(t: Tables) -> DataFrame:
-    return aggregates.live_energy_metrics(t.series(), t("v_incident"), START)
+    return aggregates.live_energy_metrics(t.series(), t("v_incident"), t.span()[0])
 
 
 MONTHLY = f"""

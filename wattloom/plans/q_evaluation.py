@@ -7,16 +7,11 @@ from pyspark.sql import functions as F
 
 
 from wattloom.functions.numeric import sql_round as r
-from wattloom.operators import drift, evaluation, scenarios
-from wattloom.plans.q_sources import evaluation_tables
+from wattloom.operators import drift, evaluation, forecast, scenarios
+from wattloom.plans.q_sources import all_predictions, evaluation_tables
 from wattloom.plans.registry import query
-from wattloom.plans.views import Tables, rule_models
-
-
-
-def predictions(t: Tables) -> DataFrame:
-    test = t.with_profile().filter(F.col("part") == "test")
-    return evaluation.horizon_predictions(test, rule_models())
+from wattloom.plans.views import Tables
+from wattloom.session import cut_lineage
 
 
 @query("seasonal_naive", """
@@ -27,7 +22,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("forecast_metrics", "SELECT * FROM v_result", ("v_result",))
 def _(t: Tables) -> DataFrame:
-    return evaluation.forecast_metrics(predictions(t).filter(F.col("horizon_h") == 1), "model")
+    return evaluation.forecast_metrics(all_predictions(t).filter(F.col("horizon_h") == 1), "model")
 
 
 QUANTILES_SQL = """SELECT s.*, q.lo, q.mid, q.hi FROM v_split s JOIN (
@@ -57,12 +52,13 @@ def _(t: Tables) -> DataFrame:
 
 @query("horizon_scoring", "SELECT model, CAST(horizon_h AS BIGINT) AS horizon_h, mae, rmse FROM v_by_horizon", ("v_by_horizon",))
 def _(t: Tables) -> DataFrame:
-    return evaluation.horizon_scoring(predictions(t))
+    return evaluation.horizon_scoring(all_predictions(t))
 
 
 BANDS_SQL = f"""
-SELECT p.horizon_h, p.actual, greatest(0.0, least(b.lo, p.lag24)) AS l1, greatest(b.hi, p.lag24) AS h1, greatest(0.0, p.lag24 - 100) AS l2, p.lag24 + 100 AS h2
-FROM v_pair p JOIN ({QUANTILES_SQL}) b ON b.building_id = p.building_id AND b.timestamp = p.target_timestamp"""
+SELECT p.horizon_h, p.actual, greatest(0.0, least(b.lo, p.prediction)) AS l1, greatest(b.hi, p.prediction) AS h1, greatest(0.0, p.prediction - m.half) AS l2, p.prediction + m.half AS h2
+FROM v_prediction p JOIN ({QUANTILES_SQL}) b ON b.building_id = p.building_id AND b.timestamp = p.target_timestamp,
+  (SELECT 1.96 * rmse AS half FROM v_result WHERE model = 'seasonal_arx') m WHERE p.model = 'seasonal_arx'"""
 
 
 @query("interval_coverage", f"""
@@ -70,20 +66,22 @@ SELECT horizon_h, method, {r("avg(hit)", 6)} AS coverage, {r("avg(width)", 4)} A
   SELECT CAST(h AS BIGINT) AS horizon_h, method, hit, width FROM (
     SELECT horizon_h, 'learned_quantile' AS method, CASE WHEN actual BETWEEN l1 AND h1 THEN 1.0 ELSE 0.0 END AS hit, h1 - l1 AS width FROM ({BANDS_SQL}) x
     UNION ALL SELECT horizon_h, 'fixed_rmse', CASE WHEN actual BETWEEN l2 AND h2 THEN 1.0 ELSE 0.0 END, h2 - l2 FROM ({BANDS_SQL}) y) u, LATERAL (SELECT unnest([0, horizon_h]) AS h) k) z
-GROUP BY 1, 2""", ("v_pair", "v_split"))
+GROUP BY 1, 2""", ("v_prediction", "v_result", "v_split"))
 def _(t: Tables) -> DataFrame:
-    pairs = evaluation.rolling_origin(hourly_quantiles(t))
-    bands = pairs.select(
-        "horizon_h", F.col("meter_reading").alias("actual"), F.col("lag_24h").alias("prediction"), "q_low", "q_high",
-        F.lit(100.0).alias("half_width"),
-    )
-    return evaluation.interval_coverage(bands)
+    # the trained model's recursive forecasts; the constant band is its error one hour ahead
+    split = t.kept_split()
+    fitted = forecast.arx_fit(split.filter(F.col("part") == "train"))
+    made = cut_lineage(forecast.arx_horizons(split.filter(F.col("part") == "test"), fitted), "horizons")
+    first = evaluation.forecast_metrics(made.filter(F.col("horizon_h") == 1), "model").first()
+    rmse = first.rmse if first else 0.0
+    levels = hourly_quantiles(t).select("building_id", F.col("timestamp").alias("target_timestamp"), "q_low", "q_high")
+    return evaluation.interval_coverage(made.join(levels, ["building_id", "target_timestamp"]).withColumn("half_width", F.lit(1.96 * rmse)))
 
 
 @query("error_by_hour", f"""
 SELECT model, hour(target_timestamp) AS hour, {r("avg(abs(actual - prediction))", 4)} AS mean_abs_error FROM v_prediction WHERE horizon_h = 1 GROUP BY 1, 2""", ("v_prediction",))
 def _(t: Tables) -> DataFrame:
-    return evaluation.error_by_hour(predictions(t))
+    return evaluation.error_by_hour(all_predictions(t))
 
 
 @query("best_at_horizon", """
@@ -152,7 +150,7 @@ def gate(t: Tables) -> DataFrame:
     trained = split.filter(F.col("part") == "train").groupBy("building_id").agg(F.max("timestamp").alias("train_end"))
     bounds = trained.withColumn(
         "champion_train_end",
-        F.when(F.col("building_id") == "b3", F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")).otherwise(F.col("train_end")),
+        F.when(F.col("building_id") == "b3", F.lit(t.span()[1]).cast("timestamp_ntz")).otherwise(F.col("train_end")),
     )
     return evaluation.champion_gate(holdout, bounds)
 
@@ -237,7 +235,7 @@ def _(t: Tables) -> DataFrame:
 SELECT CAST(4 AS BIGINT) AS runs, true AS has_champion, true AS has_drift, true AS quality_missing, true AS benchmark_missing, 'benchmark' AS bad_sections""")
 def _(t: Tables) -> DataFrame:
     # sections are the JSON of other results; the benchmark one is cut short on purpose
-    champion = evaluation.forecast_metrics(predictions(t).filter(F.col("horizon_h") == 1), "model")
+    champion = evaluation.forecast_metrics(all_predictions(t).filter(F.col("horizon_h") == 1), "model")
     payload = champion.groupBy(F.lit("champion").alias("section")).agg(F.to_json(F.min_by(F.struct("model", "mae", "r2"), F.struct("mae", "model"))).alias("payload"))
     drifted = drift_rows(t).groupBy(F.lit("drift").alias("section")).agg(F.to_json(F.struct(F.count_if("drift_detected").alias("mae"))).alias("payload"))
     broken = payload.select(F.lit("benchmark").alias("section"), F.expr("substring(payload, 1, 12)").alias("payload"))

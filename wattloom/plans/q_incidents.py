@@ -11,7 +11,7 @@ from wattloom.functions.numeric import sql_round as r
 from wattloom.operators import features, incidents
 from wattloom.plans.q_sources import advice_sql
 from wattloom.plans.registry import query
-from wattloom.plans.views import Tables
+from wattloom.plans.views import START, Tables
 
 
 @query("residual_severity", "SELECT building_id, timestamp, is_anomaly, severity FROM v_scored", ("v_scored",))
@@ -43,10 +43,10 @@ SELECT id, building_id, zone_id, meter_id, timestamp, severity, {r("greatest(for
 FROM (SELECT *, CASE WHEN ratio >= 2.0 OR (forest_flag AND ratio >= 1.25 AND ratio >= 1.5) THEN 'CRITICAL' ELSE 'MEDIUM' END AS severity
   FROM (SELECT *, kwh / expected AS ratio FROM (SELECT *, {EXPECTED_SQL} AS expected FROM (
     SELECT i.*, id % 97 = 0 AS forest_flag, (id % 100) / 100.0 AS forest_score, greatest(0.0, i.meter_reading_kwh * (3600.0 / greatest(1.0, interval_seconds))) AS kwh, list_filter(rates, lambda x: x > 0) AS usable,
-      CASE WHEN i.timestamp >= TIMESTAMP '2024-01-02 00:00:00' AND s.meter_reading_kwh IS NOT NULL THEN greatest(10.0, s.meter_reading_kwh) ELSE coalesce(p.profile_kwh, 200.0) END AS expected_building
+      CASE WHEN i.timestamp >= {START} + INTERVAL 24 HOUR AND s.meter_reading_kwh IS NOT NULL THEN greatest(10.0, s.meter_reading_kwh) ELSE coalesce(p.profile_kwh, 200.0) END AS expected_building
     FROM v_rate i LEFT JOIN v_series s ON s.building_id = i.building_id AND s.timestamp = date_trunc('hour', i.timestamp) - INTERVAL 24 HOUR
     LEFT JOIN v_profile p ON p.building_id = i.building_id AND p.dayofweek = isodow(i.timestamp) - 1 AND p.hour = hour(i.timestamp)) a) b) c
-  WHERE (forest_flag AND ratio >= 1.25) OR ratio >= 1.6) d""", ("v_rate", "v_series", "v_profile"))
+  WHERE (forest_flag AND ratio >= 1.25) OR ratio >= 1.6) d""", ("v_rate", "v_series", "v_profile", "v_span"))
 def _(t: Tables) -> DataFrame:
     # the building model is the load 24 hours before; it counts as known from the second day on
     day_before = t.series().select(

@@ -155,26 +155,11 @@ def _(t: Tables) -> DataFrame:
     return scored_facts(forecast.score_live_series(tripled(made.split), made.load, made.forest))
 
 
-def arx_sql() -> str:
-    """Normal equations of the last 336 training rows, solved by elimination."""
-    terms = ["1.0", "lag_1h", "lag_24h", "air_temperature"]
-    size = len(terms)
-    sums = [f"sum({a} * {b}) AS m{i}{j}" for i, a in enumerate(terms) for j, b in enumerate(terms)]
-    sums += [f"sum({a} * meter_reading) AS m{i}{size}" for i, a in enumerate(terms)]
-    sql = f"""SELECT building_id, {', '.join(sums)} FROM (
-      SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY timestamp DESC) AS newest FROM v_split WHERE part = 'train') q WHERE newest <= 336 GROUP BY 1"""
-    for k in range(size):
-        cells = [
-            f"m{i}{j} / m{k}{k} AS m{i}{j}" if i == k else f"m{i}{j} - m{i}{k} * m{k}{j} / m{k}{k} AS m{i}{j}"
-            for i in range(size) for j in range(size + 1)
-        ]
-        sql = f"SELECT building_id, {', '.join(cells)} FROM ({sql}) e{k}"
-    value = " + ".join(f"w.m{i}{size} * {term}" for i, term in enumerate(terms))
-    return f"""SELECT t.building_id, t.timestamp, t.meter_reading, {r(value, 2)} AS prediction
-FROM v_split t JOIN ({sql}) w ON w.building_id = t.building_id WHERE t.part = 'test'"""
-
-
-@query("seasonal_arx", arx_sql(), ("v_split",))
+ARX_VALUE = "w.w0 + w.w1 * lag_1h + w.w2 * lag_24h + w.w3 * air_temperature"
+
+
+@query("seasonal_arx", f"""
+SELECT t.building_id, t.timestamp, t.meter_reading, {r(ARX_VALUE, 2)} AS prediction FROM v_split t JOIN v_arx w ON w.building_id = t.building_id WHERE t.part = 'test'""", ("v_split", "v_arx"))
 def _(t: Tables) -> DataFrame:
     made = trained(t)
     predicted = forecast.arx_predict(made.test, forecast.arx_fit(made.train))

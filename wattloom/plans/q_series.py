@@ -11,7 +11,7 @@ from wattloom.functions.numeric import half_up
 from wattloom.functions.numeric import sql_round as r
 from wattloom.operators import features, relations, rows
 from wattloom.plans.registry import query
-from wattloom.plans.views import Tables
+from wattloom.plans.views import LAST_HOUR, Tables
 
 CUT = "2024-01-20 00:00:00"
 
@@ -186,8 +186,8 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-@query("temperature_proxy", """
-SELECT building_id, timestamp + INTERVAL 24 HOUR AS timestamp, air_temperature FROM v_clean WHERE timestamp > TIMESTAMP '2024-01-29 23:00:00'""", ("v_clean",))
+@query("temperature_proxy", f"""
+SELECT building_id, timestamp + INTERVAL 24 HOUR AS timestamp, air_temperature FROM v_clean WHERE timestamp > {LAST_HOUR} - INTERVAL 24 HOUR""", ("v_clean", "v_span"))
 def _(t: Tables) -> DataFrame:
     return features.temperature_proxy(t.clean()).drop("step")
 
@@ -196,7 +196,7 @@ def _(t: Tables) -> DataFrame:
 SELECT building_id, step, timestamp, hour(timestamp) AS hour, {r("air_temperature", 2)} AS air_temperature, {r("lag_24h", 2)} AS lag_24h, {r("CASE WHEN step = 1 THEN last_kwh ELSE prev END", 2)} AS lag_1h FROM (
   SELECT building_id, timestamp + INTERVAL 24 HOUR AS timestamp, air_temperature, meter_reading AS lag_24h, lag(meter_reading) OVER w AS prev, row_number() OVER w AS step,
     last_value(meter_reading) OVER (PARTITION BY building_id ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_kwh
-  FROM v_clean WHERE timestamp > TIMESTAMP '2024-01-29 23:00:00' WINDOW w AS (PARTITION BY building_id ORDER BY timestamp)) q""", ("v_clean",))
+  FROM v_clean WHERE timestamp > {LAST_HOUR} - INTERVAL 24 HOUR WINDOW w AS (PARTITION BY building_id ORDER BY timestamp)) q""", ("v_clean", "v_span"))
 def _(t: Tables) -> DataFrame:
     from wattloom.operators.forecast import forecast_features
 

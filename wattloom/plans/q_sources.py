@@ -9,7 +9,7 @@ from wattloom.functions import rules
 from wattloom.functions import settings as S
 from wattloom.functions.numeric import half_up
 from wattloom.functions.numeric import sql_round as r
-from wattloom.operators import aggregates, cleaning, evaluation
+from wattloom.operators import aggregates, cleaning, evaluation, forecast
 from wattloom.plans.registry import query
 from wattloom.plans.views import Tables, rule_models
 from wattloom.session import cut_lineage, scratch
@@ -76,10 +76,16 @@ def _(t: Tables) -> DataFrame:
     return files.strict_json_rows(raw, "p", "k BIGINT").select("event_id", "k", "error")
 
 
-def evaluation_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Predictions of the rule models, their hour-1 metrics and their errors by horizon."""
+def all_predictions(t: Tables) -> DataFrame:
+    """Rolling-origin predictions of the rule models and, recursively, of the weights fitted on the training rows."""
     test = t.with_profile().filter(F.col("part") == "test")
-    predictions = cut_lineage(evaluation.horizon_predictions(test, rule_models()), "predictions")
+    trained = forecast.arx_fit(t.kept_split().filter(F.col("part") == "train"))
+    return evaluation.horizon_predictions(test, rule_models()).unionByName(forecast.arx_horizons(test, trained))
+
+
+def evaluation_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Predictions of three rules and of a trained model, their hour-1 metrics and their errors by horizon."""
+    predictions = cut_lineage(all_predictions(t), "predictions")
     results = evaluation.forecast_metrics(predictions.filter(F.col("horizon_h") == 1), "model").drop("rows")
     return predictions, results, evaluation.horizon_scoring(predictions)
 

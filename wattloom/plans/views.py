@@ -17,9 +17,13 @@ from wattloom.functions.numeric import sql_round as r
 from wattloom.operators import aggregates, cleaning, features
 from wattloom.session import cut_lineage
 
-START = "2024-01-01 00:00:00"
-LAST_HOUR = "2024-01-30 23:00:00"
-NOW = "2024-01-31 00:00:00"
+#: First and last hour of the days that readings span, and the hour after them, in SQL.
+START = "(SELECT first_hour FROM v_span)"
+LAST_HOUR = "(SELECT last_hour FROM v_span)"
+NOW = "(SELECT last_hour + INTERVAL 1 HOUR FROM v_span)"
+
+#: How the span's hours are written.
+S_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 BASE = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -37,6 +41,8 @@ SELECT event_id AS id, 'b' || CAST(user_id % 4 AS STRING) AS building_id,
 FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events) e"""),
     "v_meter_reading": (["v_telemetry"], """
 SELECT *, 'meter-' || md5(building_id || ':' || coalesce(zone_id, 'total')) AS meter_id FROM v_telemetry"""),
+    "v_span": (["events"], """
+SELECT date_trunc('day', min(ts)) AS first_hour, date_trunc('day', max(ts)) + INTERVAL 23 HOUR AS last_hour FROM events"""),
     "v_building": (["customer"], """
 SELECT 'c' || CAST(c_custkey AS STRING) AS building_id, c_nationkey AS site_id, c_name AS name,
   CASE WHEN c_mktsegment = 'BUILDING' THEN 'Office' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'Residential' ELSE c_mktsegment END AS building_type,
@@ -94,17 +100,34 @@ SELECT *, CASE WHEN id % 97 = 0 THEN -1 ELSE 1 END AS forest_label, (id % 100 -
 FROM v_meter_reading"""),
 }
 
+def _arx_weights() -> str:
+    """Normal equations of a building's last 336 training rows, solved by elimination."""
+    terms = ["1.0", "lag_1h", "lag_24h", "air_temperature"]
+    size = len(terms)
+    sums = [f"sum({a} * {b}) AS m{i}{j}" for i, a in enumerate(terms) for j, b in enumerate(terms)]
+    sums += [f"sum({a} * meter_reading) AS m{i}{size}" for i, a in enumerate(terms)]
+    sql = f"""SELECT building_id, {', '.join(sums)} FROM (
+      SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY timestamp DESC) AS newest FROM v_split WHERE part = 'train') q WHERE newest <= 336 GROUP BY 1"""
+    for k in range(size):
+        cells = [
+            f"m{i}{j} / m{k}{k} AS m{i}{j}" if i == k else f"m{i}{j} - m{i}{k} * m{k}{j} / m{k}{k} AS m{i}{j}"
+            for i in range(size) for j in range(size + 1)
+        ]
+        sql = f"SELECT building_id, {', '.join(cells)} FROM ({sql}) e{k}"
+    return f"SELECT building_id, {', '.join(f'm{i}{size} AS w{i}' for i in range(size))} FROM ({sql}) e"
+
+
 # Twins of what operators build; DuckDB only.
 DERIVED: dict[str, tuple[list[str], str]] = {
-    "v_series": (["v_meter_reading"], f"""
+    "v_series": (["v_meter_reading", "v_span"], f"""
 SELECT building_id, date_trunc('hour', timestamp) AS timestamp,
   {r("coalesce(sum(meter_reading_kwh) FILTER (WHERE zone_id IS NOT NULL), sum(meter_reading_kwh) FILTER (WHERE zone_id IS NULL), 0)", 4)} AS meter_reading_kwh,
   {r("coalesce(avg(outdoor_temperature_c), 26.0)", 2)} AS outdoor_temperature_c
-FROM v_meter_reading WHERE timestamp >= TIMESTAMP '{START}' AND timestamp < TIMESTAMP '{NOW}' GROUP BY 1, 2"""),
-    "v_hourly": (["v_series", "v_telemetry"], f"""
+FROM v_meter_reading WHERE timestamp >= {START} AND timestamp < {NOW} GROUP BY 1, 2"""),
+    "v_hourly": (["v_series", "v_telemetry", "v_span"], """
 SELECT g.building_id, g.timestamp, s.meter_reading_kwh AS meter_reading, s.outdoor_temperature_c AS air_temperature
-FROM (SELECT building_id, unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{LAST_HOUR}', INTERVAL 1 HOUR)) AS timestamp
-      FROM (SELECT DISTINCT building_id FROM v_telemetry)) g
+FROM (SELECT building_id, unnest(generate_series(first_hour, last_hour, INTERVAL 1 HOUR)) AS timestamp
+      FROM (SELECT DISTINCT building_id FROM v_telemetry), v_span) g
 LEFT JOIN v_series s ON s.building_id = g.building_id AND s.timestamp = g.timestamp"""),
     "v_clean": (["v_hourly"], f"""
 SELECT building_id, timestamp, {r("CASE WHEN m IS NOT NULL THEN m WHEN lm IS NULL THEN rm WHEN rm IS NULL THEN lm ELSE lm + (rm - lm) * ((p - lp) / (rp - lp)) END", 2)} AS meter_reading,
@@ -143,9 +166,19 @@ WHERE t.part = 'test'"""),
 SELECT q.building_id, o.timestamp AS origin_timestamp, q.position - o.position AS horizon_h, q.timestamp AS target_timestamp,
   q.meter_reading AS actual, q.lag_24h AS lag24, o.meter_reading AS lag1, q.profile_kwh AS hour_profile
 FROM v_test q JOIN v_test o ON o.building_id = q.building_id AND q.position - o.position BETWEEN 1 AND 24"""),
-    "v_prediction": (["v_pair"], """
+    "v_arx": (["v_split"], _arx_weights()),
+    # the recursive forecast as a recursive query: one hour ahead of every origin per step
+    "v_arx_walk": (["v_test", "v_arx"], """
+  SELECT q.building_id, o.timestamp AS origin_timestamp, CAST(1 AS BIGINT) AS h, q.position, q.timestamp AS target_timestamp, q.meter_reading AS actual,
+    w.w0 + w.w1 * q.lag_1h + w.w2 * q.lag_24h + w.w3 * q.air_temperature AS prediction
+  FROM v_test o JOIN v_test q ON q.building_id = o.building_id AND q.position = o.position + 1 JOIN v_arx w ON w.building_id = o.building_id
+  UNION ALL
+  SELECT q.building_id, p.origin_timestamp, p.h + 1, q.position, q.timestamp, q.meter_reading, w.w0 + w.w1 * p.prediction + w.w2 * q.lag_24h + w.w3 * q.air_temperature
+  FROM v_arx_walk p JOIN v_test q ON q.building_id = p.building_id AND q.position = p.position + 1 JOIN v_arx w ON w.building_id = p.building_id WHERE p.h < 24"""),
+    "v_prediction": (["v_pair", "v_arx_walk"], f"""
 SELECT model, building_id, origin_timestamp, horizon_h, target_timestamp, actual, prediction
-FROM (UNPIVOT v_pair ON lag24, lag1, hour_profile INTO NAME model VALUE prediction) u"""),
+FROM (UNPIVOT v_pair ON lag24, lag1, hour_profile INTO NAME model VALUE prediction) u
+UNION ALL SELECT 'seasonal_arx', building_id, origin_timestamp, h, target_timestamp, actual, {r("prediction", 2)} FROM v_arx_walk"""),
     "v_by_horizon": (["v_prediction"], f"""
 SELECT model, horizon_h, {r("avg(abs(actual - prediction))", 4)} AS mae, {r("sqrt(avg((actual - prediction) * (actual - prediction)))", 4)} AS rmse
 FROM v_prediction GROUP BY 1, 2"""),
@@ -153,10 +186,10 @@ FROM v_prediction GROUP BY 1, 2"""),
 SELECT model, count(*) AS rows, {r("avg(abs(actual - prediction))", 4)} AS mae, {r("sqrt(avg((actual - prediction) * (actual - prediction)))", 4)} AS rmse,
   {r("avg(abs((actual - prediction) / actual)) * 100", 4)} AS mape, {r("1.0 - avg((actual - prediction) * (actual - prediction)) / var_pop(actual)", 6)} AS r2
 FROM v_prediction WHERE horizon_h = 1 GROUP BY 1"""),
-    "v_forecast": (["v_clean"], f"""
+    "v_forecast": (["v_clean", "v_span"], f"""
 SELECT building_id, timestamp + INTERVAL 24 HOUR AS timestamp, meter_reading AS predicted_kwh, meter_reading * 0.8 AS lower_bound_95,
   meter_reading * 1.2 AS upper_bound_95, air_temperature AS outdoor_temperature_c
-FROM v_clean WHERE timestamp > TIMESTAMP '{LAST_HOUR}' - INTERVAL 24 HOUR"""),
+FROM v_clean WHERE timestamp > {LAST_HOUR} - INTERVAL 24 HOUR"""),
     "v_scored": (["v_split", "v_profile"], """
 SELECT f.building_id, f.timestamp, f.meter_reading AS meter_reading_kwh, f.air_temperature AS outdoor_temperature_c, p.profile_kwh AS predicted_kwh,
   f.meter_reading - p.profile_kwh AS residual, least(1.0, f.meter_reading / 1000.0) AS anomaly_score, f.meter_reading > p.profile_kwh * 1.15 AS is_anomaly,
@@ -212,7 +245,7 @@ FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS
 JOIN v_body b ON b.doc_id = c.doc_id""")
 
 ALL = {**SHARED, **DERIVED}
-RECURSIVE = {"v_cooldown", "v_passage"}
+RECURSIVE = {"v_cooldown", "v_passage", "v_arx_walk"}
 
 
 def cte(*names: str, heads: tuple[str, ...] = ()) -> str:
@@ -265,6 +298,14 @@ class Tables:
         self.spark, self.folder = spark, folder.rstrip("/")
         self._base: dict[str, DataFrame] = {}
         self._kept: DataFrame | None = None
+        self._span: tuple[str, str, str] | None = None
+
+    def span(self) -> tuple[str, str, str]:
+        """First and last hour of the days that readings span, and the hour after them; without readings a day long past."""
+        if self._span is None:
+            found = self("v_span").select(F.date_format("first_hour", S_FORMAT), F.date_format("last_hour", S_FORMAT), F.date_format(F.expr("last_hour + INTERVAL 1 HOUR"), S_FORMAT)).first()
+            self._span = tuple(found) if found[0] else ("1970-01-01 00:00:00", "1970-01-01 23:00:00", "1970-01-02 00:00:00")
+        return self._span
 
     def base(self, name: str) -> DataFrame:
         if name not in self._base:
@@ -279,11 +320,12 @@ class Tables:
         return over(self.spark, text, {n: self.base(n) for n in sorted(base_tables(*names))}, *names)
 
     def series(self) -> DataFrame:
-        return aggregates.hourly_building_series(self("v_meter_reading"), START, NOW)
+        start, _, now = self.span()
+        return aggregates.hourly_building_series(self("v_meter_reading"), start, now)
 
     def hourly(self) -> DataFrame:
         buildings = self("v_telemetry").select("building_id").distinct()
-        return aggregates.on_full_grid(self.series(), buildings, START, LAST_HOUR)
+        return aggregates.on_full_grid(self.series(), buildings, *self.span()[:2])
 
     def clean(self) -> DataFrame:
         return cleaning.interpolate_linear(self.hourly(), ["meter_reading", "air_temperature"])
@@ -323,7 +365,7 @@ class Tables:
 
     def forecast(self) -> DataFrame:
         """Seasonal-naive forecast of the 24 hours after the series, with a 20 % band."""
-        last = F.lit(LAST_HOUR).cast("timestamp_ntz") - F.expr("interval 24 hours")
+        last = F.lit(self.span()[1]).cast("timestamp_ntz") - F.expr("interval 24 hours")
         kwh = F.col("meter_reading")
         return self.clean().filter(F.col("timestamp") > last).select(
             "building_id", (F.col("timestamp") + F.expr("interval 24 hours")).alias("timestamp"), kwh.alias("predicted_kwh"),

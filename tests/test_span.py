@@ -21,7 +21,7 @@ def two_years(folder, tmp_path_factory):
     return str(where)
 
 
-@pytest.mark.parametrize("name", ["hourly_building_series", "lag_features", "live_energy_metrics", "serving_window", "forecast_features", "temperature_proxy", "champion_gate", "horizon_scoring"])
+@pytest.mark.parametrize("name", ["hourly_building_series", "lag_features", "live_energy_metrics", "serving_window", "forecast_features", "temperature_proxy", "champion_gate", "pinball_coverage"])
 def test_two_years_in_query_and_twin(spark, two_years, name):
     assert difference(plans.queries()[name](spark, two_years), connect(two_years), plans.oracle_sql()[name]) == ""
 

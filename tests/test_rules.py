@@ -14,6 +14,9 @@ def ts(text):
     return dt.datetime.fromisoformat(text)
 
 
+PLAN = "scenario string, building_id string, setpoint_delta_c double, off_hours double, hvac_share double"
+
+
 def frame(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
@@ -52,7 +55,7 @@ def test_hourly_series_prefers_zones_and_skips_the_running_hour(spark):
 def test_savings_of_one_degree(spark):
     rows = [("b", ts(f"2024-01-01 {h:02d}:00:00"), 100.0) for h in range(24)]
     forecast = frame(spark, rows, "building_id string, timestamp timestamp_ntz, predicted_kwh double")
-    hourly = scenarios.scenario_savings_hourly(forecast, [("one", 1.0, 0, 0.5), ("off", 0.0, 3, 0.5)])
+    hourly = scenarios.scenario_savings_hourly(forecast, frame(spark, [("one", "b", 1.0, 0.0, 0.5), ("off", "b", 0.0, 3.0, 0.5), ("bad", "b", 9.0, 0.0, 0.5), ("other", "c", 1.0, 0.0, 0.5)], PLAN))
     total = {r.scenario: r for r in scenarios.scenario_savings_total(hourly).collect()}
     assert (total["one"].baseline_kwh, total["one"].low_kwh, total["one"].high_kwh) == (2400.0, 33.0, 44.0)
     assert total["one"].low_vnd == 33.0 * 3100 and total["one"].note is None
@@ -61,7 +64,7 @@ def test_savings_of_one_degree(spark):
 
 def test_savings_without_cooling_hours_carry_a_note(spark):
     forecast = frame(spark, [("b", ts("2024-01-01 18:00:00"), 50.0)], "building_id string, timestamp timestamp_ntz, predicted_kwh double")
-    row = scenarios.scenario_savings_total(scenarios.scenario_savings_hourly(forecast, [("one", 1.0, 0, 0.5)])).first()
+    row = scenarios.scenario_savings_total(scenarios.scenario_savings_hourly(forecast, frame(spark, [("one", "b", 1.0, 0.0, 0.5)], PLAN))).first()
     assert row.low_kwh == 0.0 and row.note
 
 

@@ -146,13 +146,13 @@ def retrain_trigger(drift: DataFrame, running: DataFrame) -> DataFrame:
     )
 
 
-def model_status(sections: DataFrame, runs: DataFrame) -> DataFrame:
+def model_status(sections: DataFrame, runs: DataFrame, newest: int = 50) -> DataFrame:
     """One row on the state of the models.
 
     ``sections``: section, payload (JSON text), error (null when it parsed).
     A missing section is null; a bad one is reported in ``errors`` and leaves
-    the others alone. ``runs`` has one row per retraining, so nesting it,
-    newest first, is bounded by the number of runs.
+    the others alone. Of ``runs`` the ``newest`` are nested, newest first; those without a readable time
+    come last.
     """
     names = ["champion", "drift", "anomaly_quality", "benchmark"]
     good = F.col("error").isNull()
@@ -164,7 +164,8 @@ def model_status(sections: DataFrame, runs: DataFrame) -> DataFrame:
         F.create_map(*[x for n in names for x in (F.lit(n), F.col(f"_e_{n}"))]), lambda _k, v: v.isNotNull()
     )
     at = F.try_to_timestamp(F.col("timestamp"))
-    listed = runs.groupBy(F.lit(1).alias("_k")).agg(
-        F.reverse(F.array_sort(F.collect_list(F.struct(at.alias("at"), *runs.columns)))).alias("retrain_history")
+    last = runs.withColumn("_at", at).orderBy(F.desc_nulls_last("_at"), *[F.desc_nulls_last(c) for c in runs.columns]).limit(newest)
+    listed = last.groupBy(F.lit(1).alias("_k")).agg(
+        F.reverse(F.array_sort(F.collect_list(F.struct(F.col("_at").alias("at"), *runs.columns)))).alias("retrain_history")
     )
     return state.withColumn("errors", errors).join(listed, "_k", "left").select(*names, "retrain_history", "errors")

@@ -126,25 +126,49 @@ def in_period(facts: DataFrame, periods: DataFrame, unit: str = "month") -> Data
     )
 
 
-def scoped_readings(readings: DataFrame, members: DataFrame, households: DataFrame, now: str) -> DataFrame:
-    return in_period(readings, occupancies(members, households, now)).drop("since", "until")
+SCOPES = {"household": "UNIT", "common": "COMMON", "building": "BUILDING_TOTAL"}
 
 
-def scoped_meters(meters: DataFrame, scope: str, unit_id=None) -> DataFrame:
-    """Meters behind a scope: the household's unit, common parts or the building total."""
-    kind = {"household": "UNIT", "common": "COMMON", "building": "BUILDING_TOTAL"}[scope]
-    found = meters.filter(F.col("scope") == kind)
-    return found if unit_id is None else found.filter(F.col("unit_id") == unit_id)
+def _of_kind(facts: DataFrame, meters: DataFrame, scope: str) -> DataFrame:
+    """Facts of the meters behind a scope, with the meter's building."""
+    kind = meters.filter(F.col("scope") == SCOPES[scope]).select("unit_id", "building_id")
+    return facts.join(kind, "unit_id").withColumn("scope", F.lit(scope))
+
+
+def in_scope(
+    facts: DataFrame, members: DataFrame, households: DataFrame, units: DataFrame, meters: DataFrame, now: str
+) -> DataFrame:
+    """Facts with ``scope`` and the ``member_id`` or, in shared scopes, the ``building_id`` that may see them.
+
+    A member sees the unit's meters while the member's and the household's periods last. Common meters and
+    building totals are seen, up to ``now``, by whoever lives in the building now: they are listed once for
+    each building with such a member, not once per member.
+    """
+    own = in_period(_of_kind(facts, meters, "household"), occupancies(members, households, now)).drop("since", "until")
+    lived_in = current_members(members, households, units, now).select("building_id").distinct()
+    until = facts.filter(F.col("timestamp") <= ntz(now))
+    for scope in ("common", "building"):
+        shared = _of_kind(until, meters, scope).join(lived_in, "building_id", "left_semi")
+        own = own.unionByName(shared, allowMissingColumns=True)
+    return own
+
+
+def scoped_readings(
+    readings: DataFrame, members: DataFrame, households: DataFrame, units: DataFrame, meters: DataFrame, now: str
+) -> DataFrame:
+    """Readings that members may see, see :func:`in_scope`."""
+    return in_scope(readings, members, households, units, meters, now)
 
 
 def scoped_incidents(
-    incidents: DataFrame, members: DataFrame, households: DataFrame, now: str, limit: int = 100
+    incidents: DataFrame, members: DataFrame, households: DataFrame, units: DataFrame, meters: DataFrame, now: str, limit: int = 100
 ) -> DataFrame:
-    """Newest incidents each member may see; figures missing from the snapshot stay null."""
-    seen = in_period(incidents, occupancies(members, households, now))
-    last = rows.newest(seen, ["member_id"], [F.col("timestamp").desc(), F.col("id").desc()], limit)
+    """The newest incidents of each member, and of each building's shared scopes; figures missing from the snapshot stay null."""
+    seen = in_scope(incidents, members, households, units, meters, now)
+    shared = F.when(F.col("member_id").isNull(), F.col("building_id"))
+    last = rows.newest(seen.withColumn("_shared", shared), ["scope", "member_id", "_shared"], [F.col("timestamp").desc(), F.col("id").desc()], limit)
     names = ["predicted_kwh", "delta_kwh", "estimated_waste_vnd"]
-    return last.withColumns({n: snapshot_number(n) for n in names}).drop("snapshot", "since", "until")
+    return last.withColumns({n: snapshot_number(n) for n in names}).drop("snapshot", "_shared")
 
 
 def current_members(members: DataFrame, households: DataFrame, units: DataFrame, now: str) -> DataFrame:

@@ -26,21 +26,15 @@ def scenario_validate(scenarios: DataFrame) -> DataFrame:
     )
 
 
-def scenario_savings_hourly(forecast: DataFrame, scenarios: list[tuple[str, float, int, float]]) -> DataFrame:
-    """Saving per forecast hour and scenario.
+def scenario_savings_hourly(forecast: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Saving per forecast hour and scenario of the hour's building.
 
-    Scenarios are a handful of parameters, so each hour is exploded over the
-    literal list: a narrow operation without a join.
+    ``scenarios``: scenario, building_id, setpoint_delta_c, off_hours, hvac_share. Those that
+    :func:`scenario_validate` gives a reason are left out, so a forecast meets accepted ones only. A
+    building's forecast is some hours, its scenarios may be many: the join is on the building, and hot
+    buildings are split by the planner.
     """
-    items = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("scenario"), F.lit(float(delta)).alias("setpoint_delta_c"),
-                F.lit(int(off)).alias("off_hours"), F.lit(float(share)).alias("hvac_share"),
-            )
-            for name, delta, off, share in scenarios
-        ]
-    )
+    accepted = scenario_validate(scenarios).filter(F.col("reason").isNull()).drop("reason")
     local = (F.hour("timestamp") + UTC_OFFSET_H) % 24
     cooling = (F.col("local_hour") >= COOLING_FROM) & (F.col("local_hour") < COOLING_TO)
     early = cooling & (F.col("local_hour") >= COOLING_TO - F.col("off_hours"))
@@ -54,8 +48,7 @@ def scenario_savings_hourly(forecast: DataFrame, scenarios: list[tuple[str, floa
         )
 
     return (
-        forecast.withColumn("_s", F.explode(items))
-        .select("building_id", "timestamp", "predicted_kwh", "_s.*")
+        accepted.join(forecast.select("building_id", "timestamp", "predicted_kwh"), "building_id")
         .withColumn("local_hour", local)
         .withColumn("is_cooling", cooling)
         .withColumn("saving_low_kwh", saving(RATE_LOW))

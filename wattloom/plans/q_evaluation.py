@@ -231,8 +231,9 @@ def _(t: Tables) -> DataFrame:
     return drift.retrain_trigger(drift_rows(t), running).select("building_id", "retrain_triggered", "retrain_trigger", "retrain_skipped_reason")
 
 
-@query("model_status", """
-SELECT CAST(4 AS BIGINT) AS runs, true AS has_champion, true AS has_drift, true AS quality_missing, true AS benchmark_missing, 'benchmark' AS bad_sections""")
+@query("model_status", f"""
+SELECT least(3, (SELECT count(DISTINCT building_id) FROM v_test)) AS runs, (SELECT max(building_id) FROM v_test) AS newest_run, (SELECT model FROM v_result ORDER BY mae, model LIMIT 1) AS champion,
+  (SELECT CAST(count(*) FILTER (WHERE triggered IS NOT NULL) AS BIGINT) FROM ({DRIFT_SQL}) d) AS drifted, true AS quality_missing, true AS benchmark_missing, 'benchmark' AS bad_sections""", ("v_result", "v_split", "v_profile", "v_test"))
 def _(t: Tables) -> DataFrame:
     # sections are the JSON of other results; the benchmark one is cut short on purpose
     champion = evaluation.forecast_metrics(all_predictions(t).filter(F.col("horizon_h") == 1), "model")
@@ -245,9 +246,10 @@ def _(t: Tables) -> DataFrame:
     runs = gate(t).select(
         F.col("building_id").alias("run_id"), F.lit("2024-01-31T00:00:00Z").alias("timestamp"), "outcome", "champion_mape", "challenger_mape"
     )
-    status = drift.model_status(sections, runs)
+    status = drift.model_status(sections, runs, newest=3)
     return status.select(
-        F.size("retrain_history").alias("runs"), F.col("champion").isNotNull().alias("has_champion"), F.col("drift").isNotNull().alias("has_drift"),
+        F.size("retrain_history").alias("runs"), F.col("retrain_history")[0].run_id.alias("newest_run"), F.get_json_object("champion", "$.model").alias("champion"),
+        F.get_json_object("drift", "$.mae").cast("long").alias("drifted"),
         F.col("anomaly_quality").isNull().alias("quality_missing"), F.col("benchmark").isNull().alias("benchmark_missing"),
         F.array_join(F.map_keys("errors"), ",").alias("bad_sections"),
     )
@@ -255,34 +257,36 @@ def _(t: Tables) -> DataFrame:
 
 # savings
 
-PLANS = [("raise_1", 1.0, 0, 0.5), ("raise_2_off_2", 2.0, 2, 0.6), ("off_3", 0.0, 3, 0.5)]
+ASKED_SQL = """SELECT event_id, 'b' || CAST(user_id % 4 AS STRING) AS building_id, (event_id % 11) * CAST(0.25 AS DOUBLE) AS d, (event_id % 10) * CAST(0.5 AS DOUBLE) AS o, (event_id % 19) * CAST(0.05 AS DOUBLE) AS s FROM events"""
 
 
-@query("scenario_validate", """
-SELECT event_id, CASE WHEN NOT d BETWEEN 0 AND 2 OR (d * 2) % 1 <> 0 THEN 'setpoint_delta_c' WHEN NOT o BETWEEN 0 AND 3 OR o % 1 <> 0 THEN 'off_hours' WHEN NOT s BETWEEN 0.05 AND 0.8 THEN 'hvac_share' END AS reason
-FROM (SELECT event_id, (event_id % 11) * 0.25 AS d, (event_id % 10) * 0.5 AS o, (event_id % 19) * 0.05 AS s FROM events) q""")
-def _(t: Tables) -> DataFrame:
+def asked(t: Tables) -> DataFrame:
+    """One scenario per event, valid and invalid ones, each for a building."""
     i = F.col("event_id")
-    asked = t.base("events").select(
-        "event_id", (i % 11 * 0.25).alias("setpoint_delta_c"), (i % 10 * 0.5).alias("off_hours"), (i % 19 * 0.05).alias("hvac_share")
+    return t.base("events").select(
+        "event_id", i.cast("string").alias("scenario"), F.concat(F.lit("b"), (F.col("user_id") % 4).cast("string")).alias("building_id"),
+        (i % 11 * 0.25).alias("setpoint_delta_c"), (i % 10 * 0.5).alias("off_hours"), (i % 19 * 0.05).alias("hvac_share"),
     )
-    return scenarios.scenario_validate(asked).select("event_id", "reason")
 
 
-def plans_sql() -> str:
-    return " UNION ALL ".join(f"SELECT '{n}' AS scenario, {d} AS d, {o} AS o, {s} AS s" for n, d, o, s in PLANS)
+@query("scenario_validate", f"""
+SELECT event_id, CASE WHEN NOT d BETWEEN 0 AND 2 OR (d * 2) % 1 <> 0 THEN 'setpoint_delta_c' WHEN NOT o BETWEEN 0 AND 3 OR o % 1 <> 0 THEN 'off_hours' WHEN NOT s BETWEEN 0.05 AND 0.8 THEN 'hvac_share' END AS reason
+FROM ({ASKED_SQL}) q""")
+def _(t: Tables) -> DataFrame:
+    return scenarios.scenario_validate(asked(t)).select("event_id", "reason")
 
 
 SAVING_SQL = f"""
 SELECT *, CASE WHEN lh >= 18 - o AND lh < 18 THEN predicted_kwh * s WHEN lh >= 7 AND lh < 18 THEN predicted_kwh * s * d * 0.06 ELSE 0.0 END AS low,
   CASE WHEN lh >= 18 - o AND lh < 18 THEN predicted_kwh * s WHEN lh >= 7 AND lh < 18 THEN predicted_kwh * s * d * 0.08 ELSE 0.0 END AS high
-FROM (SELECT f.building_id, f.timestamp, f.predicted_kwh, p.*, (hour(f.timestamp) + 7) % 24 AS lh FROM v_forecast f, ({plans_sql()}) p) q"""
+FROM (SELECT f.building_id, f.timestamp, f.predicted_kwh, CAST(p.event_id AS STRING) AS scenario, d, o, s, (hour(f.timestamp) + 7) % 24 AS lh FROM v_forecast f JOIN ({ASKED_SQL}) p ON p.building_id = f.building_id
+  WHERE d BETWEEN 0 AND 2 AND (d * 2) % 1 = 0 AND o BETWEEN 0 AND 3 AND o % 1 = 0 AND s BETWEEN 0.05 AND 0.8) q"""
 
 
 @query("scenario_savings_hourly", f"""
 SELECT building_id, scenario, timestamp, lh AS local_hour, {r("predicted_kwh - high", 2)} AS scenario_low_kwh, {r("predicted_kwh - low", 2)} AS scenario_high_kwh FROM ({SAVING_SQL}) h""", ("v_forecast",))
 def _(t: Tables) -> DataFrame:
-    return scenarios.scenario_savings_hourly(t.forecast(), PLANS).select(
+    return scenarios.scenario_savings_hourly(t.forecast(), asked(t)).select(
         "building_id", "scenario", "timestamp", "local_hour", "scenario_low_kwh", "scenario_high_kwh"
     )
 
@@ -294,4 +298,4 @@ def triple(name: str, expression: str) -> str:
 @query("scenario_savings_total", f"""
 SELECT building_id, scenario, {triple("baseline", "sum(predicted_kwh)")}, {triple("low", "sum(low)")}, {triple("high", "sum(high)")}, CAST(NULL AS STRING) AS note FROM ({SAVING_SQL}) h GROUP BY 1, 2""", ("v_forecast",))
 def _(t: Tables) -> DataFrame:
-    return scenarios.scenario_savings_total(scenarios.scenario_savings_hourly(t.forecast(), PLANS))
+    return scenarios.scenario_savings_total(scenarios.scenario_savings_hourly(t.forecast(), asked(t)))

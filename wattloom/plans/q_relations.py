@@ -82,22 +82,37 @@ SELECT m.member_id, m.household_id, h.unit_id, greatest(m.starts_at, h.starts_at
 FROM v_member m JOIN v_household h ON h.household_id = m.household_id"""
 
 
+LIVED_IN = f"""
+SELECT DISTINCT u.building_id FROM v_member m JOIN v_household h ON h.household_id = m.household_id JOIN v_unit u ON u.unit_id = h.unit_id
+WHERE u.active AND m.starts_at <= TIMESTAMP '{THEN}' AND (m.ends_at IS NULL OR m.ends_at > TIMESTAMP '{THEN}') AND h.starts_at <= TIMESTAMP '{THEN}' AND (h.ends_at IS NULL OR h.ends_at > TIMESTAMP '{THEN}')"""
+
+
+def in_scope_sql(facts: str) -> str:
+    """Rows of ``facts`` by scope: a member's own while the periods last, shared ones of buildings where somebody lives."""
+    return f"""
+SELECT 'household' AS scope, o.member_id, o.household_id, k.building_id, r.* FROM {facts} r JOIN v_unit_meter k ON k.unit_id = r.unit_id AND k.scope = 'UNIT' JOIN ({OCCUPANCY}) o ON o.unit_id = r.unit_id AND r.timestamp BETWEEN o.since AND o.until
+UNION ALL SELECT CASE k.scope WHEN 'COMMON' THEN 'common' ELSE 'building' END, NULL, NULL, k.building_id, r.* FROM {facts} r JOIN v_unit_meter k ON k.unit_id = r.unit_id AND k.scope <> 'UNIT'
+WHERE r.timestamp <= TIMESTAMP '{THEN}' AND k.building_id IN ({LIVED_IN})"""
+
+
+SCOPED = ("v_member", "v_household", "v_unit", "v_unit_meter")
+
+
 @query("scoped_readings", f"""
-SELECT o.member_id, o.household_id, r.unit_id, r.timestamp, r.meter_reading_kwh FROM v_unit_reading r JOIN ({OCCUPANCY}) o ON o.unit_id = r.unit_id AND r.timestamp BETWEEN o.since AND o.until""", ("v_unit_reading", "v_member", "v_household"))
+SELECT scope, member_id, household_id, CAST(building_id AS BIGINT) AS building_id, unit_id, timestamp, meter_reading_kwh FROM ({in_scope_sql("v_unit_reading")}) q""", ("v_unit_reading", *SCOPED))
 def _(t: Tables) -> DataFrame:
-    return relations.scoped_readings(t("v_unit_reading"), t("v_member"), t("v_household"), THEN).select(
-        "member_id", "household_id", "unit_id", "timestamp", "meter_reading_kwh"
+    return relations.scoped_readings(t("v_unit_reading"), *(t(v) for v in SCOPED), THEN).select(
+        "scope", "member_id", "household_id", "building_id", "unit_id", "timestamp", "meter_reading_kwh"
     )
 
 
 @query("scoped_incidents", f"""
-SELECT member_id, id, timestamp, actual_kwh, severity, CAST(json_extract_string(snapshot, '$.predicted_kwh') AS DOUBLE) AS predicted_kwh, CAST(json_extract_string(snapshot, '$.delta_kwh') AS DOUBLE) AS delta_kwh,
-  CAST(json_extract_string(snapshot, '$.estimated_waste_vnd') AS DOUBLE) AS estimated_waste_vnd FROM (
-  SELECT o.member_id, r.*, row_number() OVER (PARTITION BY o.member_id ORDER BY r.timestamp DESC, r.id DESC) AS n
-  FROM v_unit_incident r JOIN ({OCCUPANCY}) o ON o.unit_id = r.unit_id AND r.timestamp BETWEEN o.since AND o.until) q WHERE n <= 100""", ("v_unit_incident", "v_member", "v_household"))
+SELECT scope, member_id, CAST(building_id AS BIGINT) AS building_id, id, timestamp, actual_kwh, severity, CAST(json_extract_string(snapshot, '$.predicted_kwh') AS DOUBLE) AS predicted_kwh,
+  CAST(json_extract_string(snapshot, '$.delta_kwh') AS DOUBLE) AS delta_kwh, CAST(json_extract_string(snapshot, '$.estimated_waste_vnd') AS DOUBLE) AS estimated_waste_vnd FROM (
+  SELECT *, row_number() OVER (PARTITION BY scope, member_id, CASE WHEN member_id IS NULL THEN building_id END ORDER BY timestamp DESC, id DESC) AS n FROM ({in_scope_sql("v_unit_incident")}) s) q WHERE n <= 100""", ("v_unit_incident", *SCOPED))
 def _(t: Tables) -> DataFrame:
-    return relations.scoped_incidents(t("v_unit_incident"), t("v_member"), t("v_household"), THEN).select(
-        "member_id", "id", "timestamp", "actual_kwh", "severity", "predicted_kwh", "delta_kwh", "estimated_waste_vnd"
+    return relations.scoped_incidents(t("v_unit_incident"), *(t(v) for v in SCOPED), THEN).select(
+        "scope", "member_id", "building_id", "id", "timestamp", "actual_kwh", "severity", "predicted_kwh", "delta_kwh", "estimated_waste_vnd"
     )
 
 

@@ -60,6 +60,8 @@ SELECT o_orderkey AS household_id, o_custkey AS unit_id, o_orderdate AS starts_a
   lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS ends_at FROM orders"""),
     "v_unit": (["customer"], """
 SELECT c_custkey AS unit_id, c_nationkey AS building_id, c_acctbal >= 0 AS active FROM customer"""),
+    "v_unit_meter": (["v_unit"], """
+SELECT unit_id, building_id, CASE WHEN unit_id % 11 = 0 THEN 'BUILDING_TOTAL' WHEN unit_id % 5 = 0 THEN 'COMMON' ELSE 'UNIT' END AS scope FROM v_unit"""),
     "v_unit_reading": (["lineitem", "orders"], """
 SELECT o_custkey AS unit_id, l_shipdate AS timestamp, l_quantity AS meter_reading_kwh
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""),

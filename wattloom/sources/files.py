@@ -39,14 +39,16 @@ def scan_meter_metadata(spark: SparkSession, path: str, use: str = "office") ->
 def unpivot_meters(wide: DataFrame, metadata: DataFrame) -> DataFrame:
     """One row per building and hour from one column per building.
 
-    Columns without metadata are dropped by the semi join; metadata without
-    a column has nothing to contribute.
+    Only columns that the metadata names are read and unpivoted; metadata without a column has nothing
+    to contribute.
     """
     meters = [c for c in wide.columns if c != "timestamp"]
-    long = wide.unpivot("timestamp", meters, "building_id", "meter_reading")
-    return long.join(metadata.select("building_id"), "building_id", "left_semi").select(
-        "building_id", "timestamp", "meter_reading"
-    )
+    # at most one row per column
+    named = {r[0] for r in metadata.filter(F.col("building_id").isin(meters)).select("building_id").distinct().collect()}
+    chosen = [c for c in meters if c in named]
+    if not chosen:
+        return wide.select(F.lit("").alias("building_id"), "timestamp", F.lit(None).cast("double").alias("meter_reading")).filter(F.lit(False))
+    return wide.select("timestamp", *[F.col(f"`{c}`") for c in chosen]).unpivot("timestamp", [F.col(f"`{c}`") for c in chosen], "building_id", "meter_reading").select("building_id", "timestamp", "meter_reading")
 
 
 def scan_site_weather(weather: DataFrame, sequence: list[str], site: int | None = None) -> DataFrame:

@@ -65,17 +65,20 @@ def test_global_position(spark):
     assert [r.position for r in got.orderBy("v", "id").collect()] == list(range(1, 3001))
 
 
-def brute_cooldown(events):
+def brute_cooldown(events, stored=()):
     out, open_row = [], {}
+    for o in sorted((o for o in stored if o["status"] == "OPEN"), key=lambda o: (o["timestamp"], o["id"])):
+        open_row[o["meter_id"]] = {"id": o["id"], "timestamp": o["timestamp"], "actual": o["actual_reading"], "updates": 0}
+    out += open_row.values()
     for e in sorted(events, key=lambda e: (e["timestamp"], e["id"])):
         o = open_row.get(e["meter_id"])
         if o and (e["timestamp"] - o["timestamp"]).total_seconds() <= 600:
             if e["actual_kwh"] > o["actual"]:
                 o.update(timestamp=e["timestamp"], actual=e["actual_kwh"], updates=o["updates"] + 1)
         else:
-            open_row[e["meter_id"]] = {"id": e["id"], "timestamp": e["timestamp"], "actual": e["actual_kwh"], "updates": 0}
+            open_row[e["meter_id"]] = {"id": f"ANOM-LIVE-{e['id']}", "timestamp": e["timestamp"], "actual": e["actual_kwh"], "updates": 0}
             out.append(open_row[e["meter_id"]])
-    return sorted((f"ANOM-LIVE-{o['id']}", o["timestamp"], o["actual"], o["updates"]) for o in out)
+    return sorted((o["id"], o["timestamp"], o["actual"], o["updates"]) for o in out if o["updates"] or o["id"].startswith("ANOM-LIVE"))
 
 
 def random_events(seed, n, gaps, top):
@@ -93,22 +96,43 @@ def random_events(seed, n, gaps, top):
 EVENT = "id long, building_id string, meter_id string, timestamp timestamp_ntz, actual_kwh double, anomaly_score double, severity string"
 
 
+STORED = "id string, building_id string, meter_id string, timestamp timestamp_ntz, opened_at timestamp_ntz, actual_reading double, anomaly_score double, severity string, status string"
+
+
+def outcome(got):
+    return sorted((r.id, r.timestamp, r.actual_reading, r.updates) for r in got.collect())
+
+
 @pytest.mark.parametrize(
     "seed, gaps, top",
-    [(3, [30, 200, 590, 600, 601, 4000], 100), (4, [0, 1, 20], 5), (5, [100, 300], 3), (6, [0, 600], 1000), (7, [5], 1)],
+    [
+        (3, [30, 200, 590, 600, 601, 4000], 100), (4, [0, 1, 20], 5), (5, [100, 300], 3), (6, [0, 600], 1000), (7, [5], 1),
+        (8, [300, 86_000, 86_400, 200_000], 4), (9, [590, 43_190], 6),
+    ],
 )
-def test_cooldown_segments_equal_one_fold(spark, seed, gaps, top):
+def test_cooldown_over_blocks_equals_one_fold(spark, seed, gaps, top, monkeypatch):
     events = random_events(seed, 2000, gaps, top)
-    got = incidents.incident_cooldown(spark.createDataFrame(pd.DataFrame(events), EVENT)).collect()
-    assert sorted((r.id, r.timestamp, r.actual_reading, r.updates) for r in got) == brute_cooldown(events)
-
-
-def test_a_meter_without_pause_is_cut_into_segments(spark):
-    events = random_events(8, 2000, [20], 1000)
     df = spark.createDataFrame(pd.DataFrame(events), EVENT)
-    hot = incidents.cooldown_segments(df).filter(F.col("meter_id") == "hot")
-    sizes = [r["count"] for r in hot.groupBy("_segment").count().collect()]
-    assert len(sizes) > 20 and max(sizes) < 200
+    assert outcome(incidents.incident_cooldown(df)) == brute_cooldown(events)
+    rng = random.Random(seed)
+    stored = [
+        {"id": f"OLD-{m}-{k}", "building_id": "b", "meter_id": m, "timestamp": START + dt.timedelta(seconds=rng.choice([-4000, -300, 0, 500, 5000])), "opened_at": START - dt.timedelta(hours=2),
+         "actual_reading": float(rng.randrange(top)), "anomaly_score": 0.1, "severity": "MEDIUM", "status": status}
+        for m in ("hot", "m0", "m3", "none") for k, status in enumerate(("OPEN", "RESOLVED"))
+    ]
+    monkeypatch.setattr(incidents, "BLOCK_US", 3_600_000_000)  # shorter blocks, more hops
+    got = incidents.incident_cooldown(df, spark.createDataFrame(pd.DataFrame(stored), STORED))
+    assert outcome(got) == brute_cooldown(events, stored)
+
+
+def test_a_flat_load_is_spread_over_its_days(spark):
+    n = 60_000  # equal readings of one meter, one a minute
+    df = spark.range(n).selectExpr("id", "'b' AS building_id", "'m' AS meter_id", "timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, CAST(id AS int)) AS timestamp", "5.0D AS actual_kwh", "0.5D AS anomaly_score", "'MEDIUM' AS severity")
+    starts = spark.createDataFrame([("m", 0, 0)], "meter_id string, from_ts long, from_id long")
+    sizes = [r["count"] for r in incidents.cooldown_blocks(df, starts).groupBy("day").count().collect()]
+    assert len(sizes) == 42 and max(sizes) <= 1440 + 12
+    got = incidents.incident_cooldown(df).collect()
+    assert len(got) == -(-n // 11) and {r.updates for r in got} == {0}
 
 
 def test_second_event_within_ten_minutes_is_no_new_incident(spark):

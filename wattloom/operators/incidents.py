@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from wattloom.functions import rules
 from wattloom.functions import settings as S
 from wattloom.functions.numeric import elapsed, fixed, half_up, micros
 from wattloom.operators import rows
+from wattloom.session import cut_lineage
 
 HISTORY_TYPE = "array<struct<previous_status:string,status:string,note:string,updated_at:string,actor:string>>"
 EVENT_TIME = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -182,111 +185,181 @@ def cooldown_step(open_row: dict | None, event: dict) -> tuple[dict | None, dict
     return open_row, opened
 
 
+#: What a block gives for a possible first holder: the holder of a later block that its chain leads to.
+HOP_SCHEMA = "meter_id STRING, day LONG, ts LONG, id LONG, to_ts LONG, to_id LONG"
 RUN_SCHEMA = (
     "meter_id STRING, building_id STRING, first_id LONG, opened_at TIMESTAMP_NTZ, timestamp TIMESTAMP_NTZ, "
-    "actual_reading DOUBLE, anomaly_score DOUBLE, severity STRING, updates INT, is_head BOOLEAN"
+    "actual_reading DOUBLE, anomaly_score DOUBLE, severity STRING, updates INT"
 )
-RUN_FIELDS = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
+#: Microseconds of a block of one meter's events, and of the cooldown.
+BLOCK_US, COOLDOWN_US = 86_400_000_000, COOLDOWN_S * 1_000_000
 
 
-def _fold_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs the cooldown over rows sorted by segment and time; holds one open incident.
+def successors(ts: np.ndarray, kwh: np.ndarray, n: int) -> np.ndarray:
+    """For each of the first ``n`` events, in order of time, the event that holds the incident after it.
 
-    Yields the incidents of each segment; ``is_head`` marks the first, which
-    may continue one of an earlier segment.
+    That is the first higher one within ten minutes, else the first one after them; the number of events
+    stands for none.
     """
-    segment, open_row, head = None, None, True
+    higher, waiting = [len(ts)] * len(ts), []
+    for k, v in enumerate(kwh.tolist()):
+        while waiting and kwh[waiting[-1]] < v:
+            higher[waiting.pop()] = k
+        waiting.append(k)
+    higher = np.array(higher[:n], np.int64)
+    after = np.searchsorted(ts, ts[:n] + COOLDOWN_US, "right")
+    return np.where((higher < len(ts)) & (higher < after), higher, after)
+
+
+def _day_of_events(rows: pa.Table) -> tuple[pa.Table, int, np.ndarray, np.ndarray]:
+    """A block's events in order, how many are its own, their times, and the place after each."""
+    rows = rows.combine_chunks().sort_by([("ts", "ascending"), ("id", "ascending")])
+    ts, n = rows["ts"].to_numpy(), int(rows["own"].to_numpy(zero_copy_only=False).sum())
+    return rows, n, ts, successors(ts, rows["actual_kwh"].to_numpy(), n)
+
+
+def _hops(rows: pa.Table) -> pa.Table:
+    """Where the chain leads that enters the block at each event where it may be entered."""
+    rows, n, ts, after = _day_of_events(rows)
+    leaves = after.copy()
+    for k in range(n - 1, -1, -1):
+        if after[k] < n:
+            leaves[k] = leaves[after[k]]
+    day = rows["day"][0].as_py()
+    early = np.searchsorted(ts[:n], day * BLOCK_US + COOLDOWN_US, "right")
+    may = np.zeros(n, bool)
+    may[: min(n, early + 1)] = True
+    may |= rows["begins"].to_numpy(zero_copy_only=False)[:n]
+    at, ids = np.flatnonzero(may), rows["id"].to_numpy()
+    to = [int(k) if k < len(ts) else None for k in leaves[at]]
+    pick = lambda values: pa.array([None if k is None else int(values[k]) for k in to], pa.int64())
+    return pa.table(
+        [pa.array([rows["meter_id"][0].as_py()] * len(at), pa.string()), pa.array([day] * len(at), pa.int64()), pa.array(ts[at]), pa.array(ids[at]), pick(ts), pick(ids)],
+        names=["meter_id", "day", "ts", "id", "to_ts", "to_id"],
+    )
 
-    def run(row: dict, is_head: bool) -> dict:
-        return {**row, "first_id": row["event_id"], "is_head": is_head}
 
+def _entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Follows each meter's chain from block to block over hops in order of meter and time; holds one place."""
+    meter, place = object(), None
     for batch in batches:
-        done = []
-        for event in batch.to_dict("records"):
-            here = (event["meter_id"], event["_segment"])
-            if here != segment:
-                if open_row is not None:
-                    done.append(run(open_row, head))
-                segment, open_row, head = here, None, True
-            closed, open_row = cooldown_step(open_row, event)
-            if closed is not None:
-                done.append(run(closed, head))
-                head = False
-        if done:
-            yield pd.DataFrame(done)[RUN_FIELDS]
-    if open_row is not None:
-        yield pd.DataFrame([run(open_row, head)])[RUN_FIELDS]
-
-
-def cooldown_segments(own: DataFrame) -> DataFrame:
-    """Adds ``_segment``: the point from which an event's fate no longer depends on the past.
-
-    A reading above all of the ten minutes before it always moves or opens an
-    incident, whatever was open. The first peak of a ten-minute cell is such
-    a reading when the cell before peaks lower or is empty, because both
-    cells together cover those ten minutes. So a summary of one row per meter
-    and cell, bounded by the calendar, yields the cuts.
+        columns = [batch.column(c).to_pylist() for c in ("meter_id", "day", "ts", "id", "to_ts", "to_id", "from_ts", "from_id")]
+        used: list = []
+        for m, day, ts, key, to_ts, to_id, from_ts, from_id in zip(*columns):
+            if m != meter:
+                meter, place = m, (from_ts, from_id)
+            if (ts, key) == place:
+                used.append((m, day, key))
+                place = (to_ts, to_id)
+        if used:
+            m, day, key = zip(*used)
+            yield pa.RecordBatch.from_arrays([pa.array(m, pa.string()), pa.array(day, pa.int64()), pa.array(key, pa.int64())], ["meter_id", "day", "entry"])
+
+
+def _runs(rows: pa.Table) -> pa.Table:
+    """The incidents of a block from its first holder on; the first may continue one of an earlier block."""
+    rows, n, ts, after = _day_of_events(rows)
+    ids = rows["id"].to_numpy()
+    chain = [int(np.flatnonzero(ids[:n] == rows["entry"][0].as_py())[0])]
+    while after[chain[-1]] < n:
+        chain.append(int(after[chain[-1]]))
+    chain = np.array(chain)
+    opens = np.r_[True, ts[chain[1:]] - ts[chain[:-1]] > COOLDOWN_US]
+    first = np.flatnonzero(opens)
+    last = np.append(first[1:], len(chain)) - 1
+    take = lambda c, k: rows[c].take(pa.array(chain[k]))
+    score = np.maximum.reduceat(rows["anomaly_score"].to_numpy()[chain], first)
+    columns = [take("meter_id", last), take("building_id", last), take("id", first), take("timestamp", first), take("timestamp", last), take("actual_kwh", last), pa.array(score), take("severity", last), pa.array(last - first, pa.int32())]
+    return pa.table(columns, names=[c.split()[0] for c in RUN_SCHEMA.split(", ")])
+
+
+def cooldown_blocks(own: DataFrame, starts: DataFrame) -> DataFrame:
+    """Events by meter and day with all that a day's chain may lead to: ``own`` marks the day's events.
+
+    Those of the next day's first ten minutes are copied to the day before, and so is the first event after
+    them. ``starts`` (meter_id, from_ts, from_id) marks where a chain begins.
     """
-    cell = F.floor(micros(F.col("timestamp")) / (COOLDOWN_S * 1_000_000))
-    placed = own.withColumn("_cell", cell)
-    peak = F.min_by(F.struct("timestamp", "id"), F.struct(-F.col("actual_kwh"), F.col("timestamp"), F.col("id")))
-    cells = placed.groupBy("meter_id", "_cell").agg(F.max("actual_kwh").alias("_top"), peak.alias("_peak"))
-    order = Window.partitionBy("meter_id").orderBy("_cell")
-    rising = (
-        F.lag("_cell").over(order).isNull()
-        | (F.lag("_cell").over(order) < F.col("_cell") - 1)
-        | (F.lag("_top").over(order) < F.col("_top"))
-    )
-    cuts = (
-        cells.withColumn("_cut", F.when(rising, F.col("_peak")))
-        .withColumn(
-            "_earlier", F.last("_cut", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-        )
-        .select("meter_id", "_cell", "_cut", "_earlier")
-    )
-    after = F.col("_cut").isNotNull() & (F.struct("timestamp", "id") >= F.col("_cut"))
-    segment = F.when(after, F.col("_cut")).otherwise(F.col("_earlier"))
-    return (
-        placed.join(cuts, ["meter_id", "_cell"])
-        .withColumn("_segment", F.coalesce(segment.id, F.lit(-1).cast("long")))
-        .drop("_cell", "_cut", "_earlier")
-    )
-
-
-def incident_cooldown(events: DataFrame) -> DataFrame:
+    placed = own.withColumn("ts", micros(F.col("timestamp"))).withColumn("day", F.floor(F.col("ts") / BLOCK_US))
+    early = F.col("ts") <= F.col("day") * BLOCK_US + COOLDOWN_US
+    event = F.struct("ts", "id", "actual_kwh")
+    days = placed.groupBy("meter_id", "day").agg(F.min(event).alias("any"), F.min(F.when(~early, event)).alias("late"))
+    order = Window.partitionBy("meter_id").orderBy("day")
+    following = F.lead(F.struct("day", "any", "late")).over(order)
+    # the next day's first event past its early ones, or the first event of the day after that
+    second = F.lead("any", 2).over(order)
+    days = days.withColumn("_n", following).withColumn("_s", second)
+    adjacent = F.col("_n.day") == F.col("day") + 1
+    beyond = F.when(~adjacent, F.col("_n.any")).otherwise(F.coalesce(F.col("_n.late"), F.col("_s")))
+    copies = days.withColumn("_b", beyond).filter(F.col("_b").isNotNull()).select("meter_id", "day", "_b.*")
+    halo = placed.filter(early).select("meter_id", (F.col("day") - 1).alias("day"), "ts", "id", "actual_kwh")
+    halo = halo.join(days.select("meter_id", "day"), ["meter_id", "day"], "left_semi")
+    begin = starts.select("meter_id", F.col("from_id").alias("id"), F.lit(True).alias("begins"))
+    marked = placed.join(begin, ["meter_id", "id"], "left").withColumn("begins", F.coalesce("begins", F.lit(False)))
+    both = marked.withColumn("own", F.lit(True)).unionByName(halo.unionByName(copies).withColumn("own", F.lit(False)), allowMissingColumns=True)
+    return both.select("meter_id", "day", "ts", "id", "actual_kwh", "own", F.coalesce("begins", F.lit(False)).alias("begins"), "building_id", "timestamp", "anomaly_score", "severity")
+
+
+def incident_cooldown(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Flagged events to incidents, at most one open per meter and ten minutes.
 
-    The rule depends on order, so it is folded; but segments that start at a
-    sure point fold apart, in parallel, however long a meter goes on. What a
-    segment leaves is joined to its neighbours by one window per meter over
-    incidents, of which ten minutes hold two at most. Events without a meter
-    always open an incident.
+    Which event holds a meter's incident next depends on the present holder alone, so each day of a meter
+    finds all successors apart from the others, and where a chain entering the day would leave it. A day
+    can only be entered in its first ten minutes or at the event after them; one pass over these few
+    events of each meter tells where its days are entered, and the days then give their incidents. Events
+    without a meter always open an incident.
+
+    ``stored`` (id, building_id, meter_id, timestamp, opened_at, actual_reading, anomaly_score, severity,
+    status) are incidents from before: the newest OPEN one of a meter goes on, and is returned if an event
+    changed it.
     """
     alone = events.filter(F.col("meter_id").isNull()).select(
         F.concat(F.lit("ANOM-LIVE-"), F.col("id").cast("string")).alias("id"), "building_id",
         F.col("meter_id").cast("string").alias("meter_id"), "timestamp", F.col("timestamp").alias("opened_at"),
         F.col("actual_kwh").alias("actual_reading"), "anomaly_score", "severity", F.lit(0).alias("updates"),
     )
-    ready = (
-        cooldown_segments(events.filter(F.col("meter_id").isNotNull()))
-        .select("id", "building_id", "meter_id", "timestamp", "actual_kwh", "anomaly_score", "severity", "_segment")
-        .repartition("meter_id", "_segment")
-        .sortWithinPartitions("meter_id", "_segment", "timestamp", "id")
+    own = events.filter(F.col("meter_id").isNotNull()).select(
+        F.col("id").cast("long").alias("id"), "building_id", F.col("meter_id").cast("string").alias("meter_id"), "timestamp",
+        F.col("actual_kwh").cast("double").alias("actual_kwh"), F.col("anomaly_score").cast("double").alias("anomaly_score"), "severity",
     )
-    runs = ready.mapInPandas(_fold_segments, RUN_SCHEMA)
-    order = Window.partitionBy("meter_id").orderBy("opened_at", "first_id")
+    at = F.struct(micros(F.col("timestamp")).alias("ts"), "id")
+    if stored is None:
+        begin = own.groupBy("meter_id").agg(F.min(at).alias("_f"))
+        before = None
+    else:
+        opened = stored.filter((F.col("status") == "OPEN") & F.col("meter_id").isNotNull()).withColumn("meter_id", F.col("meter_id").cast("string"))
+        before = rows.newest(opened, ["meter_id"], [F.col("timestamp").desc(), F.col("id").desc()], 1)
+        held = before.select("meter_id", micros(F.col("timestamp")).alias("_t"), F.col("actual_reading").alias("_a"))
+        past = micros(F.col("timestamp")) > F.col("_t") + COOLDOWN_US
+        takes = F.col("_t").isNull() | past | (F.col("actual_kwh") > F.col("_a"))
+        begin = own.join(held, "meter_id", "left").filter(takes).groupBy("meter_id").agg(F.min(at).alias("_f"))
+    starts = cut_lineage(begin.select("meter_id", F.col("_f.ts").alias("from_ts"), F.col("_f.id").alias("from_id")), "starts")
+    blocks = cut_lineage(cooldown_blocks(own, starts), "cooldown")
+    hops = blocks.select("meter_id", "day", "ts", "id", "actual_kwh", "own", "begins").groupBy("meter_id", "day").applyInArrow(_hops, HOP_SCHEMA)
+    walk = hops.join(starts, "meter_id").repartition("meter_id").sortWithinPartitions("meter_id", "ts", "id")
+    entered = walk.mapInArrow(_entered, "meter_id STRING, day LONG, entry LONG")
+    runs = blocks.join(entered, ["meter_id", "day"]).groupBy("meter_id", "day").applyInArrow(_runs, RUN_SCHEMA)
+    runs = runs.select("*", F.lit(None).cast("string").alias("stored_id"))
+    if before is not None:
+        runs = runs.unionByName(
+            before.join(starts, "meter_id", "left_semi").select(
+                "meter_id", "building_id", F.lit(-1).cast("long").alias("first_id"), "opened_at", "timestamp", "actual_reading",
+                "anomaly_score", "severity", F.lit(0).alias("updates"), F.col("id").cast("string").alias("stored_id"),
+            )
+        )
+    order = Window.partitionBy("meter_id").orderBy(F.col("stored_id").isNull(), "opened_at", "first_id")
     gap = elapsed(F.col("opened_at"), F.lag("timestamp").over(order))
-    continues = F.col("is_head") & F.coalesce(gap <= COOLDOWN_S, F.lit(False))
-    joined = runs.withColumn("_new", F.when(~continues, F.col("first_id"))).withColumn(
+    continues = F.coalesce(gap <= COOLDOWN_S, F.lit(False))
+    new = F.when(~continues, F.coalesce("stored_id", F.concat(F.lit("ANOM-LIVE-"), F.col("first_id").cast("string"))))
+    joined = runs.withColumn("_new", new).withColumn(
         "_incident", F.last("_new", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    )
+    ).withColumn("_place", F.row_number().over(order))
     whole = joined.groupBy("meter_id", "_incident").agg(
-        F.max_by(F.struct("building_id", "timestamp", "actual_reading", "severity"), F.struct("opened_at", "first_id")).alias("_l"),
-        F.min("opened_at").alias("opened_at"), F.max("anomaly_score").alias("anomaly_score"),
-        (F.sum("updates") + F.count(F.lit(1)) - 1).cast("int").alias("updates"),
+        F.max_by(F.struct("building_id", "timestamp", "actual_reading", "severity"), "_place").alias("_l"),
+        F.min_by("opened_at", "_place").alias("opened_at"), F.max("anomaly_score").alias("anomaly_score"),
+        (F.sum("updates") + F.count(F.lit(1)) - 1).cast("int").alias("updates"), F.max("stored_id").alias("stored_id"),
     )
-    merged = whole.select(
-        F.concat(F.lit("ANOM-LIVE-"), F.col("_incident").cast("string")).alias("id"), "_l.building_id", "meter_id",
+    merged = whole.filter(F.col("stored_id").isNull() | (F.col("updates") > 0)).select(
+        F.col("_incident").alias("id"), "_l.building_id", "meter_id",
         "_l.timestamp", "opened_at", "_l.actual_reading", "anomaly_score", "_l.severity", "updates",
     )
     return merged.unionByName(alone)

@@ -98,12 +98,12 @@ def flagged(t: Tables) -> DataFrame:
 
 
 @query("incident_cooldown", f"""
-SELECT 'ANOM-LIVE-' || CAST(open_id AS STRING) AS id, building_id, meter_id, timestamp, opened_at, actual_reading, anomaly_score, severity, updates FROM (
+SELECT open_id AS id, building_id, meter_id, timestamp, opened_at, actual_reading, anomaly_score, severity, updates FROM (
   SELECT open_id, building_id, meter_id, ts AS timestamp, opened_at, kwh AS actual_reading, score AS anomaly_score, severity, updates,
-    row_number() OVER (PARTITION BY meter_id, open_id ORDER BY n DESC) AS last FROM v_cooldown) q WHERE last = 1
+    row_number() OVER (PARTITION BY meter_id, open_id ORDER BY n DESC) AS last FROM v_cooldown) q WHERE last = 1 AND (open_id LIKE 'ANOM-LIVE-%' OR updates > 0)
 UNION ALL SELECT 'ANOM-LIVE-' || CAST(id AS STRING), building_id, meter_id, timestamp, timestamp, actual_kwh, anomaly_score, severity, 0 FROM v_flagged WHERE meter_id IS NULL""", ("v_cooldown",))
 def _(t: Tables) -> DataFrame:
-    return incidents.incident_cooldown(flagged(t))
+    return incidents.incident_cooldown(flagged(t), t("v_open_incident"))
 
 
 @query("status_transition", """

@@ -72,6 +72,11 @@ SELECT 'ANOM-' || md5(CAST(id AS STRING)) AS id, building_id, meter_id, timestam
   CASE WHEN id % 7 = 0 THEN NULL ELSE '{"estimated_waste_vnd": ' || CAST(CAST(round(meter_reading_kwh * 3100) AS BIGINT) AS STRING) || ', "predicted_kwh": 50}' END AS snapshot,
   id AS seq
 FROM v_meter_reading WHERE meter_reading_kwh >= 50"""),
+    # one incident per meter that was open when the first reading came
+    "v_open_incident": (["v_meter_reading"], """
+SELECT 'ANOM-OLD-' || meter_id AS id, meter_id AS building_id, meter_id, min(timestamp) - INTERVAL 3 MINUTE AS timestamp, min(timestamp) - INTERVAL 1 HOUR AS opened_at,
+  CAST(20 AS DOUBLE) AS actual_reading, CAST(0.3 AS DOUBLE) AS anomaly_score, 'MEDIUM' AS severity, 'OPEN' AS status
+FROM (SELECT CASE WHEN id % 50 <> 0 THEN building_id END AS meter_id, timestamp FROM v_meter_reading WHERE meter_reading_kwh >= 15) f WHERE meter_id IS NOT NULL GROUP BY meter_id"""),
     "v_labelled": (["labels"], """
 SELECT doc_id, toxic AS is_injected_anomaly, 1 - quality AS predicted FROM labels"""),
     "v_kb_document": (["documents"], """
@@ -211,11 +216,11 @@ SELECT id, building_id, CASE WHEN id % 50 <> 0 THEN building_id END AS meter_id,
   row_number() OVER (PARTITION BY CASE WHEN id % 50 <> 0 THEN building_id END ORDER BY timestamp, id) AS n
 FROM v_meter_reading WHERE meter_reading_kwh >= 15""")
 # the cooldown fold as a recursive query: one step per event of a meter, in time order
-DERIVED["v_cooldown"] = (["v_flagged"], """
-  SELECT meter_id, n, id AS open_id, building_id, timestamp AS ts, timestamp AS opened_at, actual_kwh AS kwh, anomaly_score AS score, severity, CAST(0 AS BIGINT) AS updates
-  FROM v_flagged WHERE n = 1 AND meter_id IS NOT NULL
+DERIVED["v_cooldown"] = (["v_flagged", "v_open_incident"], """
+  SELECT meter_id, CAST(0 AS BIGINT) AS n, id AS open_id, building_id, timestamp AS ts, opened_at, actual_reading AS kwh, anomaly_score AS score, severity, CAST(0 AS BIGINT) AS updates
+  FROM v_open_incident
   UNION ALL
-  SELECT meter_id, n2, CASE WHEN inside THEN open_id ELSE id2 END, building_id, CASE WHEN inside AND NOT up THEN ts ELSE ts2 END, CASE WHEN inside THEN opened_at ELSE ts2 END,
+  SELECT meter_id, n2, CASE WHEN inside THEN open_id ELSE 'ANOM-LIVE-' || CAST(id2 AS STRING) END, building_id, CASE WHEN inside AND NOT up THEN ts ELSE ts2 END, CASE WHEN inside THEN opened_at ELSE ts2 END,
     CASE WHEN inside AND NOT up THEN kwh ELSE kwh2 END, CASE WHEN NOT inside THEN score2 WHEN up THEN greatest(score, score2) ELSE score END,
     CASE WHEN inside AND NOT up THEN severity ELSE severity2 END, CASE WHEN inside THEN updates + CASE WHEN up THEN 1 ELSE 0 END ELSE 0 END
   FROM (SELECT f.*, e.id AS id2, e.n AS n2, e.timestamp AS ts2, e.actual_kwh AS kwh2, e.anomaly_score AS score2, e.severity AS severity2,

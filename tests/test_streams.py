@@ -10,6 +10,7 @@ from wattloom.streaming import jobs
 
 START = dt.datetime(2024, 1, 1)
 FLAGGED = "id long, building_id string, meter_id string, timestamp timestamp_ntz, actual_kwh double, anomaly_score double, severity string"
+STORED = "id string, building_id string, meter_id string, timestamp timestamp_ntz, opened_at timestamp_ntz, actual_reading double, anomaly_score double, severity string, status string"
 READING = "id long, building_id string, zone_id string, timestamp timestamp_ntz, meter_reading_kwh double, outdoor_temperature_c double, relative_humidity_pct double, interval_seconds double"
 
 
@@ -31,11 +32,41 @@ def test_cooldown_over_batches_equals_batch(spark, tmp_path):
         at += dt.timedelta(seconds=rng.choice([60, 300, 600, 700, 5000]))
         rows.append((i, "b", f"m{i % 3}", at, float(rng.randrange(100)), 0.5, "MEDIUM"))
     folder = arrive(spark, tmp_path / "in", [rows[:100], rows[100:180], rows[180:]], FLAGGED)
-    versions = jobs.run_available(jobs.stream_cooldown(stream(spark, folder, FLAGGED)), str(tmp_path / "out"), str(tmp_path / "ck"))
-    last = versions.groupBy("id").agg(F.max_by(F.struct("timestamp", "actual_reading", "updates"), "updates").alias("l")).select("id", "l.*")
-    got = sorted((r.id, r.timestamp.replace(tzinfo=None), r.actual_reading, r.updates) for r in last.collect())
-    batch = incidents.incident_cooldown(spark.createDataFrame(rows, FLAGGED)).collect()
-    assert got == sorted((r.id, r.timestamp, r.actual_reading, r.updates) for r in batch)
+    rows += [(1000, "b", None, at, 3.0, 0.5, "MEDIUM"), (1001, "b", None, at, 3.0, 0.5, "MEDIUM")]
+    old = [("OLD-0", "b", "m0", START - dt.timedelta(minutes=5), START - dt.timedelta(hours=1), 20.0, 0.7, "MEDIUM", "OPEN"), ("OLD-1", "b", "m1", START, START, 1e9, 0.7, "MEDIUM", "OPEN")]
+    stored = spark.createDataFrame(old, STORED)
+    folder = arrive(spark, tmp_path / "in", [rows[:100], rows[100:180], rows[180:]], FLAGGED)
+    versions = jobs.run_available(jobs.stream_cooldown(stream(spark, folder, FLAGGED), stored), str(tmp_path / "out"), str(tmp_path / "ck"))
+    last = versions.groupBy("id").agg(F.max_by(F.struct("timestamp", "opened_at", "actual_reading", "anomaly_score", "updates"), "updates").alias("l")).select("id", "l.*")
+    plain = lambda t: t.replace(tzinfo=None)
+    got = sorted((r.id, plain(r.timestamp), plain(r.opened_at), r.actual_reading, r.anomaly_score, r.updates) for r in last.collect())
+    batch = incidents.incident_cooldown(spark.createDataFrame(rows, FLAGGED), stored).collect()
+    assert got == sorted((r.id, r.timestamp, r.opened_at, r.actual_reading, r.anomaly_score, r.updates) for r in batch)
+    assert {"ANOM-LIVE-1000", "ANOM-LIVE-1001"} <= {r[0] for r in got}
+
+
+def test_surge_puts_late_readings_in_their_place(spark, tmp_path):
+    schema = "id long, building_id string, timestamp timestamp_ntz, meter_reading_kwh double, forest_label int, anomaly_score double"
+    rng = random.Random(7)
+    rows = [(i, f"b{i % 2}", START + dt.timedelta(minutes=10 * i), float(rng.randrange(1, 100)), -1 if i % 19 == 0 else 1, -0.1) for i in range(300)]
+    late = sorted(rows, key=lambda r: r[0] + rng.choice([0, 0, 3]))  # up to half an hour behind
+    end = [(1000 + k, b, START + dt.timedelta(days=30), 1.0, 1, -0.1) for k, b in enumerate(("b0", "b1"))]
+    folder = arrive(spark, tmp_path / "in", [late[:80], late[80:81], late[81:200], late[200:], end], schema)
+    out = jobs.run_available(jobs.stream_surge(stream(spark, folder, schema)), str(tmp_path / "out"), str(tmp_path / "ck"))
+    want = incidents.surge_detector(spark.createDataFrame(rows, schema))
+    pick = lambda df: sorted((r.id, r.severity, r.actual_reading) for r in df.collect())
+    assert pick(out) == pick(want) and len(pick(out)) > 20
+
+
+def test_ingest_looks_only_into_the_days_of_a_batch(spark, tmp_path):
+    batches = [[reading(1, 0), reading(2, 3000)], [reading(3, 0), reading(4, 3001), reading(5, 3001)], [reading(6, 3001), reading(7, 9000), reading(8, 1, -5.0)]]
+    folder = arrive(spark, tmp_path / "in", batches, READING)
+    accepted, rejected = str(tmp_path / "accepted"), str(tmp_path / "rejected")
+    stored = spark.createDataFrame([reading(9, 9000)], READING)
+    jobs.stream_ingest_sink(stream(spark, folder, READING), *places(spark), stored, accepted, rejected, str(tmp_path / "ck"))
+    rows = {(r.id, str(r.day), r.batch) for r in spark.read.parquet(accepted).collect()}
+    assert rows == {(1, "2024-01-01", 0), (2, "2024-01-03", 0), (4, "2024-01-03", 1)}
+    assert {r.id for r in spark.read.parquet(rejected).collect()} == {8}
 
 
 def test_surge_history_crosses_batches(spark, tmp_path):
@@ -43,9 +74,9 @@ def test_surge_history_crosses_batches(spark, tmp_path):
     rng = random.Random(6)
     rows = [(i, f"b{i % 2}", START + dt.timedelta(minutes=i), float(rng.randrange(1, 100)), -1 if i % 19 == 0 else 1, -0.1) for i in range(200)]
     folder = arrive(spark, tmp_path / "in", [rows[:30], rows[30:50], rows[50:]], schema)
-    out = jobs.run_available(jobs.stream_surge(stream(spark, folder, schema)), str(tmp_path / "out"), str(tmp_path / "ck"))
+    out = jobs.run_available(jobs.stream_surge(stream(spark, folder, schema), delay="0 seconds"), str(tmp_path / "out"), str(tmp_path / "ck"))
     want = incidents.surge_detector(spark.createDataFrame(rows, schema))
-    pick = lambda df: sorted((r.id, r.severity, r.actual_reading) for r in df.collect())
+    pick = lambda df: sorted((r.id, r.severity, r.actual_reading) for r in df.collect() if r.id < 199)
     assert pick(out) == pick(want) and len(pick(out)) > 20
 
 

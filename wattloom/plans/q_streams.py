@@ -70,23 +70,35 @@ def _(t: Tables) -> DataFrame:
     return ntz(jobs.newest_versions(t.spark.read.parquet(path)))
 
 
-@query("stream_surge", f"SELECT id, building_id, timestamp, actual_reading, anomaly_score, severity FROM ({SURGE_SQL}) s", ("v_live_item",))
+@query("stream_surge", f"""
+SELECT id, building_id, timestamp, actual_reading, anomaly_score, severity FROM ({SURGE_SQL}) s
+WHERE epoch_ms(timestamp) < (SELECT max(epoch_ms(timestamp)) FROM v_live_item) - 3600000""", ("v_live_item",))
 def _(t: Tables) -> DataFrame:
-    stream = jobs.stream_surge(live(t, "v_live_item"))
-    return ntz(jobs.run_available(stream, scratch(t.spark, "surge"), scratch(t.spark, "state")))
+    # three arrivals; every other reading comes half an hour late, so some come an arrival later than their neighbours
+    folder, out, state = (scratch(t.spark, n) for n in ("arrivals", "surge", "state"))
+    events = t.base("events")
+    comes = F.unix_seconds(F.col("ts").cast("timestamp")) + F.col("event_id") % 2 * 1800
+    first, last, _ = (F.unix_seconds(F.lit(x).cast("timestamp")) for x in t.span())
+    third = F.floor((comes - first) * 3 / (last - first + 1))
+    for part in (events.filter(third <= 0), events.filter(third == 1), events.filter(third >= 2)):
+        part.write.mode("append").parquet(folder)
+        found = jobs.run_available(jobs.stream_surge(live(t, "v_live_item", folder, 1_000_000)), out, state)
+    return ntz(found)
 
 
 @query("stream_cooldown", """
-SELECT 'ANOM-LIVE-' || CAST(open_id AS STRING) AS id, building_id, meter_id, timestamp, opened_at, actual_reading, anomaly_score, severity, updates FROM (
+SELECT open_id AS id, building_id, meter_id, timestamp, opened_at, actual_reading, anomaly_score, severity, updates FROM (
   SELECT open_id, building_id, meter_id, ts AS timestamp, opened_at, kwh AS actual_reading, score AS anomaly_score, severity, updates,
-    row_number() OVER (PARTITION BY meter_id, open_id ORDER BY n DESC) AS last FROM v_cooldown) q WHERE last = 1""", ("v_cooldown",))
+    row_number() OVER (PARTITION BY meter_id, open_id ORDER BY n DESC) AS last FROM v_cooldown) q WHERE last = 1 AND (open_id LIKE 'ANOM-LIVE-%' OR updates > 0)
+UNION ALL SELECT 'ANOM-LIVE-' || CAST(id AS STRING), building_id, meter_id, timestamp, timestamp, actual_kwh, anomaly_score, severity, 0 FROM v_flagged WHERE meter_id IS NULL""", ("v_cooldown",))
 def _(t: Tables) -> DataFrame:
     stream = live(t, "v_meter_reading").filter(F.col("meter_reading_kwh") >= 15).select(
         "id", "building_id", F.when(F.col("id") % 50 != 0, F.col("building_id")).alias("meter_id"), "timestamp",
         F.col("meter_reading_kwh").alias("actual_kwh"), (F.col("id") % 100 / 100.0).alias("anomaly_score"),
         F.when(F.col("meter_reading_kwh") >= 60, "CRITICAL").otherwise("MEDIUM").alias("severity"),
     )
-    versions = jobs.run_available(jobs.stream_cooldown(stream), scratch(t.spark, "cooldown"), scratch(t.spark, "state"))
+    made = jobs.stream_cooldown(stream, t("v_open_incident"))
+    versions = jobs.run_available(made, scratch(t.spark, "cooldown"), scratch(t.spark, "state"))
     fields = [f for f in jobs.INCIDENT_FIELDS if f != "id"]
     last = versions.groupBy("id").agg(F.max_by(F.struct(*fields), "updates").alias("_l")).select("id", "_l.*")
     return ntz(last, "timestamp", "opened_at")

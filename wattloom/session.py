@@ -57,6 +57,11 @@ def _file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _file_system(spark, path)
+    return fs.exists(where)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """This application's own folder below the shared one; it goes when the application ends."""
     app = spark.sparkContext.applicationId

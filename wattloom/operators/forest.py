@@ -1,11 +1,14 @@
 """Isolation forest (Liu, Ting and Zhou, 2008) on Spark.
 
 Samples are drawn by row hashes, trees grow in parallel on 256 rows each,
-and scoring walks the broadcast trees batch by batch.
+and scoring walks the broadcast trees batch by batch. All chance comes from
+md5 sums of keys and node numbers, so a fit is the same on every run and in
+any engine; the fitted forest is a table of nodes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +22,10 @@ from wattloom.operators import rows
 from wattloom.operators.trees import Ensemble
 
 EULER = 0.5772156649015329
-NODE_SCHEMA = "tree INT, node INT, feature INT, threshold DOUBLE, left INT, right INT, path DOUBLE"
+NODE_SCHEMA = "tree INT, node INT, place LONG, feature INT, threshold DOUBLE, left INT, right INT, path DOUBLE"
+#: Step by which each tree's draw is turned against the one before: the golden section.
+TURN = 0.6180339887498949
+BITS_52 = float(1 << 52)
 SCORE_GRID = 1_000_000
 
 
@@ -32,33 +38,50 @@ def average_path(n: float) -> float:
     return 2.0 * (math.log(n - 1) + EULER) - 2.0 * (n - 1) / n
 
 
-def uniform(keys: list[str], *salt) -> Column:
-    mixed = F.xxhash64(*keys, *[s if isinstance(s, Column) else F.lit(s) for s in salt])
-    return F.pmod(mixed, F.lit(1 << 31)) / F.lit(float(1 << 31))
+def position(keys: list[str]) -> Column:
+    """A row's place in [0, 1), from the md5 of its keys."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / BITS_52
 
 
-def grow(sample: np.ndarray, rng: np.random.Generator) -> list[tuple[int, float, int, int, float]]:
-    """One isolation tree; leaves hold their depth plus the path still expected there."""
+def turned(place: Column, tree: Column) -> Column:
+    """A row's place for one tree: one hash per row serves all trees."""
+    moved = place + tree * F.lit(TURN)
+    return moved - F.floor(moved)
+
+
+def chances(seed: int, tree: int, place: int) -> tuple[float, float]:
+    """Two numbers in [0, 1) for a node."""
+    digits = hashlib.md5(f"{seed}:{tree}:{place}".encode()).hexdigest()
+    return int(digits[:13], 16) / BITS_52, int(digits[16:29], 16) / BITS_52
+
+
+def grow(sample: np.ndarray, seed: int, tree: int) -> list[tuple[int, int, float, int, int, float]]:
+    """One isolation tree; leaves hold their depth plus the path still expected there.
+
+    Nodes carry their place: the root's is 1, the children of p are 2p and 2p + 1.
+    """
     limit = math.ceil(math.log2(max(len(sample), 2)))
     nodes: list = []
 
-    def split(x: np.ndarray, depth: int) -> int:
+    def split(x: np.ndarray, depth: int, place: int) -> int:
         me = len(nodes)
         nodes.append(None)
         low, high = x.min(axis=0), x.max(axis=0)
         usable = np.flatnonzero(high > low)
         if depth >= limit or len(x) <= 1 or len(usable) == 0:
-            nodes[me] = (0, 0.0, -1, -1, depth + average_path(len(x)))
+            nodes[me] = (place, 0, 0.0, -1, -1, depth + average_path(len(x)))
             return me
-        feature = int(rng.choice(usable))
-        threshold = float(rng.uniform(low[feature], high[feature]))
+        which, where = chances(seed, tree, place)
+        feature = int(usable[int(which * len(usable))])
+        threshold = float(low[feature] + where * (high[feature] - low[feature]))
         if threshold >= high[feature]:  # neighbours in floating point
             threshold = float(low[feature])
         mask = x[:, feature] <= threshold
-        nodes[me] = (feature, threshold, split(x[mask], depth + 1), split(x[~mask], depth + 1), 0.0)
+        nodes[me] = (place, feature, threshold, split(x[mask], depth + 1, 2 * place), split(x[~mask], depth + 1, 2 * place + 1), 0.0)
         return me
 
-    split(sample, 0)
+    split(sample, 0, 1)
     return nodes
 
 
@@ -134,18 +157,18 @@ def isolation_forest_fit(
     share = min(1.0, 2.0 * sample / max(total, 1))
     vector = F.array(*[F.col(c).cast("double") for c in columns])
     drawn = (
-        features.select(*keys, vector.alias("x"))
-        .withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: uniform(keys, t, seed) < share)))
-        .withColumn("_u", uniform(keys, F.col("tree"), seed))
+        features.select(*keys, vector.alias("x"), position(keys).alias("_p"))
+        .withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: turned(F.col("_p"), t) < share)))
+        .withColumn("_u", turned(F.col("_p"), F.col("tree")))
     )
     chosen = rows.newest(drawn, ["tree"], [F.col("_u"), *[F.col(k) for k in keys]], sample)
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         number = int(key[0])
         ordered = np.stack(pdf.sort_values("_u")["x"].to_numpy())
-        nodes = grow(ordered, np.random.default_rng([seed, number]))
-        out = pd.DataFrame(nodes, columns=["feature", "threshold", "left", "right", "path"])
-        return out.assign(tree=number, node=range(len(out)))[["tree", "node", "feature", "threshold", "left", "right", "path"]]
+        nodes = grow(ordered, seed, number)
+        out = pd.DataFrame(nodes, columns=["place", "feature", "threshold", "left", "right", "path"])
+        return out.assign(tree=number, node=range(len(out)))[["tree", "node", "place", "feature", "threshold", "left", "right", "path"]]
 
     from wattloom.session import cut_lineage
 

@@ -6,12 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.functions import settings as S
-from wattloom.functions.numeric import trunc_ntz
+from wattloom.functions.numeric import half_up, trunc_ntz
 from wattloom.functions.numeric import sql_round as r
-from wattloom.operators import features, incidents
+from wattloom.operators import features, forecast, forest, incidents
+from wattloom.plans.q_models import Trained, trained
 from wattloom.plans.q_sources import advice_sql
 from wattloom.plans.registry import query
-from wattloom.plans.views import START, Tables
+from wattloom.plans.views import Tables
+from wattloom.session import cut_lineage
+
+
+def hourly_judgement(made: Trained) -> DataFrame:
+    """What the forest, fitted on the training hours, says of each building's hours."""
+    scored = forest.isolation_forest_score(made.split, made.forest)
+    return cut_lineage(
+        scored.select(
+            "building_id", F.col("timestamp").alias("_hour"), F.col("label").alias("_label"),
+            half_up(-F.col("decision"), 6).alias("_surge"), half_up(F.col("anomaly_score"), 4).alias("_score"),
+        ),
+        "judgement",
+    )
+
+
+def judged(readings: DataFrame, hours: DataFrame) -> DataFrame:
+    """Readings, a table or a stream, with the judgement of their hour; hours without features are normal."""
+    hour = F.date_trunc("hour", F.col("timestamp").cast("timestamp")).cast("timestamp_ntz")
+    joined = readings.withColumn("_hour", hour).join(hours, ["building_id", "_hour"], "left")
+    filled = {"forest_label": F.coalesce("_label", F.lit(1)), "anomaly_score": F.coalesce("_surge", F.lit(-0.1)), "forest_score": F.coalesce("_score", F.lit(0.0))}
+    return joined.withColumns(filled).drop("_hour", "_label", "_surge", "_score")
 
 
 @query("residual_severity", "SELECT building_id, timestamp, is_anomaly, severity FROM v_scored", ("v_scored",))
@@ -42,27 +64,19 @@ SELECT id, building_id, zone_id, meter_id, timestamp, severity, {r("greatest(for
   concat('Live load spike (', printf('%.2f', {r("ratio", 2)}), 'x expected rate) at ', CASE WHEN zone_id IS NULL THEN 'Tổng tòa nhà' ELSE concat('Khu vực ', zone_id) END) AS description
 FROM (SELECT *, CASE WHEN ratio >= 2.0 OR (forest_flag AND ratio >= 1.25 AND ratio >= 1.5) THEN 'CRITICAL' ELSE 'MEDIUM' END AS severity
   FROM (SELECT *, kwh / expected AS ratio FROM (SELECT *, {EXPECTED_SQL} AS expected FROM (
-    SELECT i.*, id % 97 = 0 AS forest_flag, (id % 100) / 100.0 AS forest_score, greatest(0.0, i.meter_reading_kwh * (3600.0 / greatest(1.0, interval_seconds))) AS kwh, list_filter(rates, lambda x: x > 0) AS usable,
-      CASE WHEN i.timestamp >= {START} + INTERVAL 24 HOUR AND s.meter_reading_kwh IS NOT NULL THEN greatest(10.0, s.meter_reading_kwh) ELSE coalesce(p.profile_kwh, 200.0) END AS expected_building
-    FROM v_rate i LEFT JOIN v_series s ON s.building_id = i.building_id AND s.timestamp = date_trunc('hour', i.timestamp) - INTERVAL 24 HOUR
+    SELECT i.*, v.forest_label = -1 AS forest_flag, v.forest_score, greatest(0.0, i.meter_reading_kwh * (3600.0 / greatest(1.0, interval_seconds))) AS kwh, list_filter(rates, lambda x: x > 0) AS usable,
+      CASE WHEN s.model_load IS NOT NULL THEN greatest(10.0, s.model_load) ELSE coalesce(p.profile_kwh, 200.0) END AS expected_building
+    FROM v_rate i JOIN v_live_item v ON v.id = i.id LEFT JOIN v_model_load s ON s.building_id = i.building_id AND s.timestamp = date_trunc('hour', i.timestamp)
     LEFT JOIN v_profile p ON p.building_id = i.building_id AND p.dayofweek = isodow(i.timestamp) - 1 AND p.hour = hour(i.timestamp)) a) b) c
-  WHERE (forest_flag AND ratio >= 1.25) OR ratio >= 1.6) d""", ("v_rate", "v_series", "v_profile", "v_span"))
+  WHERE (forest_flag AND ratio >= 1.25) OR ratio >= 1.6) d""", ("v_rate", "v_live_item", "v_model_load", "v_profile"))
 def _(t: Tables) -> DataFrame:
-    # the building model is the load 24 hours before; it counts as known from the second day on
-    day_before = t.series().select(
-        "building_id", (F.col("timestamp") + F.expr("interval 24 hours")).alias("_hour"), F.col("meter_reading_kwh").alias("model_load")
+    made = trained(t)
+    load = forecast.arx_predict(made.split, forecast.arx_fit(made.train)).select(
+        "building_id", F.col("timestamp").alias("_hour"), half_up(F.col("prediction"), 4).alias("model_load")
     )
-    items = (
-        features.meter_hourly_rates(t("v_meter_reading"))
-        .withColumn("_hour", trunc_ntz("hour", F.col("timestamp")))
-        .join(day_before, ["building_id", "_hour"], "left")
-        .withColumns(
-            {
-                "hours_known": F.when(F.col("model_load").isNotNull(), F.lit(24)).otherwise(F.lit(0)),
-                "forest_flag": F.col("id") % 97 == 0,
-                "forest_score": F.col("id") % 100 / 100.0,
-            }
-        )
+    rates = features.meter_hourly_rates(judged(t("v_meter_reading"), hourly_judgement(made)))
+    items = rates.withColumn("_hour", trunc_ntz("hour", F.col("timestamp"))).join(load, ["building_id", "_hour"], "left").withColumns(
+        {"hours_known": F.when(F.col("model_load").isNotNull(), F.lit(24)).otherwise(F.lit(0)), "forest_flag": F.col("forest_label") == -1}
     )
     return incidents.live_scoring(items, t.profile()).drop("subsystem", "suggested_action")
 
@@ -85,7 +99,7 @@ FROM (SELECT *, CASE WHEN anomaly_score >= 0 OR ratio >= 3.0 THEN 'HIGH' WHEN an
 
 @query("surge_detector", SURGE_SQL, ("v_live_item",))
 def _(t: Tables) -> DataFrame:
-    return incidents.surge_detector(t("v_live_item"))
+    return incidents.surge_detector(judged(t("v_meter_reading"), hourly_judgement(trained(t))))
 
 
 def flagged(t: Tables) -> DataFrame:

@@ -48,26 +48,19 @@ def trained(t: Tables) -> Trained:
 # and return, row by row, what must hold of the outcome, which the twins state.
 
 
-@query("isolation_forest_fit", "SELECT CAST(range AS BIGINT) AS tree, true AS well_formed FROM range(150)")
+@query("isolation_forest_fit", f"""
+SELECT tree, place, feature, {r("threshold", 6)} AS threshold, leaf, {r("path", 6)} AS path FROM v_forest_node""", ("v_forest_node",))
 def _(t: Tables) -> DataFrame:
-    leaf = F.col("left") < 0
-    per_tree = trained(t).forest.nodes.groupBy("tree").agg(
-        F.count("*").alias("nodes"), F.sum(leaf.cast("int")).alias("leaves"), F.min(F.when(leaf, F.col("path"))).alias("shortest")
-    )
-    # at most 256 leaves, and every split has two children
-    return per_tree.select("tree", ((F.col("leaves") <= 256) & (F.col("nodes") == 2 * F.col("leaves") - 1) & (F.col("shortest") > 0)).alias("well_formed"))
+    nodes = trained(t).forest.nodes
+    return nodes.select("tree", "place", "feature", half_up(F.col("threshold"), 6).alias("threshold"), (F.col("left") < 0).alias("leaf"), half_up(F.col("path"), 6).alias("path"))
 
 
-@query("isolation_forest_score", "SELECT building_id, timestamp, true AS in_range, true AS label_follows_decision, true AS share_within_tolerance FROM v_split", ("v_split",))
+@query("isolation_forest_score", f"""
+SELECT building_id, timestamp, label, {r("anomaly_score", 4)} AS anomaly_score, {r("decision", 6)} AS decision FROM v_forest_score""", ("v_forest_score",))
 def _(t: Tables) -> DataFrame:
     made = trained(t)
-    scored = cut_lineage(forest.isolation_forest_score(made.split, made.forest), "scored")
-    flagged = scored.filter(F.col("part") == "train").agg(F.avg((F.col("label") == -1).cast("double")).alias("share"))
-    near = F.abs(F.col("share") - 0.03) <= 0.01
-    return scored.crossJoin(F.broadcast(flagged)).select(  # one row
-        "building_id", "timestamp", F.col("anomaly_score").between(0, 1).alias("in_range"),
-        ((F.col("decision") < 0) == (F.col("label") == -1)).alias("label_follows_decision"), near.alias("share_within_tolerance"),
-    )
+    scored = forest.isolation_forest_score(made.split, made.forest)
+    return scored.select("building_id", "timestamp", "label", half_up(F.col("anomaly_score"), 4).alias("anomaly_score"), half_up(F.col("decision"), 6).alias("decision"))
 
 
 def band_holds() -> Column:

@@ -211,9 +211,9 @@ def severity_column():
     return rules.severity(F.col("anomaly_score"), F.col("meter_reading_kwh"), F.col("outdoor_temperature_c"))
 
 
-@query("severity_rule", f"SELECT id, {SEVERITY} AS severity FROM v_live_item", ("v_live_item",))
+@query("severity_rule", f"SELECT id, {SEVERITY} AS severity FROM v_scored_item", ("v_scored_item",))
 def _(t: Tables) -> DataFrame:
-    return t("v_live_item").select("id", severity_column().alias("severity"))
+    return t("v_scored_item").select("id", severity_column().alias("severity"))
 
 
 def advice_sql(level: str, reading: str) -> str:
@@ -223,9 +223,9 @@ def advice_sql(level: str, reading: str) -> str:
 
 
 @query("suggested_action", f"""
-SELECT id, {advice_sql('severity', 'meter_reading_kwh')} AS suggested_action FROM (SELECT id, meter_reading_kwh, {SEVERITY} AS severity FROM v_live_item) q""", ("v_live_item",))
+SELECT id, {advice_sql('severity', 'meter_reading_kwh')} AS suggested_action FROM (SELECT id, meter_reading_kwh, {SEVERITY} AS severity FROM v_scored_item) q""", ("v_scored_item",))
 def _(t: Tables) -> DataFrame:
-    return t("v_live_item").select("id", rules.advice(severity_column(), F.col("meter_reading_kwh")).alias("suggested_action"))
+    return t("v_scored_item").select("id", rules.advice(severity_column(), F.col("meter_reading_kwh")).alias("suggested_action"))
 
 
 @query("waste_cost", f"""

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.functions.numeric import sql_round as r
-from wattloom.plans.q_incidents import SURGE_SQL
+from wattloom.plans.q_incidents import SURGE_SQL, hourly_judgement, judged
+from wattloom.plans.q_models import trained
 from wattloom.plans.registry import query
 from wattloom.plans.views import Tables, over
 from wattloom.session import scratch
@@ -76,13 +77,15 @@ WHERE epoch_ms(timestamp) < (SELECT max(epoch_ms(timestamp)) FROM v_live_item) -
 def _(t: Tables) -> DataFrame:
     # three arrivals; every other reading comes half an hour late, so some come an arrival later than their neighbours
     folder, out, state = (scratch(t.spark, n) for n in ("arrivals", "surge", "state"))
+    hours = hourly_judgement(trained(t))
     events = t.base("events")
     comes = F.unix_seconds(F.col("ts").cast("timestamp")) + F.col("event_id") % 2 * 1800
     first, last, _ = (F.unix_seconds(F.lit(x).cast("timestamp")) for x in t.span())
     third = F.floor((comes - first) * 3 / (last - first + 1))
     for part in (events.filter(third <= 0), events.filter(third == 1), events.filter(third >= 2)):
         part.write.mode("append").parquet(folder)
-        found = jobs.run_available(jobs.stream_surge(live(t, "v_live_item", folder, 1_000_000)), out, state)
+        items = judged(live(t, "v_meter_reading", folder, 1_000_000), hours)
+        found = jobs.run_available(jobs.stream_surge(items), out, state)
     return ntz(found)
 
 

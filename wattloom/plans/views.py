@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.functions.numeric import sql_round as r
-from wattloom.operators import aggregates, cleaning, features
+from wattloom.operators import aggregates, cleaning, features, forest
 from wattloom.session import cut_lineage
 
 #: First and last hour of the days that readings span, and the hour after them, in SQL.
@@ -102,11 +102,12 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 40"""),
     "v_zone": (["v_telemetry"], """
 SELECT DISTINCT building_id, zone_id FROM v_telemetry WHERE zone_id IS NOT NULL
 UNION ALL SELECT DISTINCT building_id, 'z_spare' AS zone_id FROM v_telemetry"""),
-    "v_live_item": (["v_meter_reading"], """
-SELECT *, CASE WHEN id % 97 = 0 THEN -1 ELSE 1 END AS forest_label, (id % 100 - 99) / CAST(1000 AS DOUBLE) AS anomaly_score
-FROM v_meter_reading"""),
+    # any score beside a reading, for the column rules
+    "v_scored_item": (["v_meter_reading"], """
+SELECT *, (id % 100 - 99) / CAST(1000 AS DOUBLE) AS anomaly_score FROM v_meter_reading"""),
 }
 
+
 def _arx_weights() -> str:
     """Normal equations of a building's last 336 training rows, solved by elimination."""
     terms = ["1.0", "lag_1h", "lag_24h", "air_temperature"]
@@ -124,6 +125,24 @@ def _arx_weights() -> str:
     return f"SELECT building_id, {', '.join(f'm{i}{size} AS w{i}' for i in range(size))} FROM ({sql}) e"
 
 
+def _average_path(n: str) -> str:
+    return f"(CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0 ELSE 2.0 * (ln({n} - 1) + {forest.EULER}) - 2.0 * ({n} - 1) / {n} END)"
+
+
+def _forest_nodes(rows: str, keep: str = "") -> str:
+    """``rows`` with the split of their node: a feature and a threshold, null where the node is a leaf."""
+    both = ", ".join(f"min(x[{k}]) OVER w AS a{k}, max(x[{k}]) OVER w AS z{k}" for k in range(1, 10))
+    low, high = (", ".join(f"{c}{k}" for k in range(1, 10)) for c in "az")
+    chance = lambda first: f"CAST(CAST('0x' || substr(md5('42:' || CAST(tree AS VARCHAR) || ':' || CAST(place AS VARCHAR)), {first}, 13) AS BIGINT) AS DOUBLE) / 4503599627370496"
+    return f"""
+    SELECT tree, place, depth, {keep}drawn, n, feature, CASE WHEN cut_at >= high[feature + 1] THEN low[feature + 1] ELSE cut_at END AS threshold FROM (
+      SELECT *, low[feature + 1] + {chance(17)} * (high[feature + 1] - low[feature + 1]) AS cut_at FROM (
+        SELECT *, CASE WHEN depth < ceil(log2(greatest(drawn, 2))) AND n > 1 AND len(usable) > 0 THEN usable[1 + CAST(floor({chance(1)} * len(usable)) AS BIGINT)] END AS feature FROM (
+          SELECT *, list_filter(range(9), lambda i: high[i + 1] > low[i + 1]) AS usable FROM (
+            SELECT *, [{low}] AS low, [{high}] AS high FROM (
+              SELECT *, count(*) OVER w AS n, {both} FROM ({rows}) r0 WINDOW w AS (PARTITION BY tree, place)) r1) r2) r3) r4) r5"""
+
+
 # Twins of what operators build; DuckDB only.
 DERIVED: dict[str, tuple[list[str], str]] = {
     "v_series": (["v_meter_reading", "v_span"], f"""
@@ -173,6 +192,42 @@ WHERE t.part = 'test'"""),
 SELECT q.building_id, o.timestamp AS origin_timestamp, q.position - o.position AS horizon_h, q.timestamp AS target_timestamp,
   q.meter_reading AS actual, q.lag_24h AS lag24, o.meter_reading AS lag1, q.profile_kwh AS hour_profile
 FROM v_test q JOIN v_test o ON o.building_id = q.building_id AND q.position - o.position BETWEEN 1 AND 24"""),
+    "v_forest_row": (["v_split"], """
+SELECT building_id, timestamp, part, CAST([meter_reading, air_temperature, hour, dayofweek, is_weekend, hour_sin, hour_cos, lag_1h, lag_24h] AS DOUBLE[]) AS x,
+  CAST(CAST('0x' || substr(md5(building_id || '|' || CAST(timestamp AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496 AS p FROM v_split"""),
+    "v_forest_sample": (["v_forest_row"], f"""
+SELECT tree, x FROM (
+  SELECT tree, x, row_number() OVER (PARTITION BY tree ORDER BY u, building_id, timestamp) AS k FROM (
+    SELECT CAST(t.tree AS BIGINT) AS tree, r.*, r.p + t.tree * CAST({forest.TURN} AS DOUBLE) - floor(r.p + t.tree * CAST({forest.TURN} AS DOUBLE)) AS u
+    FROM v_forest_row r, range(150) t(tree) WHERE r.part = 'train') a) b WHERE k <= 256"""),
+    # one level of all trees per step: the rows of a node go on to its children
+    "v_forest_grow": (["v_forest_sample"], f"""
+  SELECT tree, CAST(1 AS BIGINT) AS place, CAST(0 AS BIGINT) AS depth, x, count(*) OVER (PARTITION BY tree) AS drawn FROM v_forest_sample
+  UNION ALL
+  SELECT tree, place * 2 + CASE WHEN x[feature + 1] <= threshold THEN 0 ELSE 1 END, depth + 1, x, drawn FROM ({_forest_nodes("SELECT * FROM v_forest_grow", "x, ")}) s WHERE feature IS NOT NULL"""),
+    "v_forest_node": (["v_forest_grow"], f"""
+SELECT tree, place, coalesce(feature, 0) AS feature, coalesce(threshold, 0.0) AS threshold, feature IS NULL AS leaf,
+  CASE WHEN feature IS NULL THEN depth + {_average_path("n")} ELSE 0.0 END AS path
+FROM (SELECT DISTINCT tree, place, depth, n, feature, threshold FROM ({_forest_nodes("SELECT * FROM v_forest_grow")}) s) d"""),
+    "v_forest_walk": (["v_forest_row", "v_forest_node"], """
+  SELECT building_id, timestamp, x, CAST(tree AS BIGINT) AS tree, CAST(1 AS BIGINT) AS place FROM v_forest_row, range(150) t(tree)
+  UNION ALL
+  SELECT w.building_id, w.timestamp, w.x, w.tree, w.place * 2 + CASE WHEN w.x[n.feature + 1] <= n.threshold THEN 0 ELSE 1 END
+  FROM v_forest_walk w JOIN v_forest_node n ON n.tree = w.tree AND n.place = w.place WHERE NOT n.leaf"""),
+    "v_forest_raw": (["v_forest_walk", "v_forest_node", "v_forest_sample"], f"""
+SELECT building_id, timestamp, power(2.0, -(sum(path) / 150) / (SELECT {_average_path("count(*)")} FROM v_forest_sample WHERE tree = 0)) AS score
+FROM v_forest_walk w JOIN v_forest_node n ON n.tree = w.tree AND n.place = w.place WHERE n.leaf GROUP BY 1, 2"""),
+    "v_forest_score": (["v_forest_raw", "v_split"], f"""
+SELECT r.building_id, r.timestamp, o.t - score AS decision, CAST(CASE WHEN o.t - score < 0 THEN -1 ELSE 1 END AS BIGINT) AS label,
+  greatest(0.0, least(1.0, (score - o.t - (o.lo - o.t)) / ((o.hi - o.t) - (o.lo - o.t)))) AS anomaly_score
+FROM v_forest_raw r, (SELECT min(g) / 1000000.0 AS lo, max(g) / 1000000.0 AS hi, quantile_cont(g, 0.97) / 1000000.0 AS t FROM (
+  SELECT CAST({r("score * 1000000", 0)} AS DOUBLE) AS g FROM v_forest_raw f JOIN v_split s ON s.building_id = f.building_id AND s.timestamp = f.timestamp WHERE s.part = 'train') q) o"""),
+    # a reading is judged as the forest judges its building's hour; hours without features are normal
+    "v_live_item": (["v_meter_reading", "v_forest_score"], f"""
+SELECT m.*, coalesce(f.label, 1) AS forest_label, coalesce({r("-f.decision", 6)}, -0.1) AS anomaly_score, coalesce({r("f.anomaly_score", 4)}, 0.0) AS forest_score
+FROM v_meter_reading m LEFT JOIN v_forest_score f ON f.building_id = m.building_id AND f.timestamp = date_trunc('hour', m.timestamp)"""),
+    "v_model_load": (["v_split", "v_arx"], f"""
+SELECT s.building_id, s.timestamp, {r("w.w0 + w.w1 * lag_1h + w.w2 * lag_24h + w.w3 * air_temperature", 4)} AS model_load FROM v_split s JOIN v_arx w ON w.building_id = s.building_id"""),
     "v_arx": (["v_split"], _arx_weights()),
     # the recursive forecast as a recursive query: one hour ahead of every origin per step
     "v_arx_walk": (["v_test", "v_arx"], """
@@ -252,7 +307,7 @@ FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS
 JOIN v_body b ON b.doc_id = c.doc_id""")
 
 ALL = {**SHARED, **DERIVED}
-RECURSIVE = {"v_cooldown", "v_passage", "v_arx_walk"}
+RECURSIVE = {"v_cooldown", "v_passage", "v_arx_walk", "v_forest_grow", "v_forest_walk"}
 
 
 def cte(*names: str, heads: tuple[str, ...] = ()) -> str:

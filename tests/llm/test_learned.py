@@ -1,5 +1,7 @@
 """Learned operators: held-out accuracy, no leak from held-out labels, defined results for odd rows; the pipeline as a whole."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -122,3 +124,22 @@ def test_pipeline_equals_brute_force(spark, tables):
         assert set(stages[name](spark, odd, FOLDER).columns) == set(odd.columns)
         assert stages[name](spark, odd.limit(0), FOLDER).count() == 0
     assert sorted(r.doc_id or 0 for r in stages["jaccard"](spark, odd, FOLDER).collect()) == [0, 1, 2, 3, 4, 5, 7, 8]
+
+
+def test_a_rare_language_is_learned(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    make = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    common = {lang: [f"{a}{b}" for a in first for b in second] for lang, first, second in (("xx", ["ba", "lo", "mi"], ["ren", "tok", "sul"]), ("yy", ["qua", "zi", "vex"], ["phi", "nor", "ghu"]))}
+    rows = [(k, make(common["xx" if k % 2 else "yy"], 30), "xx" if k % 2 else "yy") for k in range(6000)]
+    rows += [(10_000 + k, make(["жда", "ёлк", "щук", "быт"], 30), "zz") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, max_texts=300)
+    assert model.languages == ["xx", "yy", "zz"]
+    got = langid.predict(docs.where("doc_id >= 10000"), model).where(F.col("lang_pred") == "zz").count()
+    assert got == 12
+
+
+def test_bytes_of_other_scripts_keep_their_own_class():
+    assert len(set(langid.BYTE_CLASS[128:].tolist())) == 128 and langid.BYTE_CLASS.max() < langid.CLASSES

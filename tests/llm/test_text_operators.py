@@ -126,3 +126,78 @@ def test_personal_data_rows_and_masks(spark):
     row = new.where("doc_id = 9").first()
     assert row.text == "mail [EMAIL] and [CARD]" and row.n_chars == len(row.text)
     assert new.where("doc_id = 1").first().text is None
+
+
+LONG = "".join(f"<p>Paragraph {k} of the article, which has commas, words, and a good length, as articles do, in every part.</p>" for k in range(5))
+
+
+def test_articles_are_kept_whatever_state_their_class_tells():
+    for wrapper in ("content has-sidebar", "post comments-open", "entry with-share no-comments", "page sidebar-enabled"):
+        text = html.main_text(f"<body><div class='{wrapper}'>{LONG}</div><div class='footer'>Imprint</div></body>")
+        assert text.count("Paragraph") == 5 and "Imprint" not in text, wrapper
+    inside = f"<body><div class='layout-sidebar'><article>{LONG}</article><div class='post-comments'>{LONG}</div></div></body>"
+    assert html.main_text(inside).count("Paragraph") == 5
+    for furniture in ("sidebar", "site-sidebar", "post-comments", "main-nav", "ad-slot"):
+        page = f"<body><div class='main'>{LONG}</div><div class='{furniture}'><p>Not this, please, and not that, either.</p></div></body>"
+        assert "Not this" not in html.main_text(page), furniture
+
+
+def test_nested_containers_without_an_article():
+    page = f"<body><div><div><ul><li><a href=/>one</a></li></ul></div><div><div><h1>Title</h1>{LONG}</div></div></div></body>"
+    assert html.main_text(page).startswith("Title\n\nParagraph 0") and html.main_text(page).count("Paragraph") == 5
+
+
+def test_deep_and_unmatched_pages_take_linear_time():
+    import time
+
+    pages = ["<span>" * 20000 + "<div>x</div>" * 2000, "</b>" * 40000 + "<i>" * 20000 + "</b>" * 4000, "<div>" * 30000 + "text" + "</p>" * 5000, "<p>" * 20000, "<li><b>" * 20000, "<table>" * 3000 + "<tr><td>" * 3000]
+    for page in pages:
+        begun = time.perf_counter()
+        html.main_text(page)
+        assert time.perf_counter() - begun < 2, page[:12]
+
+
+def naive_tree(page):
+    """The reader's rules with plain searches among the open elements."""
+    root = html.Node("#root", None)
+    at, place = root, 0
+    while (m := html.TAG.search(page, place)) is not None:
+        at.children += [page[place : m.start()]] if m.start() > place else []
+        place, name = m.end(), (m[2] or m[5]).lower()
+
+        def around(names, stop=()):
+            here = at
+            while here is not root and here.name not in stop:
+                if here.name in names:
+                    return here
+                here = here.parent
+            return None
+
+        if m[1] or m[4]:
+            if (open_ := around({name})) is not None:
+                at = open_.parent
+            continue
+        if name in html.CLOSES_P and (p := around({"p"}, html.P_BOUNDS - {"p"})) is not None:
+            at = p.parent
+        if name in html.IMPLIED:
+            ends, bounds = html.IMPLIED[name]
+            while (p := around(ends, bounds)) is not None:
+                at = p.parent
+        node = html.Node(name, at)
+        at.children.append(node)
+        at = at if name in html.VOID else node
+    if page[place:]:
+        at.children.append(page[place:])
+    return root
+
+
+def shape(node):
+    return [c if isinstance(c, str) else (c.name, shape(c)) for c in node.children]
+
+
+def test_trees_equal_those_of_plain_searches():
+    rng = random.Random(12)
+    names = ["p", "div", "span", "li", "ul", "table", "tr", "td", "dl", "dt", "dd", "br", "article", "b", "select", "option", "tbody"]
+    for _ in range(400):
+        page = "".join(rng.choice(["<%s>", "<%s>", "</%s>"]) % rng.choice(names) + rng.choice(["", "x", " y,"]) for _ in range(rng.randrange(1, 40)))
+        assert shape(html.parse(page)) == shape(naive_tree(page)), page

@@ -50,6 +50,12 @@ UNLIKELY = frozenset(
     "search login toolbar complementary contentinfo skip hidden".split()
 )
 LIKELY = frozenset("article content main post entry story body text".split())
+#: Words that make a class tell of a state, as in `has-sidebar` or `comments-open`, not of what the element is.
+STATES = frozenset("has with no without is open opened closed enabled disabled on off allowed supports".split())
+#: Elements that an opening tag looks for among the open ones, see ``IMPLIED``.
+MARKS = frozenset(n for ends, bounds in IMPLIED.values() for n in (*ends, *bounds))
+#: Elements that bound the search for an open paragraph, the paragraph included.
+P_BOUNDS = frozenset("p td th div article section table li body".split())
 PARAGRAPHS = frozenset("p pre td blockquote h1 h2 h3 h4 h5 h6 li dd dt figcaption".split())
 CONTAINERS = {"article": 25.0, "main": 20.0, "div": 5.0, "section": 5.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0, "body": 0.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "li": -3.0}
 
@@ -61,28 +67,44 @@ WORD = re.compile(r"[a-zA-Z]+")
 class Node:
     """An element: its children are elements and raw strings, in order."""
 
-    __slots__ = ("name", "children", "parent", "furniture", "likely", "chars", "commas", "linked", "points")
+    __slots__ = ("name", "children", "parent", "furniture", "doubtful", "holds", "likely", "chars", "commas", "linked", "points", "bound", "mark", "block")
 
     def __init__(self, name: str, parent: Node | None, attributes: str = ""):
         self.name, self.parent, self.children = name, parent, []
-        self.furniture, self.likely = name in DROPPED, False
+        self.furniture, self.doubtful, self.holds, self.likely = name in DROPPED, False, False, False
         self.chars = self.commas = self.linked = 0
         self.points = 0.0
+        #: This element or the nearest around it that is of ``P_BOUNDS`` or of ``MARKS``.
+        self.bound = self if parent is None or name in P_BOUNDS else parent.bound
+        self.mark = self if parent is None or name in MARKS else parent.mark
+        #: The nearest block around it.
+        self.block = parent if parent is None or parent.name in BLOCKS else parent.block
         if attributes and not attributes.isspace():
             for key, value in ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), value.strip("\"'").lower()
                 if key in ("class", "id", "role"):
-                    said = set(WORD.findall(value))
-                    self.likely |= bool(said & LIKELY)
-                    self.furniture |= bool(said & UNLIKELY) and not (name in ("article", "main", "body", "html"))
+                    tokens = [WORD.findall(t) for t in value.split()]
+                    self.likely |= any(len(t) == 1 and t[0] in LIKELY for t in tokens)
+                    self.doubtful |= any(STATES.isdisjoint(t) and not UNLIKELY.isdisjoint(t) for t in tokens)
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                     self.furniture = True
+            self.doubtful &= not self.likely and name not in ("article", "main", "body", "html")
 
 
 def parse(html: str) -> Node:
     """The page's tree; unclosed and crossed tags are mended as browsers do in the common cases."""
     root = at = Node("#root", None)
     place, size = 0, len(html)
+    open_names: dict[str, int] = {}
+
+    def leave(node: Node) -> Node:
+        """Closes what is open within ``node``, and ``node``; gives its parent."""
+        here, parent = at, node.parent
+        while here is not parent:
+            open_names[here.name] -= 1
+            here = here.parent
+        return parent
+
     while place < size:
         m = TAG.search(html, place)
         if m is None:
@@ -95,34 +117,42 @@ def parse(html: str) -> Node:
         if not name:
             continue
         if m[1] or m[4]:
-            open_ = at
-            while open_ is not root and open_.name != name:
-                open_ = open_.parent
-            if open_ is not root:
-                at = open_.parent
+            if open_names.get(name):
+                open_ = at
+                while open_.name != name:
+                    open_ = open_.parent
+                at = leave(open_)
             continue
-        if name in CLOSES_P:
-            p = at
-            while p is not root and p.name not in ("p", "td", "th", "div", "article", "section", "table", "li", "body"):
-                p = p.parent
-            if p.name == "p":
-                at = p.parent
+        if name in CLOSES_P and at.bound.name == "p":
+            at = leave(at.bound)
         if name in IMPLIED:
             ends, bounds = IMPLIED[name]
-            p, last = at, None
-            while p is not root and p.name not in bounds:
-                if p.name in ends:
-                    last = p
-                p = p.parent
-            if last is not None:
-                at = last.parent
+            if any(open_names.get(e) for e in ends):
+                p, last = at.mark, None
+                while p is not root and p.name not in bounds:
+                    if p.name in ends:
+                        last = p
+                    p = p.parent.mark
+                if last is not None:
+                    at = leave(last)
         node = Node(name, at, m[3] or m[6] or "")
         at.children.append(node)
+        if name in ("article", "main"):
+            # what holds the article is no furniture, whatever its class says
+            up = at
+            while not up.holds:
+                up.holds, up = True, up.parent or up
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*+(?:>|\Z)", re.I).search(html, place)
             place = end.end() if end else size
         elif name not in VOID and not (m[3] or m[6] or "").endswith("/"):
             at = node
+            open_names[name] = open_names.get(name, 0) + 1
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.furniture |= node.doubtful and not node.holds
+        stack.extend(c for c in node.children if isinstance(c, Node))
     return root
 
 
@@ -172,16 +202,15 @@ def best_container(nodes: list[Node]) -> Node | None:
             continue
         points = min(1.0, node.chars / 25) + node.commas + min(node.chars / 100, 3.0)
         # a block with text of its own is a container as well as a paragraph
-        up = node if node.name not in PARAGRAPHS else node.parent
+        up = node if node.name not in PARAGRAPHS else node.block
         level = 0
-        while up is not None and up.name not in ("#root", "html") and level < 5:
-            if up.name in BLOCKS:
-                if id(up) not in scored:
-                    scored[id(up)] = up
-                    up.points = CONTAINERS.get(up.name, 0.0) + 25.0 * up.likely
-                up.points += points / (1, 2, 6, 9, 12)[level]
-                level += 1
-            up = up.parent
+        while up is not None and up.name != "html" and level < 5:
+            if id(up) not in scored:
+                scored[id(up)] = up
+                up.points = CONTAINERS.get(up.name, 0.0) + 25.0 * up.likely
+            up.points += points / (1, 2, 6, 9, 12)[level]
+            level += 1
+            up = up.block
     best = None
     for node in scored.values():
         node.points *= 1 - link_density(node)

@@ -4,8 +4,9 @@ A text is read as windows of fixed length. Filters of two, three and four bytes
 the largest response of each is kept, and a softmax over them gives the window's probabilities. A
 text's probabilities are the length-weighted mean log probabilities of all its windows.
 
-A filter is a sum of one table entry per byte place. Bytes are folded into 64 classes, so two
-neighbouring bytes index one table of 4096 rows, and every filter costs one or two lookups.
+A filter is a sum of one table entry per byte place. ASCII bytes are folded into 30 classes, others keep
+a class of their own, so two neighbouring bytes index one table of 24,964 rows, and every filter costs
+one or two lookups.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.llm import words
-from wattloom.llm.common import adam, collect_rows, fold, labelled_sample, per_batch
+from wattloom.llm.common import adam, collect_rows, cut_lineage, fold, per_batch
 
 HELD_OUT_MOD, HELD_OUT = 3, 1
-WINDOW, FILTERS, CLASSES = 256, 12, 64
+WINDOW, FILTERS, CLASSES = 256, 12, 158
 WIDTHS = (2, 3, 4)
 #: Windows convolved at once.
 BATCH = 512
@@ -31,17 +32,14 @@ LETTER = r"\p{L}"
 
 
 def _classes() -> np.ndarray:
-    """Byte classes: small letters (capitals folded), digits, space, other ASCII, then lead and trail bytes by their value."""
+    """Byte classes: small letters (capitals folded), digits, space, other ASCII; every byte of longer characters is its own."""
     table = np.zeros(256, np.int64)
     table[33:127] = 29
     table[[9, 10, 11, 12, 13, 32]] = 1
     for i in range(26):
         table[97 + i] = table[65 + i] = 2 + i
     table[48:58] = 28
-    table[128:192] = 30 + np.arange(64) % 26  # capitals of two-byte letters differ by 32 from small ones
-    for b in range(160, 192):
-        table[b] = table[b - 32] = 30 + (b - 160) % 26
-    table[192:256] = 56 + np.arange(64) % 8
+    table[128:] = np.arange(30, 158)
     return table
 
 
@@ -150,10 +148,21 @@ def _train(grid: np.ndarray, y: np.ndarray, n_out: int, steps: int, seed: int) -
 def fit(docs: DataFrame, max_texts: int = 4000, windows_per_text: int = 6, steps: int = 900, seed: int = 5) -> Model:
     """Trains on at most ``max_texts`` texts with a language of the learning fold, up to ``windows_per_text`` windows of each.
 
-    Texts are picked by a hash of the id. Without labelled text the model knows no language.
+    Every language gets an equal share of ``max_texts``, at least one text, so a rare one is learned from
+    all it has; within a language texts are picked by a hash of the id. An id with several languages
+    counts with the greatest. Without labelled text the model knows no language.
     """
     seen = fold(F.col("doc_id"), HELD_OUT_MOD) != HELD_OUT
-    picked = labelled_sample(docs.where(F.col("text").isNotNull()), "lang", seen, max_texts)
+    known = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & seen)
+    labelled = known.select("doc_id", F.col("lang").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
+    labelled = cut_lineage(labelled, "labelled")
+    counts = labelled.groupBy("y").agg(F.count("*").alias("n"))
+    share = max(1, max_texts // max(1, counts.count()))
+    # by their hash about as many ids of a language pass as are ranked, however many it has
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    near = labelled.join(counts, "y").where(place < F.lit(1 << 30) * (2 * share + 20) / F.col("n"))
+    rank = F.row_number().over(Window.partitionBy("y").orderBy(place, "doc_id"))
+    picked = near.withColumn("rank", rank).where(F.col("rank") <= share).select("doc_id", "y").limit(max_texts)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # max_texts rows of an id and a code
 
     def cut(batch: pa.RecordBatch) -> dict:

@@ -160,7 +160,7 @@ def fit(docs: DataFrame, max_texts: int = 4000, windows_per_text: int = 6, steps
     share = max(1, max_texts // max(1, counts.count()))
     # by their hash about as many ids of a language pass as are ranked, however many it has
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    near = labelled.join(counts, "y").where(place < F.lit(1 << 30) * (2 * share + 20) / F.col("n"))
+    near = labelled.join(counts, "y").where(place < F.lit(float((1 << 30) * (2 * share + 20))) / F.col("n"))
     rank = F.row_number().over(Window.partitionBy("y").orderBy(place, "doc_id"))
     picked = near.withColumn("rank", rank).where(F.col("rank") <= share).select("doc_id", "y").limit(max_texts)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # max_texts rows of an id and a code

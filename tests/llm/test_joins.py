@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.data import SPACED, awkward, prose, words
 from wattloom.llm import decontamination, jaccard, neighbours, packing
@@ -269,19 +270,54 @@ def test_neighbours_recall_and_order(spark):
     assert got[100] == want[100]
 
 
-@pytest.mark.parametrize("whole, least", [(neighbours.WHOLE, 0.99), (64, 0.9)])
-def test_neighbours_recall_of_unequal_norms_with_an_outlier(spark, monkeypatch, whole, least):
-    monkeypatch.setattr(neighbours, "WHOLE", whole)
+EVERY_20TH = "vec_id % 20 = 0"
+
+
+def recall_of(spark, x):
+    got: dict = {}
+    for r in neighbours.nearest(vectors(spark, x), F.expr(EVERY_20TH)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    x = x.astype(np.float64)
+    met = []
+    for q in range(0, len(x), 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        met.append(len(got[q] & set(np.lexsort((np.arange(len(x)), -score))[:20].tolist())) / 20)
+    assert set(got) == set(range(0, len(x), 20)) and all(len(v) == 20 for v in got.values())
+    return np.mean(met)
+
+
+def test_neighbours_recall_of_unequal_norms_with_an_outlier(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1500, 64))
     x *= rng.lognormal(0, 0.5, 1500)[:, None] / np.linalg.norm(x, axis=1)[:, None]
     x[7] *= 50 / np.linalg.norm(x[7])
-    x = x.astype(np.float32)
-    got: dict = {}
-    for r in neighbours.nearest(vectors(spark, x), __import__("pyspark").sql.functions.expr("vec_id % 20 = 0")).collect():
-        got.setdefault(r.query_id, set()).add(r.vec_id)
-    want = brute_neighbours(list(enumerate(x.tolist())), 20)
-    assert set(got) == set(want) and sum(len(got[q] & set(want[q])) for q in want) / (20 * len(want)) >= least
+    assert recall_of(spark, x.astype(np.float32)) >= 0.9
+
+
+@pytest.mark.parametrize("dim", [64, 256, 768])
+def test_neighbours_recall_by_dimension(spark, dim):
+    rng = np.random.default_rng(dim)
+    assert recall_of(spark, rng.normal(size=(2400, dim)).astype(np.float32)) >= 0.9
+    near = rng.normal(size=(80, dim))[rng.integers(0, 80, 2400)] + rng.normal(size=(2400, dim)) * 0.5
+    assert recall_of(spark, near.astype(np.float32)) >= 0.9
+
+
+def test_neighbours_share_of_candidates_falls_as_the_table_grows(spark, monkeypatch):
+    shares, plain = [], neighbours.choose
+
+    def noted(q, x, slot, index, *rest):
+        effort = plain(q, x, slot, index, *rest)
+        shares.append(max(effort.tables * p / index.size for p in effort.probes.values()))
+        return effort
+
+    monkeypatch.setattr(neighbours, "choose", noted)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 16))[rng.integers(0, 200, 30_000)] + rng.normal(size=(30_000, 16)) * 0.3
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    for n in (1000, 6000, 30_000):
+        assert recall_of(spark, x[:n]) >= 0.9
+    assert shares[0] > 1.5 * shares[1] > 2 * shares[2], shares
 
 
 def test_neighbours_of_few_and_odd_vectors(spark):

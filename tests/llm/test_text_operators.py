@@ -45,6 +45,18 @@ def test_licence_rows(spark):
     assert (rows[22].n_base, rows[22].base_labels) == (3, "apache,cc-by")
 
 
+def test_neighbouring_licences_are_told_apart():
+    texts = [(label, f"Some words before. {t} Some words after.") for label, t in licences.TEMPLATES]
+    texts += [("agpl", licences.TEMPLATES[9][1].replace("you can redistribute it", "you may well redistribute it"))]
+    texts += [("gpl", licences.TEMPLATES[6][1].split("This program is distributed")[0])]
+    texts += [("cc-by,cc-by-nd", "Notes: CC BY. Licensed by a Creative Commons Attribution-NoDerivatives 4.0 International licence")]
+    got = licences.scan_texts(pa.array([t for _, t in texts]))
+    for (label, text), found, base in zip(texts, got["labels"], got["base_labels"]):
+        assert set(found.split(",")) == set(label.split(",")) | set(filter(None, base.split(","))), text
+    many = licences.scan_texts(pa.array([licences.TEMPLATES[1][1] * 20_000 + " permission is hereby granted free of charge" * 5000]))
+    assert many["labels"] == ["mit"] and len(many["spans"][0]) == 20_000
+
+
 def test_main_text_of_hand_made_pages(spark):
     pages = {
         1: ("<html><body><nav><a href=/>home</a></nav><div class=ad>buy, now, this</div><article><h1>T &amp; U</h1><p><b>One,  two<br>three<p>four</p></article><footer>x</footer>", "T & U\n\nOne, two three\n\nfour"),

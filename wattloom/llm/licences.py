@@ -10,6 +10,7 @@ all runs of a batch side by side.
 
 from __future__ import annotations
 
+import bisect
 import functools
 from typing import NamedTuple
 
@@ -72,6 +73,15 @@ distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("cc-by", "Creative Commons Attribution 4.0 International"),
+    ("cc-by-nc", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("cc-by-sa", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    ("cc-by-nd", "Creative Commons Attribution-NoDerivatives 4.0 International"),
+    ("cc-by-nc-sa", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International"),
+    ("cc-by-nc-nd", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International"),
     ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
 publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
 commercial or non-commercial, and by any means."""),
@@ -79,6 +89,8 @@ commercial or non-commercial, and by any means."""),
 
 #: Words of a match that may be chained, words between chained matches, share of a template that makes a label.
 MIN_MATCH, MAX_GAP, MIN_SHARE = 4, 12, 0.6
+#: Words covered that one word of the text skipped inside a span takes away.
+SKIP_COST = 0.25
 #: Share that a bare phrase counts as in the score.
 PHRASE_SHARE = 0.5
 
@@ -88,6 +100,7 @@ class Automaton(NamedTuple):
     step: np.ndarray  # state, word -> state, failures resolved
     cap: np.ndarray  # state, word -> longest match that survives the step
     phrase: np.ndarray  # state, phrase -> whether the phrase ends here
+    whole: np.ndarray  # state, template -> whether the whole template ends here
     phrase_len: np.ndarray
     phrase_label: list
     ends: list  # state -> (template, last word) pairs
@@ -161,10 +174,17 @@ def automaton() -> Automaton:
         for c in codes:
             at = goes[at][c]
         phrase[at, k] = True
+    whole = np.zeros((len(goes), len(TEMPLATES)), bool)
+    for k, codes in enumerate(coded[: len(TEMPLATES)]):
+        at = 0
+        for c in codes:
+            at = goes[at][c]
+        whole[at, k] = True
     for s in reversed(order):  # from short to long: a longer run ends with what its link ends with
         phrase[s] |= phrase[link[s]]
+        whole[s] |= whole[link[s]]
     return Automaton(
-        vocabulary, step, cap, phrase, np.array([len(p) for p in phrases]), list(PHRASES.values()),
+        vocabulary, step, cap, phrase, whole, np.array([len(p) for p in phrases]), list(PHRASES.values()),
         [sorted(e) for e in ends], [len(c) for c in coded[: len(TEMPLATES)]], [label for label, _ in TEMPLATES],
     )
 
@@ -199,35 +219,56 @@ def matching_statistics(w: words.Words, a: Automaton) -> tuple[np.ndarray, np.nd
     return state, length
 
 
-def chain(matches: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int]]:
-    """Spans (first word, last word, covered words) of one template from matches (text end, template end, length).
+def chain(matches: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, float]]:
+    """Spans (first word, last word, covered words less what skipped ones cost) of one template from matches (text end, template end, length).
 
     Matches follow each other in both orders with gaps of at most ``MAX_GAP`` words; overlap counts once.
     """
     matches = sorted(set(matches))
-    best: list[list[int]] = []  # covered, previous
-    low = 0
+    best: list[tuple[float, int]] = []  # covered, previous
     for i, (end, place, length) in enumerate(matches):
-        best.append([length, -1])
-        while matches[low][0] < end - length - MAX_GAP - size:
-            low += 1
-        for j in range(max(low, i - 64), i):
+        own = (float(length), -1)
+        # a match is no longer than its template, so these are few
+        for j in range(bisect.bisect_left(matches, (end - length - MAX_GAP,)), i):
             e, p, _ = matches[j]
             gained = min(length, end - e, place - p)
-            if gained > 0 and end - length - e <= MAX_GAP and place - length - p <= MAX_GAP and best[j][0] + gained > best[i][0]:
-                best[i] = [best[j][0] + gained, j]
+            if gained > 0 and place - length - p <= MAX_GAP:
+                total = best[j][0] + gained - SKIP_COST * (end - e - gained)
+                if total > own[0]:
+                    own = (total, j)
+        best.append(own)
     spans, used = [], set()
     for i in sorted(range(len(matches)), key=lambda i: (-best[i][0], i)):
         at, path = i, []
         while at >= 0 and at not in used:
             path.append(at)
             at = best[at][1]
-        if at < 0 and best[i][0] >= MIN_SHARE * size:
+        if at < 0:
             spans.append((matches[path[-1]][0] - matches[path[-1]][2] + 1, matches[i][0], min(best[i][0], size)))
         used.update(path)
     return sorted(spans)
 
 
+def settled(spans: list[tuple[str, int, int, float, int]]) -> list[tuple[str, int, int, float]]:
+    """(label, first, last, share) of the spans (label, first, last, covered, template words) that hold.
+
+    Neighbouring licences share most of their words: of two labels' spans that lie on each other by half
+    of the shorter one or more, the one that covers more words stays, then the one with the larger share,
+    however small it is. What stays and covers ``MIN_SHARE`` of its template holds.
+    """
+    kept: list[tuple[str, int, int, float, int]] = []
+    near: dict[int, list] = {}  # stretch of 64 words -> spans kept there
+    for one in sorted(spans, key=lambda s: (-s[3], -s[3] / s[4], s[0], s[1], s[2])):
+        label, first, last = one[:3]
+        shared = lambda o: 2 * (min(last, o[2]) - max(first, o[1]) + 1) >= min(last - first, o[2] - o[1]) + 1
+        places = range(first // 64, last // 64 + 1)
+        if not any(o[0] != label and shared(o) for at in places for o in near.get(at, ())):
+            kept.append(one)
+            for at in places:
+                near.setdefault(at, []).append(one)
+    return [(label, first, last, got / size) for label, first, last, got, size in kept if got >= MIN_SHARE * size]
+
+
 def scan_texts(texts: pa.Array) -> dict:
     """Columns of :func:`scan` for a column of texts."""
     a = automaton()
@@ -253,9 +294,17 @@ def scan_texts(texts: pa.Array) -> dict:
         for p, t in zip(at.tolist(), text.tolist()):
             for template, place in a.ends[state[p]]:
                 found.setdefault((t, template), []).append((p - int(w.first[t]), place, int(length[p])))
+        # a template that lies whole within a longer run of another one
+        some = np.flatnonzero(a.whole.any(1)[state])
+        at, which = np.nonzero(a.whole[state[some]] & (length[some, None] >= np.array(a.template_len)))
+        at = some[at]
+        text = np.searchsorted(w.first, at, "right") - 1
+        for p, t, k in zip(at.tolist(), text.tolist(), which.tolist()):
+            found.setdefault((t, k), []).append((p - int(w.first[t]), a.template_len[k] - 1, a.template_len[k]))
         for (t, template), matches in found.items():
             for first, end, got in chain(matches, a.template_len[template]):
-                spans[i + t].append((a.template_label[template], first, end, got / a.template_len[template]))
+                spans[i + t].append((a.template_label[template], first, end, got, a.template_len[template]))
+    spans = [settled(own) for own in spans]
     out["base_labels"] = [",".join(sorted(b)) for b in base]
     out["labels"] = [",".join(sorted(b | {s[0] for s in own})) for b, own in zip(base, spans)]
     out["score"] = [max([s[3] for s in own] + [PHRASE_SHARE * bool(b)]) for b, own in zip(base, spans)]

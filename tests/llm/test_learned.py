@@ -34,6 +34,20 @@ def test_toxicity_on_held_out(spark, tables):
     assert rows[rows.toxic == 0].predicted.mean() < 0.05
 
 
+def test_toxicity_knows_rare_words(spark):
+    rng = np.random.default_rng(2)
+    plain = lambda: " ".join(f"w{i}" for i in rng.zipf(1.3, 12) % 3000)
+    # 600 words, the first in 30 texts, the last in 15; the 500th is the only toxic word of its texts
+    bad = [f"{plain()} bad{i}" for i in range(600) for _ in range(30 - i // 40)]
+    texts = bad + [plain() for _ in range(60_000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < len(bad))) for i in range(len(texts))], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels.where("toxic = 1 OR doc_id % 20 < 8"), max_labels=60_000)
+    assert len(model.hashes) >= 590
+    score = toxicity.score_texts(pa.array(["w1 w2 bad0 w3", "w1 w2 bad499 w3", "w1 w2 w3", ""]), model)
+    assert score[0] >= 0.7 and score[1] >= 0.7 and score[2] < 0.5 and score[3] < 0.5
+
+
 def test_quality_on_held_out(spark, tables):
     rows = QUERIES["op3_quality"](spark, FOLDER).join(tables["labels"], "doc_id").where("held_out AND quality IS NOT NULL").toPandas()
     assert auc(rows.score.to_numpy(), rows.quality.to_numpy()) > 0.9

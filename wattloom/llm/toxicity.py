@@ -6,11 +6,14 @@ toxic ones at the rate of the class prior. The risk of a scorer g with logistic
     prior * mean_P loss(g) + max(0, mean_U loss(-g) - prior * mean_P loss(-g))
 
 and where the bracket falls below zero its gradient is taken in reverse. Inputs are the presence of
-words whose share of positives exceeds their share of unlabelled texts by many standard errors.
+words whose share of positives exceeds their share of all texts by many standard errors, counted over
+every text of the learning fold. Rare words count as well: what a word needs is that no word of the
+whole vocabulary would stand among the positives so often by chance.
 """
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 import numpy as np
@@ -19,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.llm import words
-from wattloom.llm.common import adam, collect_rows, fold, labelled_sample, per_batch, sigmoid
+from wattloom.llm.common import adam, collect_rows, cut_lineage, fold, labelled_sample, per_batch, sigmoid
 
 HELD_OUT_MOD, HELD_OUT = 3, 1
+#: Confirmed texts that must hold a word.
+LEAST = 4
 
 
 class Model(NamedTuple):
@@ -46,8 +51,8 @@ def _presence(texts: pa.Array, hashes: np.ndarray):
         yield i, j, pairs // max(len(hashes), 1), pairs % max(len(hashes), 1)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, max_labels: int, max_unlabelled: int) -> DataFrame:
-    """(text, p, u): confirmed toxic texts (p = 1) and a plain sample of all texts of the fold (u = 1).
+def _fold(docs: DataFrame, labels: DataFrame, max_labels: int, max_unlabelled: int) -> DataFrame:
+    """(text, p, u) of every text of the learning fold: whether it is confirmed toxic (p = 1) and drawn for the plain sample (u = 1).
 
     A confirmed text that is also drawn for the plain sample counts in both, else the class prior
     would not hold for the unlabelled side.
@@ -60,7 +65,7 @@ def _sample(docs: DataFrame, labels: DataFrame, max_labels: int, max_unlabelled:
     part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20))
     # the labelled side holds at most max_labels rows of two numbers
     rows = docs.select("doc_id", "text").where(seen).join(F.broadcast(known), "doc_id", "left")
-    return rows.where(F.col("p").isNotNull() | part).select("text", F.coalesce("p", F.lit(0)).alias("p"), part.cast("int").alias("u"))
+    return rows.select("text", F.coalesce("p", F.lit(0)).alias("p"), part.cast("int").alias("u"))
 
 
 def fit(
@@ -68,23 +73,25 @@ def fit(
     labels: DataFrame,
     max_labels: int = 40_000,
     max_unlabelled: int = 12_000,
-    max_words: int = 128,
+    max_words: int = 1 << 14,
     steps: int = 1500,
     scorers: int = 3,
 ) -> Model:
     """Trains on a bounded sample: ``max_labels`` labelled rows of the learning fold, about ``max_unlabelled`` others.
 
-    Labels of the held-out fold are never read. Without positives the model knows no word and scores
-    the class prior.
+    Words are counted over all texts of the learning fold; at most ``max_words`` of those that mark a
+    class become features. Labels of the held-out fold are never read. Without positives the model
+    knows no word and scores the class prior.
     """
     seen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), HELD_OUT_MOD) != HELD_OUT))
     n_seen, n_toxic = seen.agg(F.count("*"), F.sum("toxic")).first()
     prior = min(max((n_toxic or 0) / max(n_seen, 1), 1e-3), 0.5)
-    sample = _sample(docs, labels, max_labels, max_unlabelled)
+    texts = _fold(docs, labels, max_labels, max_unlabelled)
+    sample = texts.where("p = 1 OR u = 1")
 
     def count(batch: pa.RecordBatch) -> dict:
-        p, u = batch.column("p").to_numpy(), batch.column("u").to_numpy()
-        seen_h, seen_p, seen_u = [], [], []
+        p = batch.column("p").to_numpy()
+        seen_h, seen_p = [], []
         for i, j, _, w in words.runs(batch.column("text"), words.ALNUM):
             owner = w.owner()
             order = np.lexsort((owner, w.hash))
@@ -93,21 +100,25 @@ def fit(
             new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
             seen_h.append(h[new])
             seen_p.append(p[i:j][o[new]])
-            seen_u.append(u[i:j][o[new]])
+        if not seen_h:
+            return None
         h, back = np.unique(np.concatenate(seen_h), return_inverse=True)
-        counts = (np.bincount(back, np.concatenate(x), len(h)).astype(np.int64) for x in (seen_p, seen_u))
-        return {"h": h} | dict(zip(("np", "nu"), counts))
+        return {"h": h, "np": np.bincount(back, np.concatenate(seen_p), len(h)).astype(np.int64), "nu": np.bincount(back, minlength=len(h))}
 
-    by_word = per_batch(sample, "h long, np long, nu long", count).groupBy("h").agg(F.sum("np").alias("np"), F.sum("nu").alias("nu"))
-    n_p, n_u = sample.agg(F.sum("p"), F.sum("u")).first()
-    if not n_p or not n_u:
+    # np: positives that hold the word; nu: all texts that do
+    by_word = per_batch(texts, "h long, np long, nu long", count).groupBy("h").agg(F.sum("np").alias("np"), F.sum("nu").alias("nu"))
+    n_p, n_drawn, n_u = texts.agg(F.sum("p"), F.sum("u"), F.count("*")).first()
+    if not n_p or not n_drawn:
         return Model(np.zeros(0, words.U64), np.zeros((1, 0), np.float32), np.array([np.log(prior / (1 - prior))]))
-    pooled = (F.col("np") + F.col("nu")) / (n_p + n_u)
-    lift = F.col("np") / n_p - F.col("nu") / n_u
-    z = lift / F.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u) + 1e-12)
-    # words that mark a class stand in many of its texts and seldom elsewhere
-    picked = by_word.where((F.col("np") >= max(4, n_p * 0.01)) & (F.col("np") / n_p > 3 * F.col("nu") / n_u)).withColumn("z", z).where("z > 5")
-    rows = collect_rows(picked.orderBy(F.desc("z"), "h").limit(max_words).select("h"))
+    by_word = cut_lineage(by_word.where("np > 0"), "words")
+    share = F.lit(n_p / n_u)
+    z = (F.col("np") - F.col("nu") * share) / F.sqrt(F.col("nu") * share * (1 - share) + 1e-12)
+    # log likelihood ratio against "as often as in any text"; the best of V words comes to about log V by chance
+    rest = F.col("nu") - F.col("np")
+    chance = F.col("np") * F.log(F.col("np") / (F.col("nu") * share)) + F.when(rest > 0, rest * F.log(rest / (F.col("nu") * (1 - share)))).otherwise(0)
+    tried = by_word.where(F.col("nu") >= LEAST).count()
+    marking = by_word.withColumn("z", z).where((F.col("np") >= LEAST) & (F.col("np") / n_p > 3 * F.col("nu") / n_u) & (chance > math.log(max(tried, 1))))
+    rows = collect_rows(marking.orderBy(F.desc("z"), "h").limit(max_words).select("h"))
     hashes = np.sort(rows["h"].to_numpy().view(np.uint64))
     k = len(hashes)
 
@@ -123,14 +134,28 @@ def fit(
     seen_rows = per_batch(sample, "p int, u int, f array<int>", features).groupBy("p", "u", "f").count()
     rows = collect_rows(seen_rows.orderBy(F.desc("count"), "p", "u", "f").limit(max_labels + max_unlabelled))
     n = rows["count"].to_numpy().astype(float)
-    x = np.zeros((len(n), k), np.float32)
-    for i, f in enumerate(rows["f"].to_pylist()):
-        x[i, f] = 1
-    p, u = rows["p"].to_numpy() == 1, rows["u"].to_numpy() == 1
-    return _train(x[p], n[p], x[u], n[u], prior, hashes, steps, scorers)
+    lists = rows["f"].to_pylist()
+    p, u = np.flatnonzero(rows["p"].to_numpy() == 1), np.flatnonzero(rows["u"].to_numpy() == 1)
+    xp, xu = (Presence([lists[i] for i in which], k) for which in (p, u))
+    return _train(xp, n[p], xu, n[u], prior, hashes, steps, scorers)
 
 
-def _train(xp, np_, xu, nu, prior, hashes, steps, scorers) -> Model:
+class Presence:
+    """A sparse table of zeros and ones, row by row the columns that are one."""
+
+    def __init__(self, lists: list, width: int):
+        self.rows = np.repeat(np.arange(len(lists)), [len(f) for f in lists])
+        self.columns = np.concatenate([np.zeros(0, np.int64), *(np.array(f, np.int64) for f in lists)])
+        self.shape = (len(lists), width)
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, weights[self.columns], self.shape[0])
+
+    def under(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.columns, weights[self.rows], self.shape[1])
+
+
+def _train(xp: Presence, np_, xu: Presence, nu, prior, hashes, steps, scorers) -> Model:
     wp, wu = np_ / np_.sum(), nu / nu.sum()
     all_w, all_b = [], []
     for seed in range(scorers):
@@ -138,12 +163,12 @@ def _train(xp, np_, xu, nu, prior, hashes, steps, scorers) -> Model:
         start = {"w": rng.normal(0, 0.05, xp.shape[1]), "b": np.zeros(1)}
 
         def grads(q: dict, _: int) -> dict:
-            gp, gu = xp @ q["w"] + q["b"], xu @ q["w"] + q["b"]
+            gp, gu = xp.times(q["w"]) + q["b"], xu.times(q["w"]) + q["b"]
             rest = wu @ np.logaddexp(0, gu) - prior * (wp @ np.logaddexp(0, gp))
             dp, dn, du = -prior * wp * sigmoid(-gp), -prior * wp * sigmoid(gp), wu * sigmoid(gu)
             if rest < 0:  # the bracket has overfitted: climb back
                 dp, dn, du = 0 * dp, -dn, -du
-            return {"w": (dp + dn) @ xp + du @ xu, "b": np.array([(dp + dn).sum() + du.sum()])}
+            return {"w": xp.under(dp + dn) + xu.under(du), "b": np.array([(dp + dn).sum() + du.sum()])}
 
         got = adam(grads, start, steps, 0.2, 1e-5)
         all_w.append(got["w"])

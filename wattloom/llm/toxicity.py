@@ -91,19 +91,23 @@ def fit(
 
     def count(batch: pa.RecordBatch) -> dict:
         p = batch.column("p").to_numpy()
-        seen_h, seen_p = [], []
+        held = []
         for i, j, _, w in words.runs(batch.column("text"), words.ALNUM):
+            if not len(w.hash):
+                continue
             owner = w.owner()
             order = np.lexsort((owner, w.hash))
             h, o = w.hash[order], owner[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
-            seen_h.append(h[new])
-            seen_p.append(p[i:j][o[new]])
-        if not seen_h:
+            new = np.r_[True, (h[1:] != h[:-1]) | (o[1:] != o[:-1])]
+            h, o = h[new], o[new]
+            # a slice leaves one row per word, not one per word and text
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            held.append((h[first], np.add.reduceat(p[i:j][o].astype(np.int64), first), np.diff(np.append(first, len(h)))))
+        if not held:
             return None
-        h, back = np.unique(np.concatenate(seen_h), return_inverse=True)
-        return {"h": h, "np": np.bincount(back, np.concatenate(seen_p), len(h)).astype(np.int64), "nu": np.bincount(back, minlength=len(h))}
+        h, n_toxic, n_all = (np.concatenate(x) for x in zip(*held))
+        h, back = np.unique(h, return_inverse=True)
+        return {"h": h, "np": np.bincount(back, n_toxic, len(h)).astype(np.int64), "nu": np.bincount(back, n_all, len(h)).astype(np.int64)}
 
     # np: positives that hold the word; nu: all texts that do
     by_word = per_batch(texts, "h long, np long, nu long", count).groupBy("h").agg(F.sum("np").alias("np"), F.sum("nu").alias("nu"))

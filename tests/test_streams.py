@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from wattloom.operators import incidents
@@ -124,3 +126,32 @@ def test_large_batches_are_only_stored(spark, tmp_path):
     jobs.stream_filter_sink(stream(spark, folder, READING), "b", stored, pushed, str(tmp_path / "ck"))
     assert spark.read.parquet(stored).count() == 32
     assert [r.id for r in spark.read.parquet(pushed).collect()] == [100]
+
+
+def test_waiting_readings_are_kept_as_bytes():
+    class State:
+        exists, hasTimedOut, watermark = False, False, 0  # noqa: N815
+
+        def getCurrentWatermarkMs(self):  # noqa: N802
+            return self.watermark
+
+        def update(self, row):
+            self.get, self.exists = row, True
+
+        def setTimeoutTimestamp(self, at):  # noqa: N802
+            self.at = at
+
+    def part(ids):
+        ts = pd.to_datetime(np.array(ids) * 60, unit="s")
+        return pd.DataFrame({"timestamp": ts, "id": ids, "meter_reading_kwh": np.array(ids) * 1.0, "forest_label": 1, "anomaly_score": 0.0})
+
+    state = State()
+    ids = list(range(40))
+    assert list(jobs._with_lag(("b",), iter([part(ids[20:]), part(ids[:20])]), state)) == []
+    assert all(isinstance(x, bytes) for x in state.get) and len(state.get[1]) == 8 * 40
+    state.watermark, state.hasTimedOut = 35 * 60_000, True
+    (found,) = jobs._with_lag(("b",), iter([]), state)
+    assert found["id"].tolist() == list(range(24, 35)) and found["lag_24h"].tolist() == [float(x) for x in range(11)]
+    state.watermark, state.hasTimedOut = 100 * 60_000, False
+    (found,) = jobs._with_lag(("b",), iter([part([41, 40])]), state)
+    assert found["id"].tolist() == list(range(35, 42)) and found["lag_24h"].tolist() == [float(x) for x in range(11, 18)]

@@ -171,7 +171,9 @@ def newest_versions(updates: DataFrame) -> DataFrame:
     ).select("building_id", "zone_id", "_l.*")
 
 
-SURGE_STATE = "readings ARRAY<DOUBLE>, ts ARRAY<LONG>, id ARRAY<LONG>, kwh ARRAY<DOUBLE>, label ARRAY<LONG>, score ARRAY<DOUBLE>"
+#: Arrays as their bytes, as the rows of a whole first batch wait for the watermark: numbers one by one would take minutes.
+SURGE_STATE = "readings BINARY, ts BINARY, id BINARY, kwh BINARY, label BINARY, score BINARY"
+SURGE_KINDS = ("f8", "i8", "i8", "f8", "i8", "f8")
 SURGE_SCHEMA = "id LONG, building_id STRING, timestamp TIMESTAMP, actual_kwh DOUBLE, lag_24h DOUBLE, forest_label LONG, anomaly_score DOUBLE"
 HISTORY = 24
 
@@ -181,20 +183,23 @@ def _with_lag(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> I
 
     The state is the last readings that were given out, and those that wait in order of time.
     """
-    known, *waiting = state.get if state.exists else ([], [], [], [], [], [])
-    waiting = [np.array(x, kind) for x, kind in zip(waiting, ("i8", "i8", "f8", "i8", "f8"))]
+    held = state.get if state.exists else (b"",) * len(SURGE_KINDS)
+    known, *waiting = (np.frombuffer(x, kind) for x, kind in zip(held, SURGE_KINDS))
     if not state.hasTimedOut:
+        arrived = [[x] for x in waiting]
         for part in parts:
             new = (part["timestamp"].astype("datetime64[us]").astype("int64"), part["id"], part["meter_reading_kwh"], part["forest_label"], part["anomaly_score"])
-            waiting = [np.concatenate([x, np.asarray(y, x.dtype)]) for x, y in zip(waiting, new)]
+            for pieces, y in zip(arrived, new):
+                pieces.append(np.asarray(y, pieces[0].dtype))
+        waiting = [np.concatenate(pieces) for pieces in arrived]
     order = np.lexsort((waiting[1], waiting[0]))
     waiting = [x[order] for x in waiting]
     passed = state.getCurrentWatermarkMs()
     n = int(np.searchsorted(waiting[0], passed * 1000, "left"))
     ts, ids, kwh, label, score = (x[:n] for x in waiting)
-    values = np.concatenate([np.array(known, float), kwh])
+    values = np.concatenate([known, kwh])
     rest = [x[n:] for x in waiting]
-    state.update((values[-HISTORY:].tolist(), *[x.tolist() for x in rest]))
+    state.update((values[-HISTORY:].tobytes(), *[x.tobytes() for x in rest]))
     if len(rest[0]):
         state.setTimeoutTimestamp(max(int(rest[0][0]) // 1000, passed, 1))
     # with full history, the reading at place i of `values` lags the one HISTORY later

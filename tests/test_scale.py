@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 from pyspark.sql import Window
@@ -192,6 +193,28 @@ def test_passages_cover_the_text():
     assert place >= len(body.rstrip()) - 1
 
 
+def test_chunks_leave_a_batch_in_parts(monkeypatch):
+    monkeypatch.setattr(text, "SPLIT_BYTES", 5000)
+
+    class Documents:
+        select = lambda self, *names: self
+        mapInArrow = lambda self, work, schema: work  # noqa: E731, N815
+
+    bodies = ["word " * n for n in (0, 10, 900, 4000, 3, 300, 700, 5)] + [None]
+    columns = {"doc_id": pa.array(range(9)), "title": pa.array(["t"] * 9), "source": pa.array(["s"] * 9), "body": pa.array(bodies)}
+    got = list(text.chunk_documents(Documents())(iter([pa.RecordBatch.from_pydict(columns)])))
+    assert len(got) >= 4
+    want = [(f"{d}_chunk_{i}", d, i, len(p), x) for d, b in enumerate(bodies) for p in [split_passages(b or "")] for i, x in enumerate(p)]
+    assert [tuple(r[c] for c in ("id", "doc_id", "chunk_index", "total_chunks", "text")) for b in got for r in b.to_pylist()] == want
+
+
+def test_passages_are_tokenised_once(spark):
+    chunks = spark.createDataFrame([("a", "peak tariff"), ("b", "chiller, chiller"), ("c", "")], "id string, text string")
+    found = text.embed_chunks(chunks)
+    assert "_words" not in found._jdf.queryExecution().analyzed().toString()
+    assert sorted((r.id, len(r.embedding)) for r in found.collect()) == [("a", 256), ("b", 256), ("c", 256)]
+
+
 def spiked(spark):
     rng = np.random.default_rng(9)
     data = [("b", i, float(v), float(w)) for i, (v, w) in enumerate(rng.normal(size=(2000, 2)))]

@@ -11,7 +11,7 @@ from wattloom.functions.numeric import sql_round as r
 from wattloom.operators import rows, text
 from wattloom.plans.registry import query
 from wattloom.plans.views import Tables
-from wattloom.session import scratch
+from wattloom.session import cut_lineage, scratch
 
 
 @query("parse_frontmatter", "SELECT doc_id, title, source, body FROM v_body", ("v_body",))
@@ -37,7 +37,7 @@ def _(t: Tables) -> DataFrame:
 @query("rebuild_index", "SELECT count(*) AS passages, count(DISTINCT id) AS distinct_ids FROM v_chunk", ("v_chunk",))
 def _(t: Tables) -> DataFrame:
     path = scratch(t.spark, "index")
-    chunks = passages(t)
+    chunks = cut_lineage(passages(t), "chunks")  # the documents are cut once for both
     text.rebuild_index(chunks, path)
     index = text.rebuild_index(chunks, path)
     return index.agg(F.count(F.lit(1)).alias("passages"), F.count_distinct("id").alias("distinct_ids"))

@@ -213,3 +213,29 @@ def test_trees_equal_those_of_plain_searches():
     for _ in range(400):
         page = "".join(rng.choice(["<%s>", "<%s>", "</%s>"]) % rng.choice(names) + rng.choice(["", "x", " y,"]) for _ in range(rng.randrange(1, 40)))
         assert shape(html.parse(page)) == shape(naive_tree(page)), page
+
+
+def test_workers_hold_few_strings_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from wattloom.llm import packing, pii
+
+    tracemalloc.start()
+    table = packing.char_classes.__wrapped__()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000
+    assert [table[ord(c)] for c in "a7 ,\u00e9\u3000"] == [packing.LETTER, packing.NUMBER, packing.SPACE, packing.OTHER, packing.LETTER, packing.SPACE]
+
+    class Documents:
+        columns, schema = ["text"], T.StructType([T.StructField("text", T.StringType())])
+        mapInArrow = lambda self, work, schema: work  # noqa: E731, N815
+
+    texts = ["write to a.b@example.org", None] * 1500
+    got = list(pii.redact(Documents())(iter([pa.RecordBatch.from_pydict({"text": texts})])))
+    assert len(got) > 1 and max(b.num_rows for b in got) <= pii.REDACT_ROWS
+    new = [x for b in got for x in b.column("text").to_pylist()]
+    assert len(new) == 3000 and new[1] is None and "example.org" not in new[0] and new[0] == new[2998]

@@ -34,6 +34,8 @@ BUCKET_ROWS = 50_000
 HELD_BACK = (0.3, 0.5, 0.7)
 
 SPACE, LETTER, NUMBER, OTHER, UNSURE = range(5)
+#: Code points classified at once.
+CLASS_STEP = 1 << 12
 
 
 def default_vocabulary() -> str:
@@ -48,10 +50,13 @@ def char_classes() -> np.ndarray:
     import regex
 
     table = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-    for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", SPACE), (r"\p{Cn}", UNSURE)):
-        table[[ord(c) for c in regex.findall(pattern, every)]] = kind
-    table[[c for c in np.flatnonzero(table != UNSURE).tolist() if unicodedata.category(chr(c)) == "Cn"]] = UNSURE
+    # step by step, as a string for each of all code points would take 100 MB of every worker
+    for begin in range(0, 0x110000, CLASS_STEP):
+        every = "".join(chr(c) for c in range(begin, begin + CLASS_STEP) if not 0xD800 <= c < 0xE000)
+        for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", SPACE), (r"\p{Cn}", UNSURE)):
+            table[[ord(c) for c in regex.findall(pattern, every)]] = kind
+        own = table[begin : begin + CLASS_STEP]
+        own[[c for c in np.flatnonzero(own != UNSURE).tolist() if unicodedata.category(chr(begin + c)) == "Cn"]] = UNSURE
     return table
 
 

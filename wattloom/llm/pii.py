@@ -430,13 +430,18 @@ def mask(text: str, spans: list) -> str:
     return "".join(out) + text[at:]
 
 
+#: Documents masked at once.
+REDACT_ROWS = 1024
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """All rows and columns of ``docs`` with personal data masked in ``text``; ``n_chars``, where it is a column, follows the new text."""
     names = docs.columns
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
     def run(batches):
-        for batch in batches:
+        # a part of a batch at a time: its texts, spans and new texts are Python's own strings
+        for batch in (whole.slice(i, REDACT_ROWS) for whole in batches for i in range(0, whole.num_rows, REDACT_ROWS)):
             columns = list(batch.columns)
             texts = columns[at].to_pylist()
             new = [t if t is None or not spans else mask(t, spans) for t, (_, spans) in zip(texts, find(texts))]

@@ -239,3 +239,41 @@ def test_workers_hold_few_strings_at_once():
     assert len(got) > 1 and max(b.num_rows for b in got) <= pii.REDACT_ROWS
     new = [x for b in got for x in b.column("text").to_pylist()]
     assert len(new) == 3000 and new[1] is None and "example.org" not in new[0] and new[0] == new[2998]
+
+
+def test_packing_workers_keep_little_of_a_batch():
+    import subprocess
+    import sys
+
+    # a process of its own, as memory is that of the whole worker
+    code = """
+import random, re, ctypes
+from pathlib import Path
+import pyarrow as pa
+from pyspark.sql import types as T
+from wattloom.llm import packing
+
+class Documents:
+    select = lambda self, *names: self
+    mapInArrow = lambda self, work, schema: work
+
+def resident():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text()).group(1)) / 1024
+
+rng = random.Random(3)
+known = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(2000)]
+run = packing.tokenise(Documents())
+few = pa.RecordBatch.from_pydict({"doc_id": [0], "text": [" ".join(known)]})
+sum(b.num_rows for b in run(iter([few])))
+start = resident()
+made = lambda: pa.RecordBatch.from_pydict({"doc_id": range(6000), "text": [None] + [" ".join(rng.choices(known, k=600)) for _ in range(5999)]})
+docs, largest = set(), 0
+for b in run(made() for _ in range(2)):
+    docs.update(b.column("doc_id").to_pylist())
+    largest = max(largest, b.column("ids").nbytes)
+assert docs == set(range(6000)), len(docs)
+del b
+print(round(resident() - start), largest)
+"""
+    grown, largest = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert grown < 40 and largest < 1 << 20, (grown, largest)

@@ -27,6 +27,8 @@ CAPACITY, END_ID = 1024, 2
 VOCABULARY = "byte_bpe_50k.json"
 #: Distinct words whose ids a worker remembers before it starts anew.
 REMEMBERED = 1 << 21
+#: Documents and bytes of text tokenised at once.
+PART_ROWS, PART_BYTES = 1024, 1 << 18
 #: Pieces of a length in a hash bucket, on average at most.
 BUCKET_ROWS = 50_000
 
@@ -139,7 +141,7 @@ class Tokeniser:
             parts.append(got)
             base += len(got)
         self.ids = np.concatenate(parts)
-        new = (hashes, begin, size)
+        new = (hashes, begin.astype(np.uint32), size.astype(np.uint32))
         while self.levels and len(self.levels[-1][0]) <= 2 * len(new[0]):
             new = tuple(np.concatenate(x) for x in zip(self.levels.pop(), new))
         order = np.argsort(new[0])
@@ -224,16 +226,22 @@ def tokenise(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAP
     """
     path = vocabulary or default_vocabulary()
 
+    def cut_part(coder: Tokeniser, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        data, offsets = words.utf8(part.column("text"))
+        for i, j in words.slices(offsets, PART_BYTES):
+            ids, first = coder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            text, piece, start, length = cut(first, capacity)
+            bounds = np.append(first[text] + start, first[-1]).astype(np.int32) * 4
+            body = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(ids))])
+            yield record({"doc_id": part.column("doc_id").take(pa.array(i + text)), "piece": piece.astype(np.int32), "start": start, "length": length, "ids": body}, PIECES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.give_back()  # what tasks before left
         coder = tokeniser(path)
         for batch in batches:
-            data, offsets = words.utf8(batch.column("text"))
-            for i, j in words.slices(offsets):
-                ids, first = coder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                text, piece, start, length = cut(first, capacity)
-                bounds = np.append(first[text] + start, first[-1]).astype(np.int32) * 4
-                body = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(ids))])
-                yield record({"doc_id": batch.column("doc_id").take(pa.array(i + text)), "piece": piece.astype(np.int32), "start": start, "length": length, "ids": body}, PIECES)
+            for begin in range(0, batch.num_rows, PART_ROWS):
+                yield from cut_part(coder, batch.slice(begin, PART_ROWS))
+            words.give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
@@ -352,6 +360,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     keys = (rows[:, 0] << 44) + rows[:, 1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.give_back()
         for batch in batches:
             length, r = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
             at = np.searchsorted(keys, (length << 44) + r, "right") - 1

@@ -6,6 +6,7 @@ the UTF-8 bytes, and all bytes from 0x80 up belong to words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -117,6 +118,13 @@ def split(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, lower: bool =
     return Words(start, end, hash_spans(data, start, end), np.searchsorted(start, offsets))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, which Arrow and the C library otherwise keep for as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
 def runs(texts: pa.Array, kind: np.ndarray, lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, Words]]:
     """Slices of a column of texts: first and last text, their bytes, their words."""
     data, offsets = utf8(texts)

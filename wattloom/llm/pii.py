@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from wattloom.llm.common import adam, per_batch
+from wattloom.llm.words import give_back
 
 KINDS = ("email", "ip", "card", "phone")
 #: A kind that only the random field finds.
@@ -440,6 +441,7 @@ def redact(docs: DataFrame) -> DataFrame:
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
     def run(batches):
+        give_back()  # what tasks before left
         # a part of a batch at a time: its texts, spans and new texts are Python's own strings
         for batch in (whole.slice(i, REDACT_ROWS) for whole in batches for i in range(0, whole.num_rows, REDACT_ROWS)):
             columns = list(batch.columns)

@@ -131,6 +131,7 @@ def runs(texts: pa.Array, kind: np.ndarray, lower: bool = True) -> Iterator[tupl
     for i, j in slices(offsets):
         own = data[offsets[i] : offsets[j]]
         yield i, j, own, split(own, offsets[i : j + 1] - offsets[i], kind, lower)
+    give_back()
 
 
 def gram_hash(hashes: np.ndarray, n: int) -> np.ndarray:
